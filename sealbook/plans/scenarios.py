@@ -90,7 +90,7 @@ def _stored(spark: SparkSession, folder: str, name: str, settings: Settings, bat
     """A store filled with all rows of the table in batches, sealed after each; filled once per session."""
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _stores:
-        store = MeteringStore(spark, shared_folder(spark), settings).reset()
+        store = MeteringStore(spark, shared_folder(spark), settings)
         for rows in batches():
             store.ingest(rows, NOW_MS, auto_seal=True)
         _stores[key] = store

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -59,14 +60,20 @@ class MeteringStore:
     # -- reading ---------------------------------------------------------------------------
 
     def reset(self) -> MeteringStore:
-        """Empty tables."""
+        """Drop all rows: every table becomes empty. A new store does not need it."""
         for name, schema in _TABLES.items():
             empty = self.spark.createDataFrame([], _with_batch(schema))
             empty.write.mode("overwrite").partitionBy("batch_id").parquet(f"{self.root}/{name}")
         return self
 
     def last_batch(self) -> int:
-        found = self._all("commits").agg(F.max("batch_id")).first()[0]
+        """The last committed batch; -1 for a folder that is empty or not there yet."""
+        try:
+            found = self._all("commits").agg(F.max("batch_id")).first()[0]
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found = None
         return -1 if found is None else found
 
     def _all(self, name: str) -> DataFrame:
@@ -75,6 +82,8 @@ class MeteringStore:
     def table(self, name: str, upto: int | None = None) -> DataFrame:
         """A table as of a committed batch; the batch bound prunes folders."""
         upto = self.last_batch() if upto is None else upto
+        if upto < 0:
+            return self.spark.createDataFrame([], _with_batch(_TABLES[name]))
         return self._all(name).where(F.col("batch_id") <= upto)
 
     def log(self, upto: int | None = None) -> DataFrame:
@@ -145,12 +154,13 @@ class MeteringStore:
 
         # Files of even size, sorted by id: with time-ordered ids their statistics prune by id and by time.
         self._write("event_log", batch, admission.accepted.hint("rebalance").sortWithinPartitions("event_id"))
+        found = admission.dispositions.persist()  # read twice; recomputed if lost
         if self.keep_dispositions:
-            self._write("dispositions", batch, admission.dispositions.select(*_TABLES["dispositions"].names))
+            self._write("dispositions", batch, found.select(*_TABLES["dispositions"].names))
         self._write("corrections", batch, admission.corrections)
-        if not strict:
-            bad = rejected_deliveries(deliveries, now_ms).withColumn("quantity", F.col("quantity").cast("string"))
-            self._write("rejects", batch, bad.select(*_TABLES["rejects"].names))
+        found.unpersist()
+        bad = rejected_deliveries(deliveries, now_ms).withColumn("quantity", F.col("quantity").cast("string"))
+        self._write("rejects", batch, bad.select(*_TABLES["rejects"].names))
 
         # From here on the batch is read back, not computed again.
         admitted = self._all("event_log").where(F.col("batch_id") == batch)
