@@ -190,6 +190,10 @@ def oracles() -> dict[str, str]:
         return (f"substr({w}, 1, 8) || '-' || substr({w}, 9, 4) || '-7' || substr({h}, 1, 3) || '-' || "
                 f"{variant.format(h=h)} || substr({h}, 5, 3) || '-' || substr({h}, 8, 12)")
 
+    window_totals = f"""{daily}, {_TOTALS} SELECT k AS window_key, customer_id, metric,
+            {_MODE.format(m='metric')} AS mode, {m('micros')} AS billed_total, CAST(micros AS VARCHAR) AS billed_total_micros,
+            n AS event_count, sealed, swm AS sealed_watermark_ms FROM totals"""
+
     return {
         "usage_from_events": f"""WITH {ev} SELECT event_id, customer_id, metric, {m('q')} AS quantity,
             t AS event_time_ms, ing AS ingest_time_ms, payload FROM ev""",
@@ -227,9 +231,8 @@ def oracles() -> dict[str, str]:
             count(*) AS event_count FROM wl WHERE metric = 'view_gauge' GROUP BY k""",
         "gauge_without_tiebreak": f"""WITH {_FIRST_LINES}, {_windowed('wl', 'fl', LINES.window_ms)}
             SELECT k AS window_key, {m('last(q ORDER BY t, arr)')} AS billed_total, count(*) AS event_count FROM wl GROUP BY k""",
-        "window_totals": f"""{daily}, {_TOTALS} SELECT k AS window_key, customer_id, metric,
-            {_MODE.format(m='metric')} AS mode, {m('micros')} AS billed_total, CAST(micros AS VARCHAR) AS billed_total_micros,
-            n AS event_count, sealed, swm AS sealed_watermark_ms FROM totals""",
+        "window_totals": window_totals,
+        "stream_metering": window_totals,
         "range_window_join": f"""WITH {_events(10)},
             hw AS (SELECT CAST(n_nationkey AS VARCHAR) AS customer_id, metric,
                 CAST(n_nationkey AS VARCHAR) || '/' || metric AS k, 1704067200000 + n_nationkey * 3600007 AS o,

@@ -41,7 +41,8 @@ from sealbook.plans.scenarios import (
     weekly_books,
 )
 from sealbook.settings import DAY_MS, Settings
-from sealbook.sources import adapters, bundle_files, store, tagged_log
+from sealbook.sources import adapters, bundle_files, deliveries, store, tagged_log
+from sealbook.streaming.micro_batch import start_metering
 
 SEEDS = ["one", "two", "three"]
 
@@ -542,3 +543,20 @@ def straggler_probe(spark, folder):
 @query
 def tie_sensitivity(spark, folder):
     return proofs.tie_sensitivity(_first_lines(spark, folder), SEEDS, LINES)
+
+
+# -- streaming -----------------------------------------------------------------------------
+
+
+@query
+def stream_metering(spark, folder):
+    """Shuffled and doubled events, delivered as files, metered batch by batch and sealed at the end."""
+    base = shared_folder(spark)
+    arrivals = proofs.hostile_arrivals(adapters.events_as_deliveries(spark, folder), "one").drop("copy")
+    arrivals.repartitionByRange(4, "arrival").write.parquet(f"{base}/incoming")
+    schema = arrivals.schema
+    books = store.MeteringStore(spark, f"{base}/tables", DAILY)
+    incoming = deliveries.stream_parquet(spark, f"{base}/incoming", schema, max_files=2)
+    start_metering(incoming, books, f"{base}/checkpoint", NOW_MS, auto_seal=False).awaitTermination()
+    books.seal(NOW_MS)
+    return books.totals().drop("window_open_ms", "window_close_ms")

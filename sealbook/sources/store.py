@@ -44,10 +44,6 @@ _TABLES: dict[str, StructType] = {
 }
 
 
-def _with_batch(schema: StructType) -> StructType:
-    return StructType([*schema, StructField("batch_id", LongType())])
-
-
 class MeteringStore:
     """The tables under one folder, with the calls that change them."""
 
@@ -61,29 +57,29 @@ class MeteringStore:
 
     def reset(self) -> MeteringStore:
         """Drop all rows: every table becomes empty. A new store does not need it."""
-        for name, schema in _TABLES.items():
-            empty = self.spark.createDataFrame([], _with_batch(schema))
+        for name in _TABLES:
+            empty = self.table(name, -1).limit(0)
             empty.write.mode("overwrite").partitionBy("batch_id").parquet(f"{self.root}/{name}")
         return self
 
     def last_batch(self) -> int:
-        """The last committed batch; -1 for a folder that is empty or not there yet."""
+        """The last committed batch; -1 before the first."""
+        found = self._all("commits").agg(F.max("batch_id")).first()[0]
+        return -1 if found is None else found
+
+    def _all(self, name: str) -> DataFrame:
+        """A table with what no commit lists yet; empty if nothing was ever written to it."""
+        schema = StructType([*_TABLES[name], StructField("batch_id", LongType())])
         try:
-            found = self._all("commits").agg(F.max("batch_id")).first()[0]
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
-            found = None
-        return -1 if found is None else found
-
-    def _all(self, name: str) -> DataFrame:
-        return self.spark.read.schema(_with_batch(_TABLES[name])).parquet(f"{self.root}/{name}")
+            return self.spark.createDataFrame([], schema)
 
     def table(self, name: str, upto: int | None = None) -> DataFrame:
         """A table as of a committed batch; the batch bound prunes folders."""
         upto = self.last_batch() if upto is None else upto
-        if upto < 0:
-            return self.spark.createDataFrame([], _with_batch(_TABLES[name]))
         return self._all(name).where(F.col("batch_id") <= upto)
 
     def log(self, upto: int | None = None) -> DataFrame:
