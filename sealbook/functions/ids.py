@@ -26,6 +26,6 @@ def short_id(text: Column, head: int = 0, tail: int = 0) -> Column:
     return F.left(text, F.lit(head)) if head else F.right(text, F.lit(tail))
 
 
-def hash_order(seed: str, *parts: Column) -> Column:
+def hash_order(seed: str | Column, *parts: Column) -> Column:
     """A reproducible shuffle key: sort by it to get the arrival order of this seed."""
-    return F.md5(F.concat_ws("|", F.lit(seed), *parts))
+    return F.md5(F.concat_ws("|", seed if isinstance(seed, Column) else F.lit(seed), *parts))

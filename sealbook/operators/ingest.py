@@ -79,9 +79,20 @@ def append(table: DataFrame | None, rows: DataFrame) -> DataFrame:
     return rows if table is None else table.unionByName(rows)
 
 
-def insert_if_absent(rows: DataFrame, table: DataFrame | None, key: list[str]) -> DataFrame:
-    """The rows whose key the table does not hold yet."""
-    return rows if table is None else rows.join(table.select(*key), key, "left_anti")
+def insert_if_absent(
+    rows: DataFrame, table: DataFrame | None, key: list[str], few_rows: bool = False
+) -> DataFrame:
+    """The rows whose key the table does not hold yet.
+
+    With ``few_rows`` the table is first cut down to the keys of the rows: they are broadcast
+    and a long table is only scanned. That reads the rows twice.
+    """
+    if table is None:
+        return rows
+    held = table.select(*key)
+    if few_rows:
+        held = held.join(rows.select(*key).distinct(), key, "left_semi")
+    return rows.join(held, key, "left_anti")
 
 
 def first_deliveries(arrivals: DataFrame) -> DataFrame:

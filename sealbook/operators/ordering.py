@@ -25,16 +25,19 @@ def in_order(
     order: list[str],
     running: dict[str, Column] | None = None,
     rows_per_task: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> Ordered:
     """Add ``position`` (from 0) within ``keys``, and a running sum for each named column.
 
     The group sizes are counted first. If every group fits one task, one window function does it.
     Otherwise all rows are range-partitioned by keys and order, numbered inside each range, and
-    shifted by what the ranges before them hold.
+    shifted by what the ranges before them hold. ``sizes`` (``keys`` and ``n``, at least the rows
+    of each group) saves counting ``df`` itself.
     """
     running = running or {}
     limit = rows_per_task or ROWS_PER_TASK
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
     largest, total = largest or 0, total or 0
     if largest <= limit:

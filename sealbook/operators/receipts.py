@@ -28,7 +28,10 @@ def sealed_leaves(
         .where(F.col("event_time_ms") <= F.col("sealed_watermark_ms"))
         .drop("sealed_watermark_ms")
     )
-    return in_order(inside, ["window_key"], TOTAL_ORDER, rows_per_task=rows_per_task)
+    # Counted before the join, where a window with very many events is still summed in parts.
+    counts = events.groupBy("window_key").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.join(bounds, "window_key", "left_semi")
+    return in_order(inside, ["window_key"], TOTAL_ORDER, rows_per_task=rows_per_task, sizes=sizes)
 
 
 def leaf_hashes(leaves: DataFrame, settings: Settings) -> DataFrame:

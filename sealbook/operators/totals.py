@@ -125,12 +125,16 @@ def _totals_of(windows: DataFrame, totals: DataFrame, settings: Settings) -> Dat
     )
 
 
-def range_window_join(events: DataFrame, windows: DataFrame, slice_ms: int = 3_600_000) -> DataFrame:
+def range_window_join(events: DataFrame, windows: DataFrame, slice_ms: int | None = None) -> DataFrame:
     """Events joined to windows of any length: same stream, ``open <= t < close``, not past the seal.
 
     Each window is listed under the time slices it touches, so the join is an equi join on
-    stream and slice and a long-lived stream spreads over many tasks.
+    stream and slice and a long-lived stream spreads over many tasks. A slice is as long as the
+    average window, which keeps the list within three rows per window.
     """
+    if slice_ms is None:
+        mean = windows.agg(F.avg(F.col("window_close_ms") - F.col("window_open_ms"))).first()[0]
+        slice_ms = max(int(mean or 1), 1)
     width = F.lit(slice_ms).cast("bigint")
     first = (F.col("window_open_ms") - F.pmod("window_open_ms", width)) / slice_ms
     last_ms = F.col("window_close_ms") - 1

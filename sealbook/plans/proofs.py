@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealbook.functions.ids import hash_order, time_ordered_id
@@ -17,13 +17,15 @@ from sealbook.settings import Settings
 DUPLICATE_SHARE = 0.15
 
 
-def hostile_arrivals(deliveries: DataFrame, seed: str, share: float = DUPLICATE_SHARE) -> DataFrame:
+def hostile_arrivals(deliveries: DataFrame, seed: str | Column, share: float = DUPLICATE_SHARE) -> DataFrame:
     """Every delivery once, a share of them twice, in the shuffled order of ``seed``.
 
     Which are doubled and where each copy lands follows from hashes, so a seed always gives the
     same arrivals. One pass; nothing is sorted until an order is needed.
     """
-    draw = F.conv(F.substring(hash_order(f"{seed}/twice", F.col("event_id")), 1, 4), 16, 10).cast("bigint")
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    twice = hash_order(F.concat(seed, F.lit("/twice")), F.col("event_id"))
+    draw = F.conv(F.substring(twice, 1, 4), 16, 10).cast("bigint")
     top = F.when(draw < int(share * 65536), 1).otherwise(0)
     copies = deliveries.withColumn("copy", F.explode(F.sequence(F.lit(0), top)))
     return copies.withColumn("arrival", hash_order(seed, F.col("event_id"), F.col("copy")))
@@ -45,19 +47,18 @@ def sealed_at_end(admission: Admission, state: State, settings: Settings, now_ms
 
 
 def replay_runs(deliveries: DataFrame, seeds: list[str], settings: Settings, now_ms: int) -> DataFrame:
-    """Totals per run and window for several arrival orders, all runs in one plan.
+    """Totals per run and window for several arrival orders, all runs in one plan and one scan.
 
     Each run gets its own customers and event ids by a prefix, so runs share nothing.
     """
-    runs = None
-    for seed in seeds:
-        prefix = F.lit(f"{seed}/")
-        run = (
-            hostile_arrivals(deliveries, seed)
-            .withColumn("event_id", F.concat(prefix, "event_id"))
-            .withColumn("customer_id", F.concat(prefix, "customer_id"))
-        )
-        runs = run if runs is None else runs.unionByName(run)
+    each = deliveries.withColumn("run", F.explode(F.array(*[F.lit(seed) for seed in seeds])))
+    prefix = F.concat("run", F.lit("/"))
+    runs = (
+        hostile_arrivals(each, F.col("run"))
+        .withColumn("event_id", F.concat(prefix, "event_id"))
+        .withColumn("customer_id", F.concat(prefix, "customer_id"))
+        .drop("run")
+    )
     totals = sealed_at_end(ingest(runs, State(), settings), State(), settings, now_ms)
     slash = F.lit("/")
     return totals.withColumn("run", F.split_part("window_key", slash, F.lit(1))).withColumn(

@@ -14,11 +14,11 @@ def epoch_ms(ts: Column) -> Column:
     return ((micros - F.pmod(micros, F.lit(1000))) / 1000).cast("bigint")
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet table; one with fewer splits than cores is spread over them first."""
+def table(spark: SparkSession, folder: str, name: str, *spread_by: str) -> DataFrame:
+    """A Parquet table; one with fewer splits than cores is spread over them first, larger ones never."""
     rows = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores, *spread_by) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _hex(number: Column, width: int) -> Column:
@@ -37,7 +37,7 @@ def events_as_deliveries(spark: SparkSession, folder: str, customers: int | None
     Ingest time wobbles by 1.5 s around event time, and for one event in ten it is up to three
     days late. ``customers`` folds users together into deeper streams.
     """
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", "event_id")
     t = epoch_ms(F.col("ts"))
     id_text = F.col("event_id").cast("string")
     late = F.when(_draw(id_text, 5) % 10 == 0, _draw(id_text, 9) * 3956).otherwise(F.lit(0))
@@ -59,7 +59,7 @@ def lineitem_as_deliveries(spark: SparkSession, folder: str) -> DataFrame:
     Order and line number make the id. They repeat with other contents, so this input has
     re-deliveries, conflicts and ties of whole days.
     """
-    line = table(spark, folder, "lineitem")
+    line = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber")
     t = epoch_ms(F.col("l_shipdate"))
     return line.select(
         F.concat(

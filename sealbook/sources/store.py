@@ -22,6 +22,7 @@ from sealbook.operators.ingest import (
     ingest,
     ingest_counts,
     insert_if_absent,
+    open_windows,
 )
 from sealbook.operators.receipts import build_receipts, bundles, sealed_leaves
 from sealbook.operators.sealing import seal_due_windows
@@ -30,17 +31,19 @@ from sealbook.operators.validate import rejected_deliveries, valid_deliveries
 from sealbook.operators.watermarks import stream_watermarks
 from sealbook.settings import Settings
 
+_SEAL_COLUMNS = ["window_key", "window_open_ms", "sealed_at_ms", "sealed_watermark_ms"]
+
 _TABLES: dict[str, StructType] = {
     "event_log": schemas.EVENT_LOG,
     "opened": StructType([f for f in schemas.BILLING_WINDOW.fields if f.name in WINDOW_COLUMNS]),
-    "seals": StructType([f for f in schemas.BILLING_WINDOW.fields if f.name == "window_key" or "sealed" in f.name]),
+    "seals": StructType([f for f in schemas.BILLING_WINDOW.fields if f.name in _SEAL_COLUMNS]),
     "watermarks": schemas.STREAM_WATERMARK,
     "corrections": schemas.CORRECTION,
     "receipts": schemas.RECEIPT,
-    "dispositions": StructType().add("event_id", "string").add("window_key", "string")
+    "dispositions": StructType().add("event_id", "string").add("customer_id", "string").add("window_key", "string")
     .add("disposition", "string").add("conflict", "boolean"),
     "rejects": StructType([*schemas.DELIVERY, StructField("reject_reason", StringType())]),
-    "commits": StructType().add("committed_at_ms", "long"),
+    "commits": StructType().add("committed_at_ms", "long").add("sealed", "boolean"),
 }
 
 
@@ -161,12 +164,11 @@ class MeteringStore:
         # From here on the batch is read back, not computed again.
         admitted = self._all("event_log").where(F.col("batch_id") == batch)
         specs = with_window(admitted, self.settings.window_ms).select(*WINDOW_COLUMNS).distinct()
-        held = self.table("opened", last) if last >= 0 else None
-        self._write("opened", batch, insert_if_absent(specs, held, ["window_key"]))
+        self._write("opened", batch, insert_if_absent(specs, self.table("opened", last), ["window_key"], few_rows=True))
         self._write("watermarks", batch, stream_watermarks(admitted, self.settings.grace_ms))
         if auto_seal:
-            self._seal(batch, now_ms, last)
-        self._commit(batch, now_ms)
+            self._seal(batch, now_ms, last, only_touched=self._sealed_upto(last))
+        self._commit(batch, now_ms, sealed=auto_seal)
         return batch
 
     def _state_near(self, valid: DataFrame, last: int) -> State:
@@ -181,26 +183,43 @@ class MeteringStore:
         spans = with_window(valid, self.settings.window_ms).agg(
             F.min("event_id"), F.max("event_id"), F.min("window_open_ms"), F.max("window_open_ms")
         ).first()
+        ids = F.col("event_id").between(spans[0], spans[1])
+        sealed = self.table("seals", last).where(F.col("window_open_ms").between(spans[2], spans[3]))
         return replace(
             state,
-            log=state.log.where(F.col("event_id").between(spans[0], spans[1])),
-            windows=state.windows.where(F.col("window_open_ms").between(spans[2], spans[3])),
+            log=state.log.where(ids),
+            corrections=state.corrections.where(ids),
+            windows=sealed.select("window_key", F.lit("sealed").alias("state")),
         )
 
     def seal(self, now_ms: int) -> DataFrame:
         """Seal due windows with their receipts, as a batch of its own; returns the new seals."""
         batch = self.last_batch() + 1
         self._seal(batch, now_ms, batch - 1)
-        self._commit(batch, now_ms)
+        self._commit(batch, now_ms, sealed=True)
         return self.table("seals").where(F.col("batch_id") == batch).drop("batch_id")
 
-    def _seal(self, batch: int, now_ms: int, last: int) -> None:
-        windows = _with_seals(self.table("opened", batch).drop("batch_id"), self.table("seals", last).drop("batch_id"))
-        still_open = windows.where(F.col("state") == "open")
-        after = seal_due_windows(still_open, self.watermarks(batch), now_ms).where("newly_sealed")
-        self._write("seals", batch, after.select(*_TABLES["seals"].names))
+    def _sealed_upto(self, last: int) -> bool:
+        """Did the last commit leave no due window open?"""
+        row = self.table("commits", last).where(F.col("batch_id") == last).first()
+        return row is None or row.sealed
+
+    def _seal(self, batch: int, now_ms: int, last: int, only_touched: bool = False) -> None:
+        """Write seals and receipts of the due windows.
+
+        If nothing was due before the batch, only streams whose watermark it may have moved can
+        have due windows; their few keys are joined to the open windows first.
+        """
+        opened, marks = self.table("opened", batch).drop("batch_id"), self.watermarks(batch)
+        if only_touched:
+            touched = self._all("watermarks").where(F.col("batch_id") == batch).select(*STREAM)
+            opened, marks = (t.join(touched, STREAM, "left_semi") for t in (opened, marks))
+        still_open = open_windows(insert_if_absent(opened, self.table("seals", last), ["window_key"]))
+        after = seal_due_windows(still_open, marks, now_ms).where("newly_sealed")
+        self._write("seals", batch, after.select(*_SEAL_COLUMNS))
         fresh = self._all("seals").where(F.col("batch_id") == batch).drop("batch_id")
-        sealed = _with_seals(self.table("opened", batch).drop("batch_id"), fresh).where(F.col("state") == "sealed")
+        sealed = self.table("opened", batch).drop("batch_id").join(fresh.drop("window_open_ms"), "window_key")
+        sealed = sealed.withColumn("state", F.lit("sealed"))
         span = sealed.agg(F.min("window_open_ms"), F.max("window_close_ms")).first()
         log = self.log(batch)
         if span[0] is not None:
@@ -229,7 +248,7 @@ class MeteringStore:
             copy._write(name, 0, rows)
         marks = self.watermarks(upto)
         copy._write("watermarks", 0, marks if without_customers is None else _without(marks, without_customers, marks))
-        copy._commit(0, 0)
+        copy._commit(0, 0, sealed=self._sealed_upto(upto))
         return copy
 
     def counts(self, batch: int) -> DataFrame:
@@ -238,12 +257,13 @@ class MeteringStore:
     def _write(self, name: str, batch: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/{name}/batch_id={batch}")
 
-    def _commit(self, batch: int, now_ms: int) -> None:
-        self._write("commits", batch, self.spark.range(1).select(F.lit(now_ms).cast("bigint").alias("committed_at_ms")))
+    def _commit(self, batch: int, now_ms: int, sealed: bool) -> None:
+        line = F.lit(now_ms).cast("bigint").alias("committed_at_ms"), F.lit(sealed).alias("sealed")
+        self._write("commits", batch, self.spark.range(1).select(*line))
 
 
 def _with_seals(opened: DataFrame, seals: DataFrame) -> DataFrame:
-    return opened.join(seals, "window_key", "left").select(
+    return opened.join(seals.drop("window_open_ms"), "window_key", "left").select(
         *WINDOW_COLUMNS,
         F.when(F.col("sealed_watermark_ms").isNotNull(), "sealed").otherwise("open").alias("state"),
         "sealed_at_ms",
