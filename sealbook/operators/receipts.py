@@ -20,14 +20,13 @@ BUNDLE_LEAVES = 65_536
 def sealed_leaves(
     log: DataFrame, sealed: DataFrame, settings: Settings, rows_per_task: int | None = None
 ) -> Ordered:
-    """The events of the given sealed windows, each with its ``position`` in the total order."""
-    bounds = sealed.where(F.col("state") == "sealed").select("window_key", "sealed_watermark_ms")
+    """The events of the given sealed windows, each with its ``position`` in the total order.
+
+    What a receipt says of its window comes along from the few rows of the windows.
+    """
+    bounds = sealed.where(F.col("state") == "sealed").select("window_key", *STREAM, "sealed_watermark_ms")
     events = with_window(log, settings.window_ms).select("window_key", *TOTAL_ORDER, "quantity_micros")
-    inside = (
-        events.join(bounds, "window_key")
-        .where(F.col("event_time_ms") <= F.col("sealed_watermark_ms"))
-        .drop("sealed_watermark_ms")
-    )
+    inside = events.join(bounds, "window_key").where(F.col("event_time_ms") <= F.col("sealed_watermark_ms"))
     # Counted before the join, where a window with very many events is still summed in parts.
     counts = events.groupBy("window_key").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.join(bounds, "window_key", "left_semi")
@@ -43,23 +42,21 @@ def signature(root: Column, settings: Settings) -> Column:
     return hmac_sha256(root, settings.receipt_key)
 
 
-def build_receipts(leaves: Ordered, sealed: DataFrame, settings: Settings, created_at_ms: int) -> DataFrame:
-    """One receipt per sealed window that has leaves."""
+def build_receipts(leaves: Ordered, settings: Settings, created_at_ms: int) -> DataFrame:
+    """One receipt per sealed window that has leaves; root and totals are folded in one pass."""
+    window = ["window_key", *STREAM, "sealed_watermark_ms"]
     hashed = leaf_hashes(leaves.rows, settings).select(
-        "window_key",
+        *window,
         "position",
         "hash",
         F.col("quantity_micros").cast("decimal(28,0)").alias("sum_micros"),
         F.lit(1).cast("bigint").alias("event_count"),
         F.col("quantity_micros").alias("last_micros"),
     )
-    roots = merkle_roots(
-        hashed, ["window_key"], leaves.largest, settings.domain, ("sum_micros", "event_count"), ("last_micros",)
-    )
+    folded = merkle_roots(hashed, window, leaves.largest, settings.domain, ("sum_micros", "event_count"), ("last_micros",))
     mode = billing_mode(F.col("metric"), settings)
-    meta = sealed.where(F.col("state") == "sealed").select("window_key", *STREAM, "sealed_watermark_ms")
     last, total = F.col("last_micros").cast(MICROS_SUM), F.col("sum_micros").cast(MICROS_SUM)
-    return roots.join(meta, "window_key").select(
+    return folded.select(
         "window_key",
         *STREAM,
         mode.alias("mode"),

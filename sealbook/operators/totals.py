@@ -25,51 +25,90 @@ from sealbook.settings import Settings
 WINDOW_ID = [*STREAM, "window_open_ms"]
 
 
-def _per_window(events: DataFrame, settings: Settings, value: Column) -> DataFrame:
+def _per_window(events: DataFrame, settings: Settings, **values: Column) -> DataFrame:
     opened = window_open(F.col("event_time_ms"), settings.window_ms)
-    totals = (
-        events.withColumn("window_open_ms", opened)
-        .groupBy(*WINDOW_ID)
-        .agg(value.alias("total_micros"), F.count(F.lit(1)).alias("event_count"))
-    )
+    grouped = events.withColumn("window_open_ms", opened).groupBy(*WINDOW_ID)
+    totals = grouped.agg(*[value.alias(name) for name, value in values.items()])
     return totals.select(
         window_key(*[F.col(c) for c in WINDOW_ID]).alias("window_key"),
         *WINDOW_ID,
         window_close(F.col("window_open_ms"), settings.window_ms).alias("window_close_ms"),
-        "total_micros",
-        "event_count",
+        *values,
     )
 
 
+def _counter(**more: Column) -> dict[str, Column]:
+    return {"total_micros": exact_sum(F.col("quantity_micros")), "event_count": F.count(F.lit(1)), **more}
+
+
+def _gauge(order: Column, **more: Column) -> dict[str, Column]:
+    return {"total_micros": _last(order), "event_count": F.count(F.lit(1)), **more}
+
+
 def counter_totals(events: DataFrame, settings: Settings) -> DataFrame:
     """Exact sum and count per window; summed before the shuffle."""
-    return _per_window(events, settings, exact_sum(F.col("quantity_micros")))
+    return _per_window(events, settings, **_counter())
 
 
 def gauge_totals(events: DataFrame, settings: Settings) -> DataFrame:
     """Last value under the total order; a maximum, so it needs no sorted window."""
-    return _per_window(events, settings, _last(total_order()))
+    return _per_window(events, settings, **_gauge(total_order()))
 
 
 def gauge_totals_by_arrival(events: DataFrame, settings: Settings) -> DataFrame:
     """Diagnostic only: ties on the last time go to whichever event arrived last."""
-    return _per_window(events, settings, _last(F.struct("event_time_ms", "arrival")))
+    return _per_window(events, settings, **_gauge(F.struct("event_time_ms", "arrival")))
 
 
 def _last(order: Column) -> Column:
     return F.max_by("quantity_micros", order).cast(MICROS_SUM)
 
 
-def billed_totals(events: DataFrame, settings: Settings) -> DataFrame:
+def billed_totals(events: DataFrame, settings: Settings, **more: Column) -> DataFrame:
     """Per window the sum or the last value, whichever its metric is billed by.
 
     Counters and gauges part before the aggregation, so that counters, the bulk of usage, keep
-    the hash aggregate that a last value under an order cannot use.
+    the hash aggregate, and their scan never reads the ids that only gauges need.
     """
     mode = billing_mode(F.col("metric"), settings)
-    counters = counter_totals(events.where(mode == "counter"), settings).withColumn("mode", F.lit("counter"))
-    gauges = gauge_totals(events.where(mode == "gauge"), settings).withColumn("mode", F.lit("gauge"))
-    return counters.unionByName(gauges)
+    counters = _per_window(events.where(mode == "counter"), settings, **_counter(**more))
+    gauges = _per_window(events.where(mode == "gauge"), settings, **_gauge(total_order(), **more))
+    return counters.withColumn("mode", F.lit("counter")).unionByName(gauges.withColumn("mode", F.lit("gauge")))
+
+
+def bill_log(events: DataFrame, settings: Settings) -> DataFrame:
+    """Windows, seals and totals of a whole log in one pass, as if sealed once at its end.
+
+    The watermark of a stream is the latest of its windows' latest times, so after the totals
+    only one row per window is moved again.
+    """
+    billed = billed_totals(events, settings, latest_ms=F.max("event_time_ms"))
+    marked = _with_watermark(billed, settings)
+    return _totals_of(marked, settings)
+
+
+def windows_of_log(events: DataFrame, settings: Settings, now_ms: int) -> DataFrame:
+    """The window registry of a whole log with the state after one seal at its end, in one pass."""
+    seen = _per_window(events, settings, latest_ms=F.max("event_time_ms"))
+    return _with_watermark(seen, settings).select(
+        "window_key",
+        *STREAM,
+        "window_open_ms",
+        "window_close_ms",
+        "state",
+        F.when(F.col("state") == "sealed", F.lit(now_ms).cast("bigint")).alias("sealed_at_ms"),
+        "sealed_watermark_ms",
+    )
+
+
+def _with_watermark(per_window: DataFrame, settings: Settings) -> DataFrame:
+    mark = F.max("latest_ms").over(Window.partitionBy(*STREAM)) - F.lit(settings.grace_ms).cast("bigint")
+    due = F.col("window_close_ms") <= F.col("watermark_ms")
+    return (
+        per_window.withColumn("watermark_ms", mark)
+        .withColumn("state", F.when(due, "sealed").otherwise("open"))
+        .withColumn("sealed_watermark_ms", F.when(due, F.col("watermark_ms")))
+    )
 
 
 def window_totals(
@@ -89,7 +128,8 @@ def window_totals(
         )
     else:
         totals = billed_totals(events, settings)
-    return _totals_of(windows, totals, settings)
+    per_window = totals.select("window_key", "total_micros", "event_count")
+    return _totals_of(windows.join(per_window, "window_key", "left"), settings)
 
 
 def totals_for_keys(keys: DataFrame, totals: DataFrame, settings: Settings) -> DataFrame:
@@ -108,10 +148,9 @@ def totals_for_keys(keys: DataFrame, totals: DataFrame, settings: Settings) -> D
     )
 
 
-def _totals_of(windows: DataFrame, totals: DataFrame, settings: Settings) -> DataFrame:
-    per_window = totals.select("window_key", "total_micros", "event_count")
-    micros = F.coalesce(F.col("total_micros"), F.lit(0).cast(MICROS_SUM))
-    return windows.join(per_window, "window_key", "left").select(
+def _totals_of(windows: DataFrame, settings: Settings) -> DataFrame:
+    micros = F.coalesce(F.col("total_micros"), F.lit(0).cast(MICROS_SUM)).cast(MICROS_SUM)
+    return windows.select(
         "window_key",
         *STREAM,
         "window_open_ms",

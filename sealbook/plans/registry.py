@@ -183,8 +183,7 @@ def _first_lines(spark, folder) -> DataFrame:
 
 @query
 def window_totals(spark, folder):
-    s = daily(spark, folder)
-    return totals.window_totals(s.log, s.windows, DAILY).drop("window_open_ms", "window_close_ms")
+    return totals.bill_log(events(spark, folder), DAILY).drop("window_open_ms", "window_close_ms")
 
 
 @query
@@ -227,18 +226,16 @@ def latest_event(spark, folder):
 @query
 def totals_for_keys(spark, folder):
     """Totals asked for by key: every user and type for one day, most of them without a window."""
-    s = daily(spark, folder)
-    asked = s.log.select("customer_id", "metric").distinct().select(
+    e = events(spark, folder)
+    asked = e.select("customer_id", "metric").distinct().select(
         F.concat_ws(":", "customer_id", "metric", F.lit("1704067200000")).alias("window_key")
     )
-    t = totals.window_totals(s.log, s.windows, DAILY)
-    return totals.totals_for_keys(asked, t, DAILY)
+    return totals.totals_for_keys(asked, totals.bill_log(e, DAILY), DAILY)
 
 
 @query
 def invoice_totals(spark, folder):
-    s = weekly(spark, folder)
-    t = totals.window_totals(s.log, s.windows, WEEKLY)
+    t = totals.bill_log(events(spark, folder, DEEP_CUSTOMERS), WEEKLY)
     return totals.invoice_totals(t, ["customer_id"])
 
 
@@ -348,7 +345,8 @@ def watermark_upsert(spark, folder):
 @query
 def seal_due_windows(spark, folder):
     s = daily(spark, folder)
-    return s.windows.select("window_key", "state", "sealed_at_ms", "sealed_watermark_ms")
+    w = sealing.seal_due_windows(s.opened, s.watermarks, NOW_MS)
+    return w.select("window_key", "state", "sealed_at_ms", "sealed_watermark_ms")
 
 
 @query
@@ -442,7 +440,7 @@ def receipt_signatures(spark, folder):
 @query
 def receipts_of_windows(spark, folder):
     s = weekly(spark, folder)
-    r = receipts.build_receipts(_leaves(s), s.windows, WEEKLY, NOW_MS)
+    r = receipts.build_receipts(_leaves(s), WEEKLY, NOW_MS)
     return r.withColumn("billed_total_micros", F.col("billed_total_micros").cast("string"))
 
 

@@ -7,11 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealbook.functions.windows import with_window
 from sealbook.operators.durable import durable, shared_folder
-from sealbook.operators.ingest import WINDOW_COLUMNS, log_rows, open_windows
+from sealbook.operators.ingest import log_rows, open_windows
 from sealbook.operators.receipts import build_receipts, bundles, sealed_leaves
-from sealbook.operators.sealing import seal_due_windows
+from sealbook.operators.totals import windows_of_log
 from sealbook.operators.validate import valid_deliveries
 from sealbook.operators.watermarks import stream_watermarks
 from sealbook.settings import DAY_MS, Settings
@@ -46,10 +45,14 @@ class SealedLog:
 
 def sealed_log(deliveries: DataFrame, settings: Settings) -> SealedLog:
     """Deliveries with unique ids as a finished log, sealed once at its end."""
-    log = log_rows(deliveries)
-    opened = open_windows(with_window(deliveries, settings.window_ms).select(*WINDOW_COLUMNS).distinct())
-    marks = stream_watermarks(deliveries, settings.grace_ms)
-    return SealedLog(log, opened, marks, seal_due_windows(opened, marks, NOW_MS).drop("newly_sealed"), settings)
+    windows = windows_of_log(deliveries, settings, NOW_MS)
+    return SealedLog(
+        log=log_rows(deliveries),
+        opened=open_windows(windows),
+        watermarks=stream_watermarks(deliveries, settings.grace_ms),
+        windows=windows,
+        settings=settings,
+    )
 
 
 def daily(spark: SparkSession, folder: str) -> SealedLog:
@@ -78,7 +81,7 @@ def weekly_books(spark: SparkSession, folder: str) -> Books:
     if key not in _books:
         s = weekly(spark, folder)
         leaves = sealed_leaves(s.log, s.windows, s.settings)
-        receipts = durable(build_receipts(leaves, s.windows, s.settings, NOW_MS))
+        receipts = durable(build_receipts(leaves, s.settings, NOW_MS))
         _books[key] = Books(receipts, durable(bundles(receipts, leaves.rows)))
     return _books[key]
 

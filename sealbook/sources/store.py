@@ -227,7 +227,7 @@ class MeteringStore:
             t = F.col("event_time_ms")
             log = log.where((t >= span[0]) & (t < span[1]))
         leaves = sealed_leaves(log, sealed, self.settings)
-        receipts = build_receipts(leaves, sealed, self.settings, now_ms)
+        receipts = build_receipts(leaves, self.settings, now_ms)
         self._write("receipts", batch, receipts.select(*_TABLES["receipts"].names))
 
     def rewrite(self, target: str, without_customers: DataFrame | None = None) -> MeteringStore:

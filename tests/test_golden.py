@@ -31,7 +31,7 @@ def events(spark):
 def books(events):
     s = sealed_log(events, S)
     leaves = sealed_leaves(s.log, s.windows, S)
-    receipts = build_receipts(leaves, s.windows, S, NOW)
+    receipts = build_receipts(leaves, S, NOW)
     return s, receipts.cache(), bundles(receipts, leaves.rows).cache()
 
 

@@ -84,7 +84,7 @@ def books(spark):
 @pytest.mark.parametrize("rows_per_task", [None, 20])
 def test_receipts_and_bundles_by_hand(books, rows_per_task):
     leaves = sealed_leaves(books.log, books.windows, S, rows_per_task)
-    made = build_receipts(leaves, books.windows, S, NOW)
+    made = build_receipts(leaves, S, NOW)
     by_window = {}
     for e in books.log.collect():
         by_window.setdefault(e.customer_id, []).append(e)
@@ -109,7 +109,7 @@ def test_receipts_and_bundles_by_hand(books, rows_per_task):
 
 def test_order_of_leaves_is_part_of_the_claim(books):
     leaves = sealed_leaves(books.log, books.windows, S)
-    b = bundles(build_receipts(leaves, books.windows, S, NOW), leaves.rows)
+    b = bundles(build_receipts(leaves, S, NOW), leaves.rows)
     turned = b.withColumn("leaves", F.reverse("leaves"))
     v = verify_bundles(turned, S.domain, S.receipt_key)
     assert v.where("total_ok and not root_ok and not ok").count() == 2
@@ -118,7 +118,7 @@ def test_order_of_leaves_is_part_of_the_claim(books):
 
 def test_wrong_key_and_foreign_stream_are_seen(books):
     leaves = sealed_leaves(books.log, books.windows, S)
-    b = bundles(build_receipts(leaves, books.windows, S, NOW), leaves.rows)
+    b = bundles(build_receipts(leaves, S, NOW), leaves.rows)
     assert verify_bundles(b, S.domain, "other").where("signature_ok").count() == 0
     swapped = b.withColumn("receipt", F.col("receipt").withField("customerId", F.lit("someone")))
     assert verify_bundles(swapped, S.domain, S.receipt_key).where("ok and not metadata_ok").count() == 2
@@ -126,7 +126,7 @@ def test_wrong_key_and_foreign_stream_are_seen(books):
 
 def test_invoice_roots_sort_the_window_roots(spark, books):
     leaves = sealed_leaves(books.log, books.windows, S)
-    made = build_receipts(leaves, books.windows, S, NOW)
+    made = build_receipts(leaves, S, NOW)
     v = verify_bundles(bundles(made, leaves.rows), S.domain, S.receipt_key)
     roots = sorted(r.recomputed_root for r in v.collect())
     assert verify_invoices(v, [], S.domain).first().invoice_root == root(roots)
