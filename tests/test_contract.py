@@ -1,9 +1,11 @@
 """The billing contract on small hand-made batches."""
 
+from dataclasses import fields
 from itertools import permutations
 
 from pyspark.sql import functions as F
 
+from sealbook.operators.durable import durable
 from sealbook.operators.ingest import State, applied, ingest, ingest_counts
 from sealbook.operators.sealing import seal_due_windows
 from sealbook.operators.totals import gauge_totals, gauge_totals_by_arrival, window_totals
@@ -25,7 +27,9 @@ def step(state, deliveries, seal=True):
     if seal:
         windows = seal_due_windows(after.windows, after.watermarks, NOW).drop("newly_sealed")
         after = State(after.log, windows, after.watermarks, after.corrections)
-    return admission, after
+    # Written down between calls, as a store does, so that plans do not grow with the history.
+    tables = {f.name: getattr(after, f.name) for f in fields(State)}
+    return admission, State(**{name: table and durable(table) for name, table in tables.items()})
 
 
 def total(state, key=W0):
