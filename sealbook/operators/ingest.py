@@ -14,6 +14,8 @@ from sealbook.operators.skew import join_hot
 from sealbook.operators.watermarks import advance_watermarks, stream_watermarks
 from sealbook.settings import Settings
 
+# What a delivery says about a bill.
+BILLED = ["quantity_micros", *STREAM, "event_time_ms", "window_key"]
 WINDOW_COLUMNS = ["window_key", *STREAM, "window_open_ms", "window_close_ms"]
 
 
@@ -46,12 +48,14 @@ def ingest(deliveries: DataFrame, state: State, settings: Settings) -> Admission
     the call, so the set of sealed windows stays fixed during it.
     """
     arrivals = _flag_sealed(with_window(deliveries, settings.window_ms), state.windows)
-    firsts = first_deliveries(arrivals.where(~F.col("sealed")))
-    prior = _prior(arrivals, firsts, state.log, settings)
+    candidates = arrivals.where(~F.col("sealed"))
+    known = None if state.log is None else known_events(arrivals, state.log, settings)
 
     # The accepted rows come from the per-id aggregate: one row per new id, whatever arrives twice.
-    accepted = log_rows(prior.where(~F.col("known")).select("first.*", "event_id"))
-    dispositions = _dispose(arrivals, prior)
+    firsts = first_deliveries(candidates, [*BILLED, "ingest_time_ms", "payload"])
+    new = firsts if known is None else firsts.join(known.select("event_id"), "event_id", "left_anti")
+    accepted = log_rows(new.select("event_id", "first.*"))
+    dispositions = _dispose(arrivals, _prior(first_deliveries(candidates, BILLED), known))
     windows = insert_if_absent(
         with_window(accepted, settings.window_ms).select(*WINDOW_COLUMNS).distinct(), state.windows, ["window_key"]
     )
@@ -95,12 +99,11 @@ def insert_if_absent(
     return rows.join(held, key, "left_anti")
 
 
-def first_deliveries(arrivals: DataFrame) -> DataFrame:
-    """One row per event id: the delivery that arrived first, as a struct.
+def first_deliveries(arrivals: DataFrame, carried: list[str]) -> DataFrame:
+    """One row per event id: the delivery that arrived first, as a struct of ``carried``.
 
     A minimum, so copies of one id are reduced before the shuffle, however many there are.
     """
-    carried = ["quantity_micros", *STREAM, "event_time_ms", "ingest_time_ms", "payload", "window_key"]
     return arrivals.groupBy("event_id").agg(F.min(F.struct("arrival", *carried)).alias("first"))
 
 
@@ -127,22 +130,24 @@ def known_events(arrivals: DataFrame, log: DataFrame, settings: Settings) -> Dat
     return with_window(columns.join(ids, "event_id", "left_semi"), settings.window_ms)
 
 
-def _prior(arrivals, firsts, log, settings) -> DataFrame:
+def _prior(firsts: DataFrame, known: DataFrame | None) -> DataFrame:
     """Per event id, the admitted event that its deliveries are measured against."""
-    original = ["quantity_micros", *STREAM, "event_time_ms", "window_key"]
-    if log is None:
-        both = firsts.withColumn("known", F.lit(False))
-        return both.withColumn("original", F.struct(*[F.col(f"first.{c}").alias(c) for c in original]))
-    known = known_events(arrivals, log, settings).select("event_id", F.struct(*original).alias("logged"))
-    both = firsts.join(known, "event_id", "full").withColumn("known", F.col("logged").isNotNull())
-    from_first = F.struct(*[F.col(f"first.{c}").alias(c) for c in original])
-    return both.withColumn("original", F.when(F.col("known"), F.col("logged")).otherwise(from_first)).drop("logged")
+    rows = firsts.select(
+        "event_id", F.col("first.arrival").alias("first_arrival"), F.struct(*[f"first.{c}" for c in BILLED]).alias("own")
+    )
+    if known is None:
+        return rows.select("event_id", "first_arrival", F.lit(False).alias("known"), F.col("own").alias("original"))
+    logged = known.select("event_id", F.struct(*BILLED).alias("logged"))
+    return rows.join(logged, "event_id", "full").select(
+        "event_id", "first_arrival", F.col("logged").isNotNull().alias("known"), F.coalesce("logged", "own").alias("original")
+    )
 
 
 def _dispose(arrivals: DataFrame, prior: DataFrame) -> DataFrame:
     """Dedup comes before quarantine: an admitted event sent again is a duplicate, even after the seal."""
-    lookup = prior.select("event_id", "known", "original", F.col("first.arrival").alias("first_arrival"))
-    joined = join_hot(arrivals, lookup, "event_id", F.col("arrival"))
+    # Payloads stay behind: a disposition needs only what identifies and bills a delivery.
+    narrow = arrivals.select("event_id", "arrival", *BILLED, "ingest_time_ms")
+    joined = join_hot(narrow, prior, "event_id", F.col("arrival"))
     known = F.coalesce("known", F.lit(False))
     new = ~known & (F.col("first_arrival").isNull() | (F.col("arrival") < F.col("first_arrival")))
     disposition = (
@@ -153,7 +158,7 @@ def _dispose(arrivals: DataFrame, prior: DataFrame) -> DataFrame:
     differs = F.col("quantity_micros") != F.col("original.quantity_micros")
     return joined.withColumn("disposition", disposition).withColumn(
         "conflict", (F.col("disposition") == "deduped") & differs
-    ).drop("known", "first_arrival", "sealed")
+    ).drop("known", "first_arrival")
 
 
 def _corrections(dispositions: DataFrame, held: DataFrame | None) -> DataFrame:

@@ -13,6 +13,7 @@ from sealbook.functions.windows import billing_mode, with_window
 from sealbook.operators import load, parity, receipts, reports, sealing, totals, verify, watermarks
 from sealbook.operators.durable import shared_folder
 from sealbook.operators.ingest import (
+    BILLED,
     State,
     WINDOW_COLUMNS,
     applied,
@@ -177,7 +178,7 @@ def gauge_without_tiebreak(spark, folder):
 
 
 def _first_lines(spark, folder) -> DataFrame:
-    first = first_deliveries(with_window(lines(spark, folder), LINES.window_ms))
+    first = first_deliveries(with_window(lines(spark, folder), LINES.window_ms), BILLED)
     return first.select("event_id", "first.*")
 
 

@@ -21,6 +21,17 @@ def table(spark: SparkSession, folder: str, name: str, *spread_by: str) -> DataF
     return rows.repartition(cores, *spread_by) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def _whole(rows: DataFrame, *columns: str, number: str) -> DataFrame:
+    """Rows with all these columns and a real number: what makes a valid delivery.
+
+    Tested on the stored columns, so that the scan can skip by them.
+    """
+    kept = ~F.isnan(number)
+    for column in (*columns, number):
+        kept = kept & F.col(column).isNotNull()
+    return rows.where(kept)
+
+
 def _hex(number: Column, width: int) -> Column:
     # Zero padded, so that text order is number order.
     return F.lpad(F.lower(F.hex(number)), width, "0")
@@ -37,7 +48,7 @@ def events_as_deliveries(spark: SparkSession, folder: str, customers: int | None
     Ingest time wobbles by 1.5 s around event time, and for one event in ten it is up to three
     days late. ``customers`` folds users together into deeper streams.
     """
-    e = table(spark, folder, "events", "event_id")
+    e = _whole(table(spark, folder, "events", "event_id"), "event_id", "user_id", "event_type", "ts", number="value")
     t = epoch_ms(F.col("ts"))
     id_text = F.col("event_id").cast("string")
     late = F.when(_draw(id_text, 5) % 10 == 0, _draw(id_text, 9) * 3956).otherwise(F.lit(0))
@@ -60,6 +71,7 @@ def lineitem_as_deliveries(spark: SparkSession, folder: str) -> DataFrame:
     re-deliveries, conflicts and ties of whole days.
     """
     line = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber")
+    line = _whole(line, "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_shipdate", number="l_quantity")
     t = epoch_ms(F.col("l_shipdate"))
     return line.select(
         F.concat(
