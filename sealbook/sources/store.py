@@ -16,6 +16,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from sealbook import schemas
 from sealbook.functions.windows import STREAM, with_window
+from sealbook.operators.durable import durable
 from sealbook.operators.ingest import (
     WINDOW_COLUMNS,
     State,
@@ -27,7 +28,7 @@ from sealbook.operators.ingest import (
 from sealbook.operators.receipts import build_receipts, bundles, sealed_leaves
 from sealbook.operators.sealing import seal_due_windows
 from sealbook.operators.totals import window_totals
-from sealbook.operators.validate import rejected_deliveries, valid_deliveries
+from sealbook.operators.validate import check_deliveries
 from sealbook.operators.watermarks import stream_watermarks
 from sealbook.settings import Settings
 
@@ -148,7 +149,12 @@ class MeteringStore:
         batch = last + 1 if batch_id is None else batch_id
         if batch <= last:
             return batch
-        valid = valid_deliveries(deliveries, now_ms, strict)
+        # The source is read and parsed once; what follows reads the checked columns it needs.
+        checked = durable(check_deliveries(deliveries, now_ms))
+        rejects = checked.where(F.col("reject_reason").isNotNull())
+        if strict and (bad := rejects.first()):
+            raise ValueError(bad.reject_reason)
+        valid = checked.where(F.col("reject_reason").isNull()).drop("reject_reason")
         admission = ingest(valid, self._state_near(valid, last), self.settings)
 
         # Files of even size, sorted by id: with time-ordered ids their statistics prune by id and by time.
@@ -158,8 +164,8 @@ class MeteringStore:
             self._write("dispositions", batch, found.select(*_TABLES["dispositions"].names))
         self._write("corrections", batch, admission.corrections)
         found.unpersist()
-        bad = rejected_deliveries(deliveries, now_ms).withColumn("quantity", F.col("quantity").cast("string"))
-        self._write("rejects", batch, bad.select(*_TABLES["rejects"].names))
+        rejects = rejects.withColumn("quantity", F.col("quantity").cast("string"))
+        self._write("rejects", batch, rejects.select(*_TABLES["rejects"].names))
 
         # From here on the batch is read back, not computed again.
         admitted = self._all("event_log").where(F.col("batch_id") == batch)
