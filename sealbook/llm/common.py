@@ -9,14 +9,12 @@ from types import ModuleType
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Stands for a null doc_id inside the operators, so that it sorts first and joins with itself.
 LOWEST = -(2**63)
 #: Words are what lies between these separators: space, and the controls from tab to carriage return.
-SEPARATORS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are handled in slices of about this many bytes, so that memory does not follow the batch size.
 SLICE_BYTES = 4_000_000
@@ -51,13 +49,56 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             start = end
 
 
-def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words of the texts in one array, and where each text's words begin (one more at the end)."""
-    lists = pc.split_pattern_regex(pc.fill_null(texts, ""), SEPARATORS)
-    flat, offsets = lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
-    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    before = np.concatenate([[0], np.cumsum(full)])
-    return flat.filter(pa.array(full)), before[offsets]
+class Words:
+    """The words of some texts as arrays: no Python object per word.
+
+    ``starts`` has where each text's words begin (one more at the end), ``hashes`` a 64-bit hash per word.
+    ``joined`` is all words, each followed by one space, and ``offsets`` where each begins in it.
+    """
+
+    def __init__(self, texts: pa.Array, lower: bool = False):
+        texts = pc.fill_null(texts, "").cast(pa.large_binary())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        data = np.insert(raw, ends[1:] - ends[0], 32)
+        ends = ends[1:] - ends[0] + np.arange(1, len(texts) + 1)
+        if lower:
+            data = np.where((data >= 65) & (data <= 90), data + 32, data)
+        inside = (data != 32) & ((data < 9) | (data > 13))
+        change = np.flatnonzero(np.diff(inside, prepend=False))
+        first, last = change[::2], change[1::2]  # every text ends in a separator
+        lengths = last - first
+        self.starts = np.searchsorted(first, np.concatenate([[0], ends]))
+        keep = inside.copy()
+        keep[last] = True
+        self.joined = data[keep]
+        self.offsets = np.concatenate([[0], np.cumsum(lengths + 1)])
+        self.joined[self.offsets[1:] - 1] = 32
+        # A polynomial over the bytes, from running sums: powers of an odd base and of its inverse.
+        n = len(self.joined)
+        powers, inverse = _powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((self.joined + np.uint64(1)) * powers[:n], out=sums[1:])
+        at, to = self.offsets[:-1], self.offsets[1:] - 1
+        self.hashes = mixed((sums[to] - sums[at]) * inverse[at] + mixed(lengths.astype(np.uint64)))
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n or more powers of the base and of its inverse, modulo 2**64."""
+    store = kept_in_worker("powers", dict)
+    if len(store.get("up", ())) < n:
+        n = max(n, SLICE_BYTES + 100_000)
+        for name, base in (("up", _BASE), ("down", _INVERSE)):
+            column = np.full(n, base, np.uint64)
+            column[0] = 1
+            store[name] = np.cumprod(column, dtype=np.uint64)
+    return store["up"], store["down"]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -71,13 +112,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash for each word; equal words are hashed once."""
-    coded = words.dictionary_encode()
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return hashes[coded.indices.to_numpy()] if len(words) else np.empty(0, np.uint64)
-
-
 def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash for each run of ``size`` hashes, in order; runs may cross documents, callers leave those out."""
     n = max(0, len(hashes) - size + 1)
@@ -92,8 +126,8 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
 
     A text with fewer words has its whole sequence as one run, a text without words an empty set.
     """
-    words, starts = words_of(pc.ascii_lower(pc.fill_null(texts, "")))
-    hashes = word_hashes(words)
+    words = Words(texts, lower=True)
+    hashes, starts = words.hashes, words.starts
     grams = gram_hashes(hashes, size)
     out = []
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):

@@ -46,5 +46,19 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from sealbook.llm.quality import quality_rules
+
+    return quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from sealbook.llm.toxicity import toxicity
+
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_line_dedup, op5_token_files, op6_substring_dedup)}
+    """Each query takes a session and the folder of the tables."""
+    found = [f for name, f in globals().items() if name.startswith("op")]
+    return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
