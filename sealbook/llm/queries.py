@@ -58,6 +58,45 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    from sealbook.llm.html_text import extract
+
+    return extract(table(spark, folder, "pages"))
+
+
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from sealbook.llm.pii import BASE, personal_data
+
+    found = personal_data(table(spark, folder, "documents"))
+
+    def joined(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *(count(kind) for kind in BASE), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and the text decoded from them, as checksums."""
+    import public_tokenizers
+
+    from sealbook.llm.sentencepieces import decode, encode, load_vocabulary
+    from sealbook.llm.token_files import with_checksums
+
+    vocabulary = load_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    tokens = encode(table(spark, folder, "documents"), vocabulary)
+    found = decode(tokens, vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"), "ids")
+    return with_checksums(found)
+
+
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from sealbook.llm.decontamination import contamination
+
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query takes a session and the folder of the tables."""
     found = [f for name, f in globals().items() if name.startswith("op")]
