@@ -2,14 +2,15 @@
 
 A window is ``size`` consecutive words of one document. Its minimiser is the smallest hash of the runs of
 ``MINIMISER`` words in it (the first of equals), so equal windows have equal minimisers at equal places.
-Consecutive windows that share a minimiser travel together as one packed string to the minimiser's
-bucket, where their windows are sorted by content and place, which shows exactly which windows also
-start earlier. Those windows go back to their documents as ranges, and covered words are removed.
-
-Two things keep buckets small. Within a slice of the input, equal packed strings are one row: all but the
-earliest are known to be repeats. And minimisers with very many rows (counted over the whole input) send
-their windows one by one, dealt by the windows' own hash, so that only equal windows meet, at most one
-from each slice.
+Consecutive windows that share a minimiser are a super-k-mer: they travel together as one packed string
+to the minimiser's bucket, where their windows are sorted by content and place, which shows exactly which
+windows also start earlier. Those go back to their documents as ranges, and covered words are removed.
+
+Three things keep traffic and buckets small. Minimisers are counted first, by number alone, and a
+super-k-mer whose minimiser occurs nowhere else stays at home: none of its windows can be repeated. Within
+a slice of the input equal packed strings are one row, since all but the earliest are known to be repeats.
+And minimisers of very many super-k-mers send their windows one by one, dealt by the windows' own hash, so
+that only equal windows meet, at most one from each slice.
 """
 
 from __future__ import annotations
@@ -23,26 +24,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealbook.llm.common import documents, gram_hashes, outer_id, slices, word_hashes, words_of
+from sealbook.llm.common import Words, documents, gram_hashes, mixed, outer_id, slices
 
 MINIMISER = 4
-#: A minimiser with more rows than this sends single windows. Results do not depend on it.
+#: A minimiser with more super-k-mers than this sends single windows. Results do not depend on it.
 HOT_ROWS = 20_000
-#: At most so many minimisers, the largest, are treated as hot; bounds what each task is told.
-MOST_HOT = 100_000
 #: Whole buckets are handled together up to about so many rows.
 BUCKET_ROWS = 20_000
 _POSITION = np.uint64((1 << 28) - 1)
 
 
-def _runs(batch: pa.RecordBatch, size: int):
-    """Packed runs of a slice: document row, first window, number of windows, minimiser; and the joined words."""
-    words, starts = words_of(batch.column("text"))
-    n = len(words)
-    if n < size:
+def _runs(words: Words, size: int):
+    """Super-k-mers of a slice: document row, first window, number of windows, minimiser."""
+    if len(words) < size:
         return None
-    hashes = word_hashes(words)
-    grams = gram_hashes(hashes, MINIMISER)
+    grams = gram_hashes(words.hashes, MINIMISER)
     least = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
     span, width = size - MINIMISER + 1, 1
     while width * 2 <= span:
@@ -51,39 +47,50 @@ def _runs(batch: pa.RecordBatch, size: int):
     if width < span:
         least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
     place = (least & _POSITION).astype(np.int64)  # one entry per window of the slice
+    starts = words.starts
     rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[: len(place)]
-    inside = np.arange(len(place)) + size <= starts[1:][rows]
-    windows = np.flatnonzero(inside)
+    windows = np.flatnonzero(np.arange(len(place)) + size <= starts[1:][rows])
     if not len(windows):
         return None
     new = np.ones(len(windows), bool)
     new[1:] = (place[windows][1:] != place[windows][:-1]) | (rows[windows][1:] != rows[windows][:-1])
     first = windows[new]
     count = np.diff(np.append(np.flatnonzero(new), len(windows)))
-    lengths = pc.binary_length(words.cast(pa.binary())).to_numpy().astype(np.int64) + 1
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    joined = b" ".join(words.cast(pa.binary()).to_pylist())
-    return rows[first], first, count, grams[place[first]].view(np.int64), starts, offsets, joined
+    return rows[first], first, count, grams[place[first]].view(np.int64)
 
 
 def _minimisers(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            if found := _runs(batch, size):
-                values, n = np.unique(found[3], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], ["bucket", "n"])
+            if found := _runs(Words(batch.column("text")), size):
+                rows, _, _, bucket = found
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket), batch.column("id").take(pa.array(rows)), batch.column("h").take(pa.array(rows))], ["bucket", "id", "h"]
+                )
 
     return run
 
 
-def _packed(size: int, hot: np.ndarray):
+def _packed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            if not (found := _runs(batch, size)):
+            words = Words(batch.column("text"))
+            if not (found := _runs(words, size)):
                 continue
-            rows, first, count, bucket, starts, offsets, joined = found
-            if len(hot):
-                single = np.isin(bucket, hot)
+            rows, first, count, bucket = found
+            # Each document's shared minimisers, hot ones marked.
+            lists = batch.column("shared")
+            owner = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            shared, hot = flat.field("bucket").to_numpy(), flat.field("hot").to_numpy(zero_copy_only=False)
+            tag = mixed(shared.view(np.uint64)) + mixed(owner.astype(np.uint64))
+            order = np.argsort(tag)
+            own = mixed(bucket.view(np.uint64)) + mixed(rows.astype(np.uint64))
+            at = np.minimum(np.searchsorted(tag[order], own), max(len(tag) - 1, 0))
+            goes = tag[order][at] == own if len(tag) else np.zeros(len(own), bool)
+            single = hot[order][at][goes] if len(tag) else np.zeros(0, bool)
+            rows, first, count, bucket = rows[goes], first[goes], count[goes], bucket[goes]
+            if single.any():
                 reps = np.where(single, count, 1)
                 step = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
                 rows, bucket = np.repeat(rows, reps), np.repeat(bucket, reps)
@@ -92,19 +99,19 @@ def _packed(size: int, hot: np.ndarray):
             ids, texts = batch.column("id").to_numpy(), batch.column("h").to_numpy()
             # Earliest first, so that the first of equal strings is the one that travels.
             order = np.lexsort((first, texts[rows], ids[rows]))
-            rows, first, count, bucket = rows[order], first[order], count[order], bucket[order]
-            begin, end = offsets[first].tolist(), (offsets[first + count + size - 1] - 1).tolist()
+            rows, first, count, bucket, single = rows[order], first[order], count[order], bucket[order], single[order]
+            joined = words.joined.tobytes()
+            begin, end = words.offsets[first].tolist(), (words.offsets[first + count + size - 1] - 1).tolist()
             strings = [joined[a:b] for a, b in zip(begin, end)]
             seen: set[bytes] = set()
             travels = np.fromiter((not (s in seen or seen.add(s)) for s in strings), bool, len(strings))
-            if len(hot):
-                for k in np.flatnonzero(single[order] & travels):
-                    bucket[k] = np.uint64(xxhash.xxh3_64_intdigest(strings[k])).view(np.int64)
-            mixed_up = (ids[rows] * 31 + first) * np.int64(0x9E3779B97F4A7C1)
+            for k in np.flatnonzero(single & travels):
+                bucket[k] = np.uint64(xxhash.xxh3_64_intdigest(strings[k])).view(np.int64)
+            anywhere = mixed((ids[rows] * 31 + first).view(np.uint64)).view(np.int64)
             packed = pa.array([s if t else None for s, t in zip(strings, travels.tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(travels, bucket, mixed_up)), pa.array(ids[rows]), pa.array(texts[rows]),
-                 pa.array((first - starts[rows]).astype(np.int32)), pa.array(count.astype(np.int32)), packed],
+                [pa.array(np.where(travels, bucket, anywhere)), pa.array(ids[rows]), pa.array(texts[rows]),
+                 pa.array((first - words.starts[rows]).astype(np.int32)), pa.array(count.astype(np.int32)), packed],
                 ["bucket", "id", "h", "start", "n", "packed"],
             )
 
@@ -158,36 +165,45 @@ def _repeats(size: int):
 def _removed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words, starts = words_of(batch.column("text"))
+            words = Words(batch.column("text"))
             change = np.zeros(len(words) + 1, np.int64)
             ranges = batch.column("ranges")
             if ranges.null_count < len(ranges):
                 rows = np.repeat(np.arange(len(ranges)), pc.fill_null(pc.list_value_length(ranges), 0).to_numpy(zero_copy_only=False))
                 flat = ranges.flatten()
-                first = starts[rows] + flat.field("start").to_numpy()
+                first = words.starts[rows] + flat.field("start").to_numpy()
                 np.add.at(change, first, 1)
                 np.add.at(change, first + flat.field("n").to_numpy() + size - 1, -1)
             stay = np.cumsum(change[:-1]) == 0
-            left = np.concatenate([[0], np.cumsum(stay)])[starts]
-            kept = pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), words.cast(pa.binary()).filter(pa.array(stay)))
-            texts = pc.binary_join(kept, b" ")
-            n = np.diff(starts)
+            lengths = np.diff(words.offsets)
+            text = words.joined[np.repeat(stay, lengths)].tobytes()
+            ends = np.concatenate([[0], np.cumsum(lengths * stay)])[words.starts].tolist()
+            kept = [text[a : max(a, b - 1)] for a, b in zip(ends, ends[1:])]
+            left = np.concatenate([[0], np.cumsum(stay)])[words.starts]
+            n = np.diff(words.starts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n.astype(np.int64)), pa.array((n - np.diff(left)).astype(np.int64)), texts.cast(pa.string())],
+                [batch.column("id"), pa.array(n.astype(np.int64)), pa.array((n - np.diff(left)).astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())],
                 ["id", "n_words", "n_removed", "kept_text"],
             )
 
     return run
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return documents(docs).withColumn("h", F.xxhash64("text"))
+
+
 def repeated_windows(docs: DataFrame, size: int = 20) -> DataFrame:
     """``id``, ``h``, ``start``, ``n``: ranges of windows of each text that also start earlier."""
-    base = documents(docs).filter(F.length("text") > 0).withColumn("h", F.xxhash64("text"))
-    counts = base.select("text").mapInArrow(_minimisers(size), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    hot = counts.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "bucket").limit(MOST_HOT).collect()
-    hot = np.array([r.bucket for r in hot], np.int64)
-    packed = base.mapInArrow(_packed(size, hot), "bucket long, id long, h long, start int, n int, packed binary")
-    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+    base = _texts(docs)
+    found = base.mapInArrow(_minimisers(size), "bucket long, id long, h long")
+    counts = found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = (
+        found.join(counts, "bucket").select("id", "h", F.struct("bucket", (F.col("n") > HOT_ROWS).alias("hot")).alias("s"))
+        .groupBy("id", "h").agg(F.collect_list("s").alias("shared"))
+    )
+    kind = "bucket long, id long, h long, start int, n int, packed binary"
+    dealt = base.join(shared, ["id", "h"]).mapInArrow(_packed(size), kind).repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(_repeats(size), "id long, h long, start int, n int")
 
 
@@ -204,7 +220,7 @@ def substring_dedup(docs: DataFrame, size: int = 20) -> DataFrame:
     table gives no rows; other columns are not looked at.
     """
     ranges = repeated_windows(docs, size).groupBy("id", "h").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    base = documents(docs).withColumn("h", F.xxhash64("text"))
+    base = _texts(docs)
     kind = "id long, n_words long, n_removed long, kept_text string"
     joined = base.join(ranges, ["id", "h"], "left").select("id", "text", "ranges")
     return joined.mapInArrow(_removed(size), kind).select(outer_id(F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_text")
