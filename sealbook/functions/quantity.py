@@ -19,6 +19,18 @@ def trim_blank(text: Column) -> Column:
     return F.regexp_replace(text, f"^{_BLANK}|{_BLANK}\\z", "")
 
 
+def is_quantity_text(text: Column) -> Column:
+    """Whether a string has the shape of a quantity, however large; false for null."""
+    cut = trim_blank(text)
+    return F.coalesce((cut != "") & cut.rlike(_SHAPE), F.lit(False))
+
+
+def is_number(number: Column) -> Column:
+    """Whether a numeric value is finite; false for null."""
+    value = number.cast("double")
+    return F.coalesce(~F.isnan(value) & (F.abs(value) != float("inf")), F.lit(False))
+
+
 def micros_from_text(text: Column) -> Column:
     """Micro-units of a decimal string; null where it is not one or does not fit a long.
 

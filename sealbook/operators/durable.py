@@ -9,12 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under the cluster's ``spark.checkpoint.dir``.
+    """A new folder name under ``spark.checkpoint.dir``, which all executors share.
 
-    Only a session without that setting gets a local folder, which suits tests.
+    Where that is unset, the folder set on the context counts; failing that a session on one
+    machine gets a local folder, and a cluster is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root or tempfile.mkdtemp(prefix='sealbook-')}/sealbook-{uuid4().hex}"
+    if not root and (held := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        root = held.get()
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="sealbook-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root}/sealbook-{uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:

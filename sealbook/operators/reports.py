@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealbook.functions.ids import short_id
-from sealbook.functions.quantity import format_micros
+from sealbook.functions.quantity import exact_sum, format_micros
 from sealbook.functions.windows import STREAM
 from sealbook.operators.ordering import in_order
 from sealbook.schemas import MICROS_SUM
@@ -106,3 +106,24 @@ def state_snapshot(totals: DataFrame, watermarks: DataFrame, corrections: DataFr
         "streams": totals.select(*STREAM).distinct(),
         "customers": totals.select("customer_id").distinct(),
     }
+
+
+def trailing_usage(events: DataFrame, step_ms: int, span_ms: int, key: str = "customer_id") -> DataFrame:
+    """Per key and time step with events: usage in the span that ends there, and the gap to the step before.
+
+    Events are summed into steps first, so a window holds at most one row per step, however many events
+    a key has.
+    """
+    step = F.col("event_time_ms") - F.pmod("event_time_ms", F.lit(step_ms).cast("bigint"))
+    steps = events.groupBy(key, step.alias("at_ms")).agg(exact_sum(F.col("quantity_micros")).alias("micros"))
+    order = Window.partitionBy(key).orderBy("at_ms")
+    return steps.select(
+        key, "at_ms", F.sum("micros").over(order.rangeBetween(-span_ms, 0)).cast("decimal(38,0)").alias("trailing_micros"),
+        (F.col("at_ms") - F.lag("at_ms").over(order)).alias("gap_ms"),
+    )
+
+
+def lane(windows: DataFrame) -> DataFrame:
+    """Windows with their place in the lane of their stream, by open time."""
+    order = Window.partitionBy("customer_id", "metric").orderBy("window_open_ms", "window_key")
+    return windows.withColumn("place", F.row_number().over(order).cast("bigint"))

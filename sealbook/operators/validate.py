@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from sealbook.functions.quantity import micros_from_number, micros_from_text
+from sealbook.functions.quantity import is_number, is_quantity_text, micros_from_number, micros_from_text
 
 REASONS = {
-    "event_id": "event_id must be a non-empty string",
-    "customer_id": "customer_id must be a non-empty string",
-    "metric": "metric must be a non-empty string",
-    "event_time_ms": "event_time_ms must be a finite epoch-ms number",
-    "quantity": "quantity must be a decimal number",
+    "event_id": "no_event_id",
+    "customer_id": "no_customer_id",
+    "metric": "no_metric",
+    "event_time_ms": "no_event_time",
+    "quantity": "not_a_quantity",
+    "quantity_range": "quantity_too_large",
 }
 
+# Fixed value: the shape of a UUID, the one kind of id whose case says nothing.
+_UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+
+
+def normal_id(name: str) -> Column:
+    """An id as it is compared: a UUID in lower case, so that text order is UUID order; others as given."""
+    return F.when(F.col(name).rlike(_UUID), F.lower(name)).otherwise(F.col(name))
+
 
 def check_deliveries(df: DataFrame, now_ms: int) -> DataFrame:
     """Add ``quantity_micros`` and ``reject_reason`` (null for a valid delivery).
 
-    Ids become lower case, so that their text order is their UUID order. A missing ingest time
-    becomes ``now_ms`` and a missing payload an empty object.
+    UUIDs become lower case; other ids stay as given. A missing ingest time becomes ``now_ms`` and a
+    missing payload an empty object. A quantity beyond a 64-bit count of micro-units has a reason of its own.
     """
     numeric = isinstance(df.schema["quantity"].dataType, NumericType)
     quantity = F.col("quantity")
@@ -30,14 +39,16 @@ def check_deliveries(df: DataFrame, now_ms: int) -> DataFrame:
         if name == "event_time_ms":
             bad = F.col(name).isNull()
         elif name == "quantity":
+            bad = ~(is_number(quantity) if numeric else is_quantity_text(quantity))
+        elif name == "quantity_range":
             bad = F.col("quantity_micros").isNull()
         else:
             bad = F.col(name).isNull() | (F.col(name) == "")
         reason = F.when(bad, problem).otherwise(reason)
     return (
         df.withColumn("quantity_micros", micros_from_number(quantity) if numeric else micros_from_text(quantity))
-        .withColumn("event_id", F.lower("event_id"))
-        .withColumn("customer_id", F.lower("customer_id"))
+        .withColumn("event_id", normal_id("event_id"))
+        .withColumn("customer_id", normal_id("customer_id"))
         .withColumn("ingest_time_ms", F.coalesce("ingest_time_ms", F.lit(now_ms).cast("bigint")))
         .withColumn("payload", F.coalesce("payload", F.lit("{}")))
         .withColumn("reject_reason", reason)

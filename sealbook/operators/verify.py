@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealbook.operators.ordering import in_order
@@ -16,39 +16,64 @@ from sealbook.operators.ordering import in_order
 LEVEL_STEP = 8  # tree levels folded between two shuffles
 
 
+def bundle_id() -> Column:
+    """Rows with one receipt are parts of one bundle, whatever window it names."""
+    return F.sha2(F.to_json("receipt"), 256)
+
+
 def bundle_leaves(bundles: DataFrame) -> DataFrame:
     """One row per leaf, at the position the bundle gives it; order is part of the claim."""
     rows = bundles.select(
+        bundle_id().alias("bundle_id"),
         F.col("receipt.windowKey").alias("window_key"),
         F.coalesce("firstLeaf", F.lit(0)).alias("base"),
         F.posexplode("leaves").alias("at", "leaf"),
     )
-    return rows.select("window_key", (F.col("base") + F.col("at")).alias("position"), "leaf.*")
+    return rows.select("bundle_id", "window_key", (F.col("base") + F.col("at")).alias("position"), "leaf.*")
+
+
+def bundle_claims(bundles: DataFrame) -> DataFrame:
+    """One row per bundle: its receipt, and whether its parts are the whole of it, each once.
+
+    A bundle of which only a later part is there, a part that is missing or comes twice, and a second
+    bundle for the same window all stay rows, marked in ``parts_ok`` and ``window_once``.
+    """
+    part = F.struct(F.coalesce("firstLeaf", F.lit(0)).cast("bigint").alias("first"), F.size("leaves").cast("bigint").alias("n"))
+    rows = bundles.select(bundle_id().alias("bundle_id"), "receipt", part.alias("part"))
+    whole = rows.groupBy("bundle_id").agg(F.any_value("receipt").alias("receipt"), F.sort_array(F.collect_list("part")).alias("parts"))
+    # Where each part must begin for the ones before it to reach it; -1 once one does not.
+    reached = F.aggregate("parts", F.lit(0).cast("bigint"), lambda end, p: F.when(p["first"] == end, end + p["n"]).otherwise(-1))
+    once = Window.partitionBy("receipt.windowKey")
+    return whole.select(
+        "bundle_id",
+        "receipt",
+        reached.eqNullSafe(F.col("receipt.eventCount")).alias("parts_ok"),
+        (F.count(F.lit(1)).over(once) == 1).alias("window_once"),
+    )
 
 
 def verify_bundles(bundles: DataFrame, domain: str, key: str) -> DataFrame:
-    """Per window: is the root, the total and the signature what the leaves say?"""
+    """Per bundle: is it whole, and are root, total and signature what the leaves say?"""
     leaves = bundle_leaves(bundles)
     hashed = leaves.select(
-        "window_key",
+        "bundle_id",
         "position",
         F.sha2(
             F.format_string(f"{domain}.leaf.v1\n%s|%s|%s", "eventId", "eventTimeMs", "quantityMicros"), 256
         ).alias("node"),
     )
     ends = F.coalesce("firstLeaf", F.lit(0)) + F.size("leaves")
-    roots = _roots(hashed, ["window_key"], domain, bundles.agg(F.max(ends)).first()[0] or 0)
+    roots = _roots(hashed, ["bundle_id"], domain, bundles.agg(F.max(ends)).first()[0] or 0)
     micros = F.col("quantityMicros").cast("decimal(28,0)")
-    totals = leaves.groupBy("window_key").agg(
+    totals = leaves.groupBy("bundle_id").agg(
         F.sum(micros).cast("string").alias("as_counter"),
         F.max(F.struct("eventTimeMs", "eventId", micros.alias("micros")))["micros"].cast("string").alias("as_gauge"),
         F.count(F.lit(1)).alias("leaf_count"),
     )
-    claims = bundles.where(F.coalesce("firstLeaf", F.lit(0)) == 0).select("receipt.*")
+    claims = bundle_claims(bundles).select("bundle_id", "receipt.*", "parts_ok", "window_once")
     nothing = hashlib.sha256(f"{domain}.empty.v1".encode()).hexdigest()
     checked = (
-        claims.join(roots, F.col("windowKey") == roots.window_key, "left").drop("window_key")
-        .join(totals, F.col("windowKey") == totals.window_key, "left").drop("window_key")
+        claims.join(roots, "bundle_id", "left").join(totals, "bundle_id", "left")
         .withColumn("recomputed_root", F.coalesce("node", F.lit(nothing)))
         .withColumn("leaf_count", F.coalesce("leaf_count", F.lit(0)))
         .withColumn(
@@ -63,6 +88,8 @@ def verify_bundles(bundles: DataFrame, domain: str, key: str) -> DataFrame:
         F.col("windowKey").alias("window_key"),
         F.col("customerId").alias("customer_id"),
         "metric",
+        "parts_ok",
+        "window_once",
         root_ok.alias("root_ok"),
         F.col("recomputed_total_micros").eqNullSafe(F.col("billedTotalMicros")).alias("total_ok"),
         _signed(F.col("recomputed_root"), key).eqNullSafe(F.col("signature")).alias("signature_ok"),
@@ -72,7 +99,7 @@ def verify_bundles(bundles: DataFrame, domain: str, key: str) -> DataFrame:
         F.col("merkleRoot").alias("claimed_root"),
         "recomputed_total_micros",
         F.col("billedTotalMicros").alias("claimed_total_micros"),
-    ).withColumn("ok", F.col("root_ok") & F.col("total_ok") & F.col("signature_ok"))
+    ).withColumn("ok", F.col("parts_ok") & F.col("window_once") & F.col("root_ok") & F.col("total_ok") & F.col("signature_ok"))
 
 
 def tampered(verified: DataFrame) -> DataFrame:
@@ -129,13 +156,13 @@ def invoice_roots(verified: DataFrame, by: list[str], domain: str, rows_per_task
 
 
 def verify_invoices(verified: DataFrame, by: list[str], domain: str) -> DataFrame:
-    """Grand total of the recomputed totals, invoice root, and whether every window holds."""
+    """Grand total of the recomputed totals, invoice root, and whether there are windows and every one holds."""
     micros = F.col("recomputed_total_micros").cast("decimal(38,0)")
     sums = verified.groupBy(*by).agg(
         F.count(F.lit(1)).alias("windows"),
         F.count_if(~F.col("ok")).alias("rejected"),
         F.coalesce(F.sum(micros), F.lit(0)).cast("string").alias("grand_total_micros"),
-        F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok"),
+        F.coalesce(F.bool_and("ok"), F.lit(False)).alias("ok"),
     )
     roots = invoice_roots(verified, by, domain)
     if by:

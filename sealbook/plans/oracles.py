@@ -166,7 +166,7 @@ _QUANTITY_TEXT = """(
 
 
 def _hostile(seed: str, source: str) -> str:
-    twice = f"CAST('0x' || substr(md5('{seed}/twice|' || event_id), 1, 4) AS BIGINT) < {int(0.15 * 65536)}"
+    twice = f"CAST('0x' || substr(md5('{seed}/twice|' || event_id), 1, 4) AS BIGINT) < {int(0.25 * 65536)}"
     return f"""(SELECT event_id, copy, md5('{seed}|' || event_id || '|' || CAST(copy AS VARCHAR)) AS arrival
       FROM (SELECT event_id, CAST(unnest(CASE WHEN {twice} THEN [0, 1] ELSE [0] END) AS INTEGER) AS copy FROM {source}))"""
 
@@ -198,9 +198,9 @@ def oracles() -> dict[str, str]:
         "usage_from_events": f"""WITH {ev} SELECT event_id, customer_id, metric, {m('q')} AS quantity,
             t AS event_time_ms, ing AS ingest_time_ms, payload FROM ev""",
         "validate_deliveries": f"""WITH {ev},
-            b AS (SELECT CASE WHEN metric = 'error' THEN 'metric must be a non-empty string'
-                   WHEN length(payload) = 9 THEN 'event_time_ms must be a finite epoch-ms number'
-                   WHEN metric = 'signup' THEN 'quantity must be a decimal number' ELSE 'valid' END AS outcome,
+            b AS (SELECT CASE WHEN metric = 'error' THEN 'no_metric'
+                   WHEN length(payload) = 9 THEN 'no_event_time'
+                   WHEN metric = 'signup' THEN 'not_a_quantity' ELSE 'valid' END AS outcome,
                    CASE WHEN metric = 'signup' THEN NULL ELSE q END AS q FROM ev)
             SELECT outcome, count(*) AS deliveries, CAST(sum(q) AS VARCHAR) AS micros FROM b GROUP BY outcome""",
         "parse_micros": f"""SELECT l_orderkey, l_linenumber, l_partkey, quantity,
@@ -233,11 +233,11 @@ def oracles() -> dict[str, str]:
             SELECT k AS window_key, {m('last(q ORDER BY t, arr)')} AS billed_total, count(*) AS event_count FROM wl GROUP BY k""",
         "window_totals": window_totals,
         "stream_metering": window_totals,
-        "range_window_join": f"""WITH {_events(10)},
+        "range_window_join": f"""WITH {_events(25)},
             hw AS (SELECT CAST(n_nationkey AS VARCHAR) AS customer_id, metric,
                 CAST(n_nationkey AS VARCHAR) || '/' || metric AS k, 1704067200000 + n_nationkey * 3600007 AS o,
                 n_nationkey % 2 = 0 AS sealed
-              FROM nation, (SELECT unnest(['click', 'view_gauge', 'purchase']) AS metric) WHERE n_nationkey < 10),
+              FROM nation, (SELECT unnest(['click', 'view_gauge', 'purchase', 'signup', 'error']) AS metric)),
             j AS (SELECT hw.k, hw.metric, event_id, q, t FROM hw JOIN ev ON ev.customer_id = hw.customer_id
                 AND ev.metric = hw.metric AND t >= o AND t < o + {20 * DAY_MS} AND (NOT sealed OR t <= o + {9 * DAY_MS})),
             v AS (SELECT k, {_VALUE} AS micros, count(*) AS n FROM j GROUP BY k)
@@ -255,19 +255,14 @@ def oracles() -> dict[str, str]:
               coalesce(sealed, false) AS sealed, swm AS sealed_watermark_ms FROM a LEFT JOIN totals USING (k)""",
         "invoice_totals": f"""{_same_totals()} SELECT customer_id, count(*) AS windows, CAST(sum(n) AS BIGINT) AS event_count,
             CAST(sum(micros) AS VARCHAR) AS grand_total_micros, {m('sum(micros)')} AS grand_total FROM totals GROUP BY customer_id""",
-        "expected_totals": f"""WITH {_LINES}, {_windowed('wl', '(SELECT DISTINCT event_id, customer_id, metric, t, q FROM li)', LINES.window_ms)}
-            SELECT k AS window_key, CAST(sum(q) AS VARCHAR) AS expected_micros FROM wl GROUP BY k""",
-        "load_cost_series": f"""WITH {_events(10)},
-            s AS (SELECT customer_id, t - t % 600000 AS at_ms, sum(q) AS micros, count(*) AS events FROM ev GROUP BY ALL),
-            l AS (SELECT *, CAST(sum(micros) OVER (PARTITION BY customer_id ORDER BY at_ms
-                    RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW) AS DOUBLE) / 1000000 AS load FROM s),
-            c AS (SELECT *, round(0.0 + 16.0 * (1 - exp(-load / 500.0)), 3) AS capacity FROM l),
-            a AS (SELECT *, coalesce((capacity + lag(capacity) OVER o) / 2 * ((at_ms - lag(at_ms) OVER o) / 1000), 0.0) AS area
-                  FROM c WINDOW o AS (PARTITION BY customer_id ORDER BY at_ms)),
-            u AS (SELECT *, sum(area) OVER (PARTITION BY customer_id ORDER BY at_ms
-                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS us FROM a)
-            SELECT customer_id, at_ms, events, round(load, 6) AS load, capacity, round(us, 4) AS unit_seconds,
-              round(us / 3600 * 0.12, 6) AS cost FROM u""",
+        "expected_totals": f"""WITH {ev}, {wl} SELECT k AS window_key, CAST(sum(q) AS VARCHAR) AS expected_micros FROM wl GROUP BY k""",
+        "billed_as_expected": f"""WITH {ev}, {wl} SELECT count(DISTINCT k) AS windows, CAST(0 AS BIGINT) AS different,
+            CAST(sum(q) AS VARCHAR) AS grand_total_micros FROM wl WHERE metric <> 'view_gauge'""",
+        "trailing_usage": f"""WITH {_events(10)},
+            s AS (SELECT customer_id, t - t % 600000 AS at_ms, sum(q) AS micros FROM ev GROUP BY ALL)
+            SELECT customer_id, at_ms, CAST(sum(micros) OVER (PARTITION BY customer_id ORDER BY at_ms
+                RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW) AS VARCHAR) AS trailing_micros,
+              at_ms - lag(at_ms) OVER (PARTITION BY customer_id ORDER BY at_ms) AS gap_ms FROM s""",
         "dedup_first_delivery": f"""WITH {_FIRST_LINES}, {_windowed('wl', 'fl', LINES.window_ms)}
             SELECT event_id, k AS window_key, t AS event_time_ms, q AS quantity_micros FROM wl""",
         "ingest_dispositions": f"""WITH {_LINES}, {_windowed('d', 'li', LINES.window_ms)},
@@ -339,6 +334,9 @@ def oracles() -> dict[str, str]:
             true AS signature_ok, true AS metadata_ok, n AS event_count, root AS recomputed_root, root AS claimed_root,
             CAST(micros AS VARCHAR) AS recomputed_total_micros, CAST(micros AS VARCHAR) AS claimed_total_micros, true AS ok
             FROM totals JOIN roots USING (k)""",
+        "verify_broken_bundles": f"""{_ROOTS},
+            b AS (SELECT k, NOT (customer_id = '2' OR (customer_id IN ('0', '1') AND n > 8)) AS whole FROM totals JOIN roots USING (k))
+            SELECT k AS window_key, whole AS parts_ok, true AS window_once, whole AS ok FROM b""",
         "verify_invoice": f"""{_INVOICE} SELECT count(*) AS windows, CAST(0 AS BIGINT) AS rejected,
             CAST(sum(micros) AS VARCHAR) AS grand_total_micros, true AS ok,
             (SELECT h FROM whole WHERE n = 1) AS invoice_root FROM bills""",
@@ -353,6 +351,25 @@ def oracles() -> dict[str, str]:
         "customer_invoices": f"""{_INVOICE} SELECT customer_id, count(*) AS lines, CAST(sum(n) AS BIGINT) AS event_count,
             {m('sum(micros)')} AS grand_total, any_value(h) AS invoice_root
             FROM bills JOIN (SELECT customer_id, h FROM forest WHERE n = 1) USING (customer_id) GROUP BY customer_id""",
+        "window_lanes": f"""{daily} SELECT k AS window_key, customer_id, metric,
+            row_number() OVER (PARTITION BY customer_id, metric ORDER BY o) AS place FROM win""",
+        "corrections_in_order": f"""{_LINE_CHAIN} SELECT k AS window_key, event_id, t AS event_time_ms,
+            row_number() OVER (PARTITION BY k ORDER BY t, event_id) AS place FROM corr""",
+        "event_timestamps": f"""WITH {ev} SELECT event_id, strftime(make_timestamp(t * 1000), '%Y-%m-%d %H:%M:%S.%g') AS event_time FROM ev""",
+        "ingest_counts_of_copies": f"""WITH {_LINES}, n AS (SELECT count(*) AS n, count(DISTINCT event_id) AS ids,
+              count(*) FILTER (WHERE CAST('0x' || right(event_id, 8) AS BIGINT) % 10 = 0) AS again FROM li)
+            SELECT 'accepted' AS disposition, ids AS deliveries FROM n
+            UNION ALL SELECT 'deduped', n + again - ids FROM n""",
+        "stream_then_seal_then_stream": f"""WITH {ev}, {wl},
+            p AS (SELECT *, CAST('0x' || right(event_id, 8) AS BIGINT) % 3 AS part FROM wl),
+            w1 AS (SELECT customer_id, metric, max(t) - {DAILY.grace_ms} AS wm FROM p WHERE part < 2 GROUP BY ALL),
+            s1 AS (SELECT DISTINCT k FROM p JOIN w1 USING (customer_id, metric) WHERE part < 2 AND o + {day} <= wm),
+            a AS (SELECT * FROM p WHERE part < 2 OR k NOT IN (SELECT k FROM s1)),
+            w2 AS (SELECT customer_id, metric, max(t) - {DAILY.grace_ms} AS wm FROM a GROUP BY ALL),
+            v AS (SELECT k, customer_id, metric, o, {_VALUE} AS micros, count(*) AS n FROM a GROUP BY k, customer_id, metric, o),
+            l AS (SELECT k, count(*) AS late FROM p WHERE part = 2 AND k IN (SELECT k FROM s1) GROUP BY k)
+            SELECT k AS window_key, {m('micros')} AS billed_total, n AS event_count, o + {day} <= wm AS sealed,
+              coalesce(late, 0) AS late FROM v JOIN w2 USING (customer_id, metric) LEFT JOIN l USING (k)""",
         "hostile_arrivals": f"WITH {ev} SELECT * FROM {_hostile('one', 'ev')}",
         "replay_invariance": f"""{_same_totals()} SELECT k AS window_key, CAST(3 AS BIGINT) AS runs, {m('micros')} AS lowest,
             {m('micros')} AS highest, true AS all_equal FROM totals""",
@@ -370,7 +387,7 @@ def oracles() -> dict[str, str]:
         "straggler_probe": f"""{daily}, {_TOTALS},
             s AS (SELECT k, o + (c - o) // 2 AS mid, sha256(k || '|straggler') AS h, micros FROM totals WHERE sealed)
             SELECT k AS window_key, {uuid('mid', 'h')} AS event_id, 'late_after_seal' AS reason, mid AS event_time_ms,
-              CAST(4242000000 AS BIGINT) AS quantity_micros, {m('micros')} AS before, {m('micros')} AS after FROM s""",
+              CAST(77250000 AS BIGINT) AS quantity_micros, {m('micros')} AS before, {m('micros')} AS after FROM s""",
         "tie_sensitivity": f"""WITH {_FIRST_LINES}, {_windowed('wl', 'fl', LINES.window_ms)},
             z AS (SELECT * FROM wl QUALIFY t = max(t) OVER (PARTITION BY k)),
             g AS (SELECT k, count(*) AS tied, last(q ORDER BY event_id) AS billed,

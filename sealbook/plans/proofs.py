@@ -14,10 +14,7 @@ from sealbook.operators.sealing import seal_due_windows
 from sealbook.operators.totals import window_totals
 from sealbook.settings import Settings
 
-DUPLICATE_SHARE = 0.15
-
-
-def hostile_arrivals(deliveries: DataFrame, seed: str | Column, share: float = DUPLICATE_SHARE) -> DataFrame:
+def hostile_arrivals(deliveries: DataFrame, seed: str | Column, share: float) -> DataFrame:
     """Every delivery once, a share of them twice, in the shuffled order of ``seed``.
 
     Which are doubled and where each copy lands follows from hashes, so a seed always gives the
@@ -32,8 +29,12 @@ def hostile_arrivals(deliveries: DataFrame, seed: str | Column, share: float = D
 
 
 def expected_totals(deliveries: DataFrame, settings: Settings) -> DataFrame:
-    """Totals of counters straight from the set of events, without any of the ingest steps."""
-    unique = deliveries.select("event_id", *STREAM, "event_time_ms", "quantity_micros").distinct()
+    """Totals of counters straight from the set of events, without any of the ingest steps.
+
+    One row counts per id, the smallest by stream, time and quantity; ids that say one thing only do not care.
+    """
+    one = F.min(F.struct(*STREAM, "event_time_ms", "quantity_micros")).alias("one")
+    unique = deliveries.groupBy("event_id").agg(one).select("event_id", "one.*")
     return with_window(unique, settings.window_ms).groupBy("window_key").agg(
         exact_sum(F.col("quantity_micros")).alias("expected_micros")
     )
@@ -46,7 +47,7 @@ def sealed_at_end(admission: Admission, state: State, settings: Settings, now_ms
     return window_totals(after.log, windows, settings)
 
 
-def replay_runs(deliveries: DataFrame, seeds: list[str], settings: Settings, now_ms: int) -> DataFrame:
+def replay_runs(deliveries: DataFrame, seeds: list[str], settings: Settings, now_ms: int, share: float = 0.25) -> DataFrame:
     """Totals per run and window for several arrival orders, all runs in one plan and one scan.
 
     Each run gets its own customers and event ids by a prefix, so runs share nothing.
@@ -54,7 +55,7 @@ def replay_runs(deliveries: DataFrame, seeds: list[str], settings: Settings, now
     each = deliveries.withColumn("run", F.explode(F.array(*[F.lit(seed) for seed in seeds])))
     prefix = F.concat("run", F.lit("/"))
     runs = (
-        hostile_arrivals(each, F.col("run"))
+        hostile_arrivals(each, F.col("run"), share)
         .withColumn("event_id", F.concat(prefix, "event_id"))
         .withColumn("customer_id", F.concat(prefix, "customer_id"))
         .drop("run")
@@ -71,12 +72,12 @@ def replay_invariance(deliveries: DataFrame, seeds: list[str], settings: Setting
     return agreement(replay_runs(deliveries, seeds, settings, now_ms), ["window_key"], "billed_total")
 
 
-def crash_replay(deliveries: DataFrame, settings: Settings, now_ms: int) -> DataFrame:
+def crash_replay(deliveries: DataFrame, settings: Settings, now_ms: int, share: float = 0.25) -> DataFrame:
     """Part of the arrivals, a crash, then everything again in another order; against one clean pass."""
-    before = hostile_arrivals(deliveries, "before").where(F.col("arrival") < "8")
+    before = hostile_arrivals(deliveries, "before", share).where(F.col("arrival") < "8")
     state = applied(State(), ingest(before, State(), settings))
-    again = ingest(hostile_arrivals(deliveries, "again"), state, settings)
-    clean = ingest(hostile_arrivals(deliveries, "clean"), State(), settings)
+    again = ingest(hostile_arrivals(deliveries, "again", share), state, settings)
+    clean = ingest(hostile_arrivals(deliveries, "clean", share), State(), settings)
     return _side_by_side(
         sealed_at_end(clean, State(), settings, now_ms), sealed_at_end(again, state, settings, now_ms)
     )
@@ -99,7 +100,7 @@ def _side_by_side(expected: DataFrame, found: DataFrame) -> DataFrame:
     return a.join(b, "window_key", "full").select("window_key", "expected", "found", same.alias("same"))
 
 
-def stragglers(windows: DataFrame, quantity: str = "4242") -> DataFrame:
+def stragglers(windows: DataFrame, quantity: str) -> DataFrame:
     """One late delivery into the middle of every sealed window."""
     middle = F.col("window_open_ms") + ((F.col("window_close_ms") - F.col("window_open_ms")) / 2).cast("bigint")
     return windows.where(F.col("state") == "sealed").select(
@@ -108,7 +109,7 @@ def stragglers(windows: DataFrame, quantity: str = "4242") -> DataFrame:
         F.lit(quantity).alias("quantity"),
         middle.alias("event_time_ms"),
         F.col("sealed_at_ms").alias("ingest_time_ms"),
-        F.lit('{"straggler":true}').alias("payload"),
+        F.lit("{}").alias("payload"),
         F.col("window_key").alias("arrival"),
     )
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sealbook.functions.hashing import leaf_text
 from sealbook.functions.quantity import format_micros, micros_from_text, pretty_micros
 from sealbook.functions.windows import billing_mode, with_window
-from sealbook.operators import load, parity, receipts, reports, sealing, totals, verify, watermarks
+from sealbook.operators import parity, receipts, reports, sealing, totals, verify, watermarks
 from sealbook.operators.durable import shared_folder
 from sealbook.operators.ingest import (
     BILLED,
@@ -20,6 +20,7 @@ from sealbook.operators.ingest import (
     first_deliveries,
     ingest,
     insert_if_absent,
+    log_rows,
     open_windows,
     sealed_hits,
 )
@@ -43,6 +44,7 @@ from sealbook.plans.scenarios import (
 )
 from sealbook.settings import DAY_MS, Settings
 from sealbook.sources import adapters, bundle_files, deliveries, store, tagged_log
+from sealbook.sources.adapters import lineitem_as_deliveries
 from sealbook.streaming.micro_batch import start_metering
 
 SEEDS = ["one", "two", "three"]
@@ -190,15 +192,15 @@ def window_totals(spark, folder):
 @query
 def range_window_join(spark, folder):
     """Hand-made windows: each customer's span halved at a watermark that cuts the second half short."""
-    e = events(spark, folder, DEEP_CUSTOMERS)
+    e = events(spark, folder, 25)
     made = _hand_made(spark, folder)
     t = totals.window_totals(e, made, WEEKLY, hand_made_windows=True)
     return t.select("window_key", "mode", "billed_total", "event_count", "sealed")
 
 
 def _hand_made(spark, folder) -> DataFrame:
-    n = adapters.table(spark, folder, "nation").where(F.col("n_nationkey") < DEEP_CUSTOMERS)
-    kinds = F.array(*[F.lit(m) for m in ("click", "view_gauge", "purchase")])
+    n = adapters.table(spark, folder, "nation")
+    kinds = F.array(*[F.lit(m) for m in ("click", "view_gauge", "purchase", "signup", "error")])
     opened = F.lit(1_704_067_200_000) + F.col("n_nationkey") * 3_600_007
     return n.select(
         F.col("n_nationkey").cast("string").alias("customer_id"), F.explode(kinds).alias("metric"),
@@ -242,13 +244,28 @@ def invoice_totals(spark, folder):
 
 @query
 def expected_totals(spark, folder):
-    return proofs.expected_totals(lines(spark, folder), LINES).select("window_key", _text("expected_micros"))
+    return proofs.expected_totals(events(spark, folder), DAILY).select("window_key", _text("expected_micros"))
 
 
 @query
-def load_cost_series(spark, folder):
+def trailing_usage(spark, folder):
+    """Per customer and ten minutes with usage: what was used in the six hours up to then, and the time since the last."""
     e = events(spark, folder, DEEP_CUSTOMERS)
-    return load.load_cost_series(e, 6 * 3_600_000, 500.0, 0.0, 16.0, 0.12, 600_000)
+    return reports.trailing_usage(e, 600_000, 6 * 3_600_000).withColumn("trailing_micros", F.col("trailing_micros").cast("string"))
+
+
+@query
+def billed_as_expected(spark, folder):
+    """Windows whose counter bill differs from the totals straight from the set of events: none, and the grand total."""
+    e = events(spark, folder).where(billing_mode(F.col("metric"), DAILY) == "counter")
+    expected = proofs.expected_totals(e, DAILY)
+    billed = totals.counter_totals(e, DAILY).select("window_key", "total_micros")
+    both = expected.join(billed, "window_key", "full")
+    differs = ~F.col("expected_micros").eqNullSafe(F.col("total_micros"))
+    return both.agg(
+        F.count(F.lit(1)).alias("windows"), F.count_if(differs).alias("different"),
+        F.sum(F.col("expected_micros")).cast("decimal(38,0)").cast("string").alias("grand_total_micros"),
+    )
 
 
 # -- ingest --------------------------------------------------------------------------------
@@ -272,6 +289,15 @@ def ingest_counts(spark, folder):
     return d.groupBy("batch_id", "disposition").agg(F.count(F.lit(1)).alias("deliveries"))
 
 
+@query
+def ingest_counts_of_copies(spark, folder):
+    """Order lines in one batch, a tenth of the orders a second time byte for byte: a copy is never accepted twice."""
+    rows = lineitem_as_deliveries(spark, folder)
+    again = F.pmod(F.conv(F.right("event_id", F.lit(8)), 16, 10).cast("bigint"), F.lit(10)) == 0
+    books = store.MeteringStore(spark, shared_folder(spark), LINES)
+    return books.counts(books.ingest(rows.unionByName(rows.where(again)), NOW_MS))
+
+
 @query
 def payload_conflicts(spark, folder):
     c = ingest(lines(spark, folder), State(), LINES).corrections
@@ -368,6 +394,26 @@ def watermark_timeline(spark, folder):
     return t.select("window_key", "customer_short", "metric", "state", "watermark_ms", "axis_min_ms", "axis_max_ms", *places)
 
 
+@query
+def window_lanes(spark, folder):
+    """Every stream's windows in order of opening."""
+    return reports.lane(daily(spark, folder).windows).select("window_key", "customer_id", "metric", "place")
+
+
+@query
+def corrections_in_order(spark, folder):
+    """The corrections of each window by time, then id."""
+    order = Window.partitionBy("window_key").orderBy("event_time_ms", "event_id")
+    c = line_store(spark, folder).corrections()
+    return c.select("window_key", "event_id", "event_time_ms", F.row_number().over(order).cast("bigint").alias("place"))
+
+
+@query
+def event_timestamps(spark, folder):
+    rows = log_rows(events(spark, folder))
+    return rows.select("event_id", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSS").alias("event_time"))
+
+
 @query
 def window_state(spark, folder):
     """The combined view after both batches: windows, state, totals and watermarks."""
@@ -461,7 +507,23 @@ def invoice_bundles(spark, folder):
 
 @query
 def verify_receipts(spark, folder):
-    return verify.verify_bundles(weekly_books(spark, folder).bundles, WEEKLY.domain, WEEKLY.receipt_key)
+    v = verify.verify_bundles(weekly_books(spark, folder).bundles, WEEKLY.domain, WEEKLY.receipt_key)
+    return v.drop("parts_ok", "window_once")
+
+
+@query
+def verify_broken_bundles(spark, folder):
+    """Bundles in parts of eight leaves; some without their first part, some without their last, some twice."""
+    s = weekly(spark, folder)
+    whole = receipts.bundles(weekly_books(spark, folder).receipts, _leaves(s).rows, bundle_leaves=8)
+    customer, n, first = F.col("receipt.customerId"), F.col("receipt.eventCount"), F.col("firstLeaf")
+    long = n > 8
+    orphaned = (customer == "0") & long & (first == 0)
+    cut_short = (customer == "1") & long & (first + 8 >= n)
+    twice = whole.where(customer == "2")
+    broken = whole.where(~orphaned & ~cut_short).unionByName(twice)
+    v = verify.verify_bundles(broken, WEEKLY.domain, WEEKLY.receipt_key)
+    return v.select("window_key", "parts_ok", "window_once", "ok")
 
 
 @query
@@ -495,7 +557,7 @@ def customer_invoices(spark, folder):
 
 @query
 def hostile_arrivals(spark, folder):
-    return proofs.hostile_arrivals(events(spark, folder), "one").select("event_id", "copy", "arrival")
+    return proofs.hostile_arrivals(events(spark, folder), "one", 0.25).select("event_id", "copy", "arrival")
 
 
 @query
@@ -530,7 +592,7 @@ def straggler_probe(spark, folder):
     """One late event into every sealed window: all are filed, no total moves."""
     s = daily(spark, folder)
     state = State(log=s.log, windows=s.windows, watermarks=s.watermarks)
-    probe = check_deliveries(proofs.stragglers(s.windows), NOW_MS).drop("reject_reason")
+    probe = check_deliveries(proofs.stragglers(s.windows, "77.25"), NOW_MS).drop("reject_reason")
     admission = ingest(probe, state, DAILY)
     before = totals.window_totals(s.log, s.windows, DAILY).select("window_key", F.col("billed_total").alias("before"))
     after = applied(state, admission)
@@ -551,11 +613,36 @@ def tie_sensitivity(spark, folder):
 def stream_metering(spark, folder):
     """Shuffled and doubled events, delivered as files, metered batch by batch and sealed at the end."""
     base = shared_folder(spark)
-    arrivals = proofs.hostile_arrivals(adapters.events_as_deliveries(spark, folder), "one").drop("copy")
-    arrivals.repartitionByRange(4, "arrival").write.parquet(f"{base}/incoming")
+    arrivals = proofs.hostile_arrivals(adapters.events_as_deliveries(spark, folder), "one", 0.25).drop("copy")
+    arrivals.repartitionByRange("arrival").write.parquet(f"{base}/incoming")
     schema = arrivals.schema
     books = store.MeteringStore(spark, f"{base}/tables", DAILY)
-    incoming = deliveries.stream_parquet(spark, f"{base}/incoming", schema, max_files=2)
+    files = len(spark.read.parquet(f"{base}/incoming").inputFiles())
+    incoming = deliveries.stream_parquet(spark, f"{base}/incoming", schema, max_files=-(-files // 2))
     start_metering(incoming, books, f"{base}/checkpoint", NOW_MS, auto_seal=False).awaitTermination()
     books.seal(NOW_MS)
     return books.totals().drop("window_open_ms", "window_close_ms")
+
+
+@query
+def stream_then_seal_then_stream(spark, folder):
+    """One store, three sources of change: a batch load, a stream, a seal, and the stream again from its checkpoint.
+
+    The first third of the ids comes as a batch, the second as the stream's first files, the last after the
+    seal; what the seal made late is filed, as each batch seals at its end.
+    """
+    base = shared_folder(spark)
+    arrivals = adapters.events_as_deliveries(spark, folder)
+    third = F.pmod(F.conv(F.substring("event_id", 29, 8), 16, 10).cast("bigint"), F.lit(3))
+    books = store.MeteringStore(spark, f"{base}/tables", DAILY)
+    books.ingest(arrivals.where(third == 0), NOW_MS)
+    for part in (1, 2):
+        arrivals.where(third == part).write.mode("append").parquet(f"{base}/incoming")
+        incoming = deliveries.stream_parquet(spark, f"{base}/incoming", arrivals.schema, max_files=1_000_000)
+        start_metering(incoming, books, f"{base}/checkpoint", NOW_MS, auto_seal=part == 2).awaitTermination()
+        if part == 1:
+            books.seal(NOW_MS)
+    late = books.corrections().groupBy("window_key").agg(F.count(F.lit(1)).alias("late"))
+    return books.totals().join(late, "window_key", "left").select(
+        "window_key", "billed_total", "event_count", "sealed", F.coalesce("late", F.lit(0)).alias("late")
+    )

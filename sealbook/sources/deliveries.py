@@ -14,9 +14,14 @@ JSON_FIELDS = {
 }
 
 
+# A line that is no JSON ends up in the rejects, with its text as payload.
+_UNREADABLE = "_unreadable"
+
+
 def _json_schema() -> str:
     kinds = {f.name: f.dataType.simpleString() for f in DELIVERY.fields}
-    return ", ".join(f"{field} {kinds[name]}" for name, field in JSON_FIELDS.items())
+    fields = [f"{field} {kinds[name]}" for name, field in JSON_FIELDS.items()]
+    return ", ".join([*fields, f"{_UNREADABLE} string"])
 
 
 def file_arrival():
@@ -26,23 +31,27 @@ def file_arrival():
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of deliveries; numbers keep their digits because quantity is read as text."""
-    raw = spark.read.schema(_json_schema()).json(path)
+    raw = spark.read.schema(_json_schema()).option("columnNameOfCorruptRecord", _UNREADABLE).json(path)
     return _with_line_arrival(raw)
 
 
 def stream_json(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
     """The same as a stream; ``max_files`` per trigger is the admission limit of one batch."""
-    raw = spark.readStream.schema(_json_schema()).option("maxFilesPerTrigger", max_files).json(path)
+    raw = (
+        spark.readStream.schema(_json_schema()).option("columnNameOfCorruptRecord", _UNREADABLE)
+        .option("maxFilesPerTrigger", max_files).json(path)
+    )
     return _with_line_arrival(raw)
 
 
 def _with_line_arrival(raw: DataFrame) -> DataFrame:
-    # Text files have no row index; the contents stand in for it behind the file.
-    place = F.struct(
-        F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-        *[F.col(field) for field in ("ingestTime", "eventTime", "quantity", "customerId", "metric", "payload")],
-    )
-    return raw.select(*[F.col(field).alias(name) for name, field in JSON_FIELDS.items()], place.alias("arrival"))
+    # Splits are placed by file time, file and offset, and their lines numbered in order. A stream cannot number
+    # lines; the store does it, for whatever it is given, when it writes a batch down.
+    place = [F.col(f"_metadata.{c}") for c in ("file_modification_time", "file_path", "file_block_start")]
+    place = F.struct(*place, *([] if raw.isStreaming else [F.monotonically_increasing_id().alias("line")]))
+    columns = [F.col(field).alias(name) for name, field in JSON_FIELDS.items() if name != "payload"]
+    payload = F.coalesce(JSON_FIELDS["payload"], _UNREADABLE).alias("payload")
+    return raw.select(*columns, payload, place.alias("arrival"))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

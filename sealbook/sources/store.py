@@ -1,18 +1,22 @@
-"""State tables as Parquet folders, one subfolder per ingest batch.
+"""State tables as Parquet folders, one subfolder per call.
 
-Every table only grows. A batch writes its own subfolders and is listed in ``commits`` at the
-end; readers see listed batches only, and a batch that is run again replaces its own subfolders.
-So a lost job leaves nothing half done. There is one writer at a time.
+Every table only grows. A call writes subfolders under an id of its own, and at its end one line in
+``commits`` that names them; readers read exactly the named folders. So what a lost call leaves behind
+is never seen, whatever is called next. A call of a source with batches of its own (a stream) also
+notes which batch it was, and is skipped if that batch of that source is committed already. There is
+one writer at a time.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
+import time
+from dataclasses import dataclass, replace
+from uuid import uuid4
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from sealbook import schemas
 from sealbook.functions.windows import STREAM, with_window
@@ -28,7 +32,7 @@ from sealbook.operators.ingest import (
 from sealbook.operators.receipts import build_receipts, bundles, sealed_leaves
 from sealbook.operators.sealing import seal_due_windows
 from sealbook.operators.totals import window_totals
-from sealbook.operators.validate import check_deliveries
+from sealbook.operators.validate import check_deliveries, normal_id
 from sealbook.operators.watermarks import stream_watermarks
 from sealbook.settings import Settings
 
@@ -44,10 +48,26 @@ _TABLES: dict[str, StructType] = {
     "dispositions": StructType().add("event_id", "string").add("customer_id", "string").add("window_key", "string")
     .add("disposition", "string").add("conflict", "boolean"),
     "rejects": StructType([*schemas.DELIVERY, StructField("reject_reason", StringType())]),
-    "commits": StructType().add("committed_at_ms", "long").add("sealed", "boolean"),
+    "commits": StructType().add("committed_at_ms", "long").add("sealed", "boolean").add("tables", ArrayType(StringType()))
+    .add("source", "string").add("source_batch", "long"),
 }
 
 
+@dataclass(frozen=True)
+class _Call:
+    """One change of the store: its place in the order of commits, and the name of its folders."""
+
+    batch: int
+    id: str
+
+    def folder(self) -> str:
+        return f"batch_id={self.batch}/call={self.id}"
+
+
+def clock_ms() -> int:
+    return time.time_ns() // 1_000_000
+
+
 class MeteringStore:
     """The tables under one folder, with the calls that change them."""
 
@@ -61,30 +81,42 @@ class MeteringStore:
 
     def reset(self) -> MeteringStore:
         """Drop all rows: every table becomes empty. A new store does not need it."""
+        self._empty("commits").write.mode("overwrite").parquet(f"{self.root}/commits")
         for name in _TABLES:
-            empty = self.table(name, -1).limit(0)
-            empty.write.mode("overwrite").partitionBy("batch_id").parquet(f"{self.root}/{name}")
+            if name != "commits":
+                self._empty(name).write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self
 
-    def last_batch(self) -> int:
-        """The last committed batch; -1 before the first."""
-        found = self._all("commits").agg(F.max("batch_id")).first()[0]
-        return -1 if found is None else found
-
-    def _all(self, name: str) -> DataFrame:
-        """A table with what no commit lists yet; empty if nothing was ever written to it."""
-        schema = StructType([*_TABLES[name], StructField("batch_id", LongType())])
+    def commits(self) -> list:
+        """What was committed, in order: one line per call since the last rewrite."""
+        schema = StructType([*_TABLES["commits"], StructField("batch_id", LongType()), StructField("call", StringType())])
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+            lines = self.spark.read.schema(schema).parquet(f"{self.root}/commits").collect()
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
+            lines = []
+        return sorted((line for line in lines if line.batch_id is not None), key=lambda line: line.batch_id)
+
+    def last_batch(self) -> int:
+        """The last committed batch; -1 before the first."""
+        return max((line.batch_id for line in self.commits()), default=-1)
+
+    def _empty(self, name: str) -> DataFrame:
+        return self.spark.createDataFrame([], _TABLES[name])
+
+    def _read(self, name: str, calls: list[_Call]) -> DataFrame:
+        schema = StructType([*_TABLES[name], StructField("batch_id", LongType())])
+        if not calls:
             return self.spark.createDataFrame([], schema)
+        folder = f"{self.root}/{name}"
+        rows = self.spark.read.schema(schema).option("basePath", folder).parquet(*[f"{folder}/{c.folder()}" for c in calls])
+        return rows.drop("call")
 
     def table(self, name: str, upto: int | None = None) -> DataFrame:
-        """A table as of a committed batch; the batch bound prunes folders."""
-        upto = self.last_batch() if upto is None else upto
-        return self._all(name).where(F.col("batch_id") <= upto)
+        """A table as of a committed batch: the folders that commits up to it name."""
+        found = [c for c in self.commits() if (upto is None or c.batch_id <= upto) and name in c.tables]
+        return self._read(name, [_Call(c.batch_id, c.call) for c in found])
 
     def log(self, upto: int | None = None) -> DataFrame:
         return self.table("event_log", upto).drop("batch_id")
@@ -96,10 +128,7 @@ class MeteringStore:
 
     def watermarks(self, upto: int | None = None) -> DataFrame:
         """Batches append what they saw; the maximum is the watermark, so it never goes back."""
-        return self.table("watermarks", upto).groupBy(*STREAM).agg(
-            F.max("watermark_ms").alias("watermark_ms"),
-            F.max_by("lateness_grace_ms", "batch_id").alias("lateness_grace_ms"),
-        )
+        return _latest(self.table("watermarks", upto))
 
     def corrections(self, upto: int | None = None) -> DataFrame:
         return self.table("corrections", upto).drop("batch_id")
@@ -134,23 +163,30 @@ class MeteringStore:
     def ingest(
         self,
         deliveries: DataFrame,
-        now_ms: int,
-        batch_id: int | None = None,
+        now_ms: int | None = None,
         auto_seal: bool = False,
         strict: bool = False,
+        source: str | None = None,
+        source_batch: int | None = None,
     ) -> int:
-        """Admit one batch of deliveries and return its id.
+        """Admit one batch of deliveries and return the number of its commit.
 
-        A batch id that is committed already is skipped, which makes redelivered streaming
-        batches safe. ``strict`` fails the whole batch on an invalid delivery; otherwise those
-        go to ``rejects``.
+        A batch of a named source that is committed already is skipped, which makes redelivered
+        streaming batches safe; nothing else is ever skipped. ``strict`` fails the whole batch on an
+        invalid delivery; otherwise those go to ``rejects``. Without ``now_ms`` the clock is read.
         """
-        last = self.last_batch()
-        batch = last + 1 if batch_id is None else batch_id
-        if batch <= last:
-            return batch
-        # The source is read and parsed once; what follows reads the checked columns it needs.
-        checked = durable(check_deliveries(deliveries, now_ms))
+        commits = self.commits()
+        last = max((c.batch_id for c in commits), default=-1)
+        if source is not None:
+            for c in commits:
+                if (c.source, c.source_batch) == (source, source_batch):
+                    return c.batch_id
+        now_ms = clock_ms() if now_ms is None else now_ms
+        call = _Call(last + 1, uuid4().hex)
+        # The source is read and parsed once; what follows reads the checked columns it needs. The row
+        # number, fixed by being written, tells equal deliveries apart and keeps their order.
+        place = F.struct(F.col("arrival").alias("given"), F.monotonically_increasing_id().alias("row"))
+        checked = durable(check_deliveries(deliveries, now_ms).withColumn("arrival", place))
         rejects = checked.where(F.col("reject_reason").isNotNull())
         if strict and (bad := rejects.first()):
             raise ValueError(bad.reject_reason)
@@ -158,24 +194,26 @@ class MeteringStore:
         admission = ingest(valid, self._state_near(valid, last), self.settings)
 
         # Files of even size, sorted by id: with time-ordered ids their statistics prune by id and by time.
-        self._write("event_log", batch, admission.accepted.hint("rebalance").sortWithinPartitions("event_id"))
+        self._write("event_log", call, admission.accepted.hint("rebalance").sortWithinPartitions("event_id"))
         found = admission.dispositions.persist()  # read twice; recomputed if lost
         if self.keep_dispositions:
-            self._write("dispositions", batch, found.select(*_TABLES["dispositions"].names))
-        self._write("corrections", batch, admission.corrections)
+            self._write("dispositions", call, found.select(*_TABLES["dispositions"].names))
+        self._write("corrections", call, admission.corrections)
         found.unpersist()
         rejects = rejects.withColumn("quantity", F.col("quantity").cast("string"))
-        self._write("rejects", batch, rejects.select(*_TABLES["rejects"].names))
+        self._write("rejects", call, rejects.select(*_TABLES["rejects"].names))
 
         # From here on the batch is read back, not computed again.
-        admitted = self._all("event_log").where(F.col("batch_id") == batch)
+        admitted = self._read("event_log", [call])
         specs = with_window(admitted, self.settings.window_ms).select(*WINDOW_COLUMNS).distinct()
-        self._write("opened", batch, insert_if_absent(specs, self.table("opened", last), ["window_key"], few_rows=True))
-        self._write("watermarks", batch, stream_watermarks(admitted, self.settings.grace_ms))
+        self._write("opened", call, insert_if_absent(specs, self.table("opened", last), ["window_key"], few_rows=True))
+        self._write("watermarks", call, stream_watermarks(admitted, self.settings.grace_ms))
+        written = ["event_log", "corrections", "rejects", "opened", "watermarks"] + ["dispositions"] * self.keep_dispositions
         if auto_seal:
-            self._seal(batch, now_ms, last, only_touched=self._sealed_upto(last))
-        self._commit(batch, now_ms, sealed=auto_seal)
-        return batch
+            self._seal(call, now_ms, own=["event_log", "opened", "watermarks"], only_touched=not commits or commits[-1].sealed)
+            written += ["seals", "receipts"]
+        self._commit(call, now_ms, written, auto_seal, source, source_batch)
+        return call.batch
 
     def _state_near(self, valid: DataFrame, last: int) -> State:
         """The state that the batch can touch.
@@ -198,43 +236,45 @@ class MeteringStore:
             windows=sealed.select("window_key", F.lit("sealed").alias("state")),
         )
 
-    def seal(self, now_ms: int) -> DataFrame:
-        """Seal due windows with their receipts, as a batch of its own; returns the new seals."""
-        batch = self.last_batch() + 1
-        self._seal(batch, now_ms, batch - 1)
-        self._commit(batch, now_ms, sealed=True)
-        return self.table("seals").where(F.col("batch_id") == batch).drop("batch_id")
-
-    def _sealed_upto(self, last: int) -> bool:
-        """Did the last commit leave no due window open?"""
-        row = self.table("commits", last).where(F.col("batch_id") == last).first()
-        return row is None or row.sealed
+    def seal(self, now_ms: int | None = None) -> DataFrame:
+        """Seal due windows with their receipts, as a call of its own; returns the new seals."""
+        now_ms = clock_ms() if now_ms is None else now_ms
+        call = _Call(self.last_batch() + 1, uuid4().hex)
+        self._seal(call, now_ms, own=[])
+        self._commit(call, now_ms, ["seals", "receipts"], sealed=True)
+        return self._read("seals", [call]).drop("batch_id")
 
-    def _seal(self, batch: int, now_ms: int, last: int, only_touched: bool = False) -> None:
-        """Write seals and receipts of the due windows.
+    def _seal(self, call: _Call, now_ms: int, own: list[str], only_touched: bool = False) -> None:
+        """Write seals and receipts of the due windows; ``own`` names tables this call has added to.
 
-        If nothing was due before the batch, only streams whose watermark it may have moved can
+        If nothing was due before the call, only streams whose watermark it may have moved can
         have due windows; their few keys are joined to the open windows first.
         """
-        opened, marks = self.table("opened", batch).drop("batch_id"), self.watermarks(batch)
+        last = call.batch - 1
+
+        def now(name: str) -> DataFrame:
+            held = self.table(name, last)
+            return held.unionByName(self._read(name, [call])) if name in own else held
+
+        opened, marks = now("opened").drop("batch_id"), _latest(now("watermarks"))
         if only_touched:
-            touched = self._all("watermarks").where(F.col("batch_id") == batch).select(*STREAM)
+            touched = self._read("watermarks", [call]).select(*STREAM)
             opened, marks = (t.join(touched, STREAM, "left_semi") for t in (opened, marks))
         still_open = open_windows(insert_if_absent(opened, self.table("seals", last), ["window_key"]))
         after = seal_due_windows(still_open, marks, now_ms).where("newly_sealed")
-        self._write("seals", batch, after.select(*_SEAL_COLUMNS))
-        fresh = self._all("seals").where(F.col("batch_id") == batch).drop("batch_id")
-        sealed = self.table("opened", batch).drop("batch_id").join(fresh.drop("window_open_ms"), "window_key")
+        self._write("seals", call, after.select(*_SEAL_COLUMNS))
+        fresh = self._read("seals", [call]).drop("batch_id")
+        sealed = now("opened").drop("batch_id").join(fresh.drop("window_open_ms"), "window_key")
         sealed = sealed.withColumn("state", F.lit("sealed"))
         span = sealed.agg(F.min("window_open_ms"), F.max("window_close_ms")).first()
-        log = self.log(batch)
+        log = now("event_log").drop("batch_id")
         if span[0] is not None:
             # The bounds of what was just sealed keep older files of the log unread.
             t = F.col("event_time_ms")
             log = log.where((t >= span[0]) & (t < span[1]))
         leaves = sealed_leaves(log, sealed, self.settings)
         receipts = build_receipts(leaves, self.settings, now_ms)
-        self._write("receipts", batch, receipts.select(*_TABLES["receipts"].names))
+        self._write("receipts", call, receipts.select(*_TABLES["receipts"].names))
 
     def rewrite(self, target: str, without_customers: DataFrame | None = None) -> MeteringStore:
         """Copy all tables to another folder as one batch; optionally leave customers out of all of them.
@@ -242,7 +282,8 @@ class MeteringStore:
         This is how small batches are merged, and how customers are purged.
         """
         copy = MeteringStore(self.spark, target, self.settings, self.keep_dispositions).reset()
-        upto = self.last_batch()
+        commits, call = self.commits(), _Call(0, uuid4().hex)
+        upto = max((c.batch_id for c in commits), default=-1)
         for name in _TABLES:
             if name in ("commits", "watermarks"):
                 continue
@@ -251,21 +292,33 @@ class MeteringStore:
                 rows = _without(rows, without_customers, self.table("opened", upto))
             if name == "event_log":
                 rows = rows.repartitionByRange("event_time_ms", "event_id").sortWithinPartitions("event_id")
-            copy._write(name, 0, rows)
+            copy._write(name, call, rows)
         marks = self.watermarks(upto)
-        copy._write("watermarks", 0, marks if without_customers is None else _without(marks, without_customers, marks))
-        copy._commit(0, 0, sealed=self._sealed_upto(upto))
+        copy._write("watermarks", call, marks if without_customers is None else _without(marks, without_customers, marks))
+        # The batches of sources stay known, so that a stream that goes on skips what the copy holds.
+        known = [(c.source, c.source_batch) for c in commits if c.source is not None]
+        copy._commit(call, 0, [n for n in _TABLES if n != "commits"], bool(commits and commits[-1].sealed), also=known)
         return copy
 
     def counts(self, batch: int) -> DataFrame:
         return ingest_counts(self.table("dispositions").where(F.col("batch_id") == batch))
 
-    def _write(self, name: str, batch: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/batch_id={batch}")
+    def _write(self, name: str, call: _Call, rows: DataFrame) -> None:
+        rows.write.parquet(f"{self.root}/{name}/{call.folder()}")
 
-    def _commit(self, batch: int, now_ms: int, sealed: bool) -> None:
-        line = F.lit(now_ms).cast("bigint").alias("committed_at_ms"), F.lit(sealed).alias("sealed")
-        self._write("commits", batch, self.spark.range(1).select(*line))
+    def _commit(self, call: _Call, now_ms: int, tables: list[str], sealed: bool, source: str | None = None,
+                source_batch: int | None = None, also: list[tuple[str, int]] = ()) -> None:
+        """One file, which appears as a whole; lines after the first only name further batches of sources."""
+        lines = [(now_ms, sealed, tables, source, source_batch)]
+        lines += [(now_ms, sealed, [], name, batch) for name, batch in also]
+        self._write("commits", call, self.spark.createDataFrame(lines, _TABLES["commits"]).coalesce(1))
+
+
+def _latest(marks: DataFrame) -> DataFrame:
+    return marks.groupBy(*STREAM).agg(
+        F.max("watermark_ms").alias("watermark_ms"),
+        F.max_by("lateness_grace_ms", "batch_id").alias("lateness_grace_ms"),
+    )
 
 
 def _with_seals(opened: DataFrame, seals: DataFrame) -> DataFrame:
@@ -278,7 +331,7 @@ def _with_seals(opened: DataFrame, seals: DataFrame) -> DataFrame:
 
 
 def _without(rows: DataFrame, customers: DataFrame, windows: DataFrame) -> DataFrame:
-    gone = customers.select("customer_id").distinct()
+    gone = customers.select(normal_id("customer_id").alias("customer_id")).distinct()
     if "customer_id" in rows.columns:
         return rows.join(gone, "customer_id", "left_anti").select(*rows.columns)
     theirs = windows.join(gone, "customer_id", "left_semi").select("window_key")
@@ -287,6 +340,6 @@ def _without(rows: DataFrame, customers: DataFrame, windows: DataFrame) -> DataF
 
 def purge_customers(tables: dict[str, DataFrame], customers: DataFrame) -> dict[str, DataFrame]:
     """Every table that names a customer, without the given ones, receipts included."""
-    gone = customers.select("customer_id").distinct()
+    gone = customers.select(normal_id("customer_id").alias("customer_id")).distinct()
     return {name: rows.join(gone, "customer_id", "left_anti") for name, rows in tables.items()}
 

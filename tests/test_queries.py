@@ -5,7 +5,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from sealbook.plans.oracles import oracles
+from sealbook.plans.registry import registered
 
 FOLDER = Path("/root/testdata/sf0.001")
 KINDS = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE"}
@@ -25,12 +27,12 @@ def plain(row):
     return repr(tuple(round(v, 6) if isinstance(v, float) else v for v in row))
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(registered()))
 def test_same_rows(spark, duck, name):
-    df = queries()[name](spark, str(FOLDER))
+    df = registered()[name](spark, str(FOLDER))
     columns = sorted(df.columns)
     found = sorted(plain(r) for r in df.select(*columns).collect())
-    sql = duck.sql(oracle_sql()[name])
+    sql = duck.sql(oracles()[name])
     assert sorted(sql.columns) == columns
     assert {c: KINDS[t] for c, t in df.dtypes} == dict(zip(sql.columns, map(str, sql.types)))
     expected = sorted(plain(r) for r in sql.select(*columns).fetchall())
