@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -41,21 +42,23 @@ class Admission:
     watermarks: DataFrame
 
 
-def ingest(deliveries: DataFrame, state: State, settings: Settings) -> Admission:
+def ingest(
+    deliveries: DataFrame, state: State, settings: Settings, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows
+) -> Admission:
     """Admit valid deliveries in ``arrival`` order against the state before this call.
 
     ``arrival`` is any sortable column that is unique within an event id. Sealing happens after
-    the call, so the set of sealed windows stays fixed during it.
+    the call, so the set of sealed windows stays fixed during it. Everything rests on one aggregate
+    per event id, joined once to the log; a store writes that down by ``keep``.
     """
     arrivals = _flag_sealed(with_window(deliveries, settings.window_ms), state.windows)
-    candidates = arrivals.where(~F.col("sealed"))
     known = None if state.log is None else known_events(arrivals, state.log, settings)
+    prior = keep(_prior(_per_id(arrivals), known))
 
-    # The accepted rows come from the per-id aggregate: one row per new id, whatever arrives twice.
-    firsts = first_deliveries(candidates, [*BILLED, "ingest_time_ms", "payload"])
-    new = firsts if known is None else firsts.join(known.select("event_id"), "event_id", "left_anti")
+    # One row per new id, whatever arrives twice.
+    new = prior.where(~F.col("known") & F.col("first").isNotNull())
     accepted = log_rows(new.select("event_id", "first.*"))
-    dispositions = _dispose(arrivals, _prior(first_deliveries(candidates, BILLED), known))
+    dispositions = _dispose(arrivals, prior)
     windows = insert_if_absent(
         with_window(accepted, settings.window_ms).select(*WINDOW_COLUMNS).distinct(), state.windows, ["window_key"]
     )
@@ -130,16 +133,23 @@ def known_events(arrivals: DataFrame, log: DataFrame, settings: Settings) -> Dat
     return with_window(columns.join(ids, "event_id", "left_semi"), settings.window_ms)
 
 
+def _per_id(arrivals: DataFrame) -> DataFrame:
+    """Per event id: the first delivery that aims at an open window, and how many deliveries there are."""
+    whole = F.struct("arrival", *BILLED, "ingest_time_ms", "payload")
+    return arrivals.groupBy("event_id").agg(
+        F.min(F.when(~F.col("sealed"), whole)).alias("first"), F.count(F.lit(1)).alias("copies")
+    )
+
+
 def _prior(firsts: DataFrame, known: DataFrame | None) -> DataFrame:
     """Per event id, the admitted event that its deliveries are measured against."""
-    rows = firsts.select(
-        "event_id", F.col("first.arrival").alias("first_arrival"), F.struct(*[f"first.{c}" for c in BILLED]).alias("own")
-    )
+    own = F.when(F.col("first").isNotNull(), F.struct(*[F.col(f"first.{c}").alias(c) for c in BILLED]))
+    rows = firsts.select("event_id", "first", "copies", own.alias("own"))
     if known is None:
-        return rows.select("event_id", "first_arrival", F.lit(False).alias("known"), F.col("own").alias("original"))
+        return rows.select("event_id", "first", "copies", F.lit(False).alias("known"), F.col("own").alias("original"))
     logged = known.select("event_id", F.struct(*BILLED).alias("logged"))
-    return rows.join(logged, "event_id", "full").select(
-        "event_id", "first_arrival", F.col("logged").isNotNull().alias("known"), F.coalesce("logged", "own").alias("original")
+    return rows.join(logged, "event_id", "left").select(
+        "event_id", "first", "copies", F.col("logged").isNotNull().alias("known"), F.coalesce("logged", "own").alias("original")
     )
 
 
@@ -147,7 +157,8 @@ def _dispose(arrivals: DataFrame, prior: DataFrame) -> DataFrame:
     """Dedup comes before quarantine: an admitted event sent again is a duplicate, even after the seal."""
     # Payloads stay behind: a disposition needs only what identifies and bills a delivery.
     narrow = arrivals.select("event_id", "arrival", *BILLED, "ingest_time_ms")
-    joined = join_hot(narrow, prior, "event_id", F.col("arrival"))
+    measure = prior.select("event_id", "copies", "known", "original", F.col("first.arrival").alias("first_arrival"))
+    joined = join_hot(narrow, measure, "event_id", F.col("arrival"), "copies")
     known = F.coalesce("known", F.lit(False))
     new = ~known & (F.col("first_arrival").isNull() | (F.col("arrival") < F.col("first_arrival")))
     disposition = (

@@ -11,6 +11,8 @@ from sealbook.operators.durable import durable
 
 # A group up to this many rows is ordered by one task; larger ones are cut into ranges.
 ROWS_PER_TASK = 1_000_000
+# Ranges beyond this number would weigh on the driver; they get longer instead.
+MOST_RANGES = 20_000
 
 
 @dataclass(frozen=True)
@@ -30,7 +32,7 @@ def in_order(
     """Add ``position`` (from 0) within ``keys``, and a running sum for each named column.
 
     The group sizes are counted first. If every group fits one task, one window function does it.
-    Otherwise all rows are range-partitioned by keys and order, numbered inside each range, and
+    Groups that are larger are range-partitioned by keys and order, numbered inside each range, and
     shifted by what the ranges before them hold. ``sizes`` (``keys`` and ``n``, at least the rows
     of each group) saves counting ``df`` itself.
     """
@@ -43,8 +45,14 @@ def in_order(
     if largest <= limit:
         return Ordered(_number(df, keys, order, running), largest)
 
+    # Only groups over the limit are cut; the others stay with the window function.
+    small = None
+    if keys:
+        over = sizes.where(F.col("n") > limit)
+        total = over.agg(F.sum("n")).first()[0]
+        small, df = df.join(over.select(*keys), keys, "left_anti"), df.join(over.select(*keys), keys, "left_semi")
     spark = df.sparkSession
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // limit)
+    ranges = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // limit))
     # The range bounds are sampled, so the ranges are written once and only read from then on.
     cut = durable(df.repartitionByRange(ranges, *keys, *order).withColumn("_range", F.spark_partition_id()))
     held = cut.groupBy(*keys, "_range").agg(
@@ -63,6 +71,8 @@ def in_order(
         (F.col("position") + F.col("_shift")).alias("position"),
         *[(F.col(name) + F.col(f"_shift_{name}")).alias(name) for name in running],
     )
+    if small is not None:
+        moved = _number(small, keys, order, running).unionByName(moved)
     return Ordered(moved, largest)
 
 

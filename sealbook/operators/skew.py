@@ -5,30 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key above this share of the rows is hot, so there are never more than 1 / share of them.
-HOT_SHARE = 0.001
-SPREAD = 64
+# A key with more rows than this is hot, and spread over a task for each so many rows.
+ROWS_PER_SALT = 100_000
 
 
-def hot_values(df: DataFrame, key: str) -> DataFrame:
-    """Every value of ``key`` above the share, and maybe some below; at most 1 / share rows.
-
-    One pass with map-side sketches; nothing is shuffled by the key.
-    """
-    found = df.select(key).stat.freqItems([key], HOT_SHARE)
-    return found.select(F.explode(found.columns[0]).alias(key)).withColumn("_hot", F.lit(True))
-
-
-def join_hot(many: DataFrame, one: DataFrame, key: str, spread_by) -> DataFrame:
+def join_hot(many: DataFrame, one: DataFrame, key: str, spread_by, copies: str, rows_per_salt: int | None = None) -> DataFrame:
     """Left join of ``many`` to ``one`` on ``key``; rows of hot keys are spread over tasks.
 
-    ``one`` has unique keys. Its few hot rows are repeated once per salt, all others stay single.
+    ``one`` has unique keys, and in ``copies`` how many rows ``many`` has of each. So what is hot is exact and
+    the same on both sides; the salts follow the count. ``copies`` is not in the result.
     """
-    hot = F.broadcast(hot_values(many, key))
-    salted = many.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(SPREAD))).otherwise(F.lit(0).cast("bigint"))
-    )
-    top = F.when(F.col("_hot"), SPREAD - 1).otherwise(0)
-    salts = F.sequence(F.lit(0).cast("bigint"), top.cast("bigint"))
-    copies = one.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return salted.drop("_hot").join(copies, [key, "_salt"], "left").drop("_salt")
+    limit = rows_per_salt or ROWS_PER_SALT
+    salts = F.ceil(F.coalesce(copies, F.lit(1)) / limit).cast("bigint")
+    hot = one.where(F.col(copies) > limit).select(key, salts.alias("_salts"))
+    salted = many.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.coalesce("_salts", F.lit(1))))
+    spread = one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(salts, F.lit(1)) - 1)))
+    return salted.drop("_salts").join(spread.drop(copies), [key, "_salt"], "left").drop("_salt")

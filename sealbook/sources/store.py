@@ -191,7 +191,7 @@ class MeteringStore:
         if strict and (bad := rejects.first()):
             raise ValueError(bad.reject_reason)
         valid = checked.where(F.col("reject_reason").isNull()).drop("reject_reason")
-        admission = ingest(valid, self._state_near(valid, last), self.settings)
+        admission = ingest(valid, self._state_near(valid, last), self.settings, keep=durable)
 
         # Files of even size, sorted by id: with time-ordered ids their statistics prune by id and by time.
         self._write("event_log", call, admission.accepted.hint("rebalance").sortWithinPartitions("event_id"))
