@@ -351,6 +351,12 @@ def oracles() -> dict[str, str]:
         "customer_invoices": f"""{_INVOICE} SELECT customer_id, count(*) AS lines, CAST(sum(n) AS BIGINT) AS event_count,
             {m('sum(micros)')} AS grand_total, any_value(h) AS invoice_root
             FROM bills JOIN (SELECT customer_id, h FROM forest WHERE n = 1) USING (customer_id) GROUP BY customer_id""",
+        "window_by_key": f"""{_LATE_CHAIN}, {_TOTALS},
+            first AS (SELECT min(k) AS k FROM totals GROUP BY metric),
+            late AS (SELECT k, count(*) AS filed FROM corr GROUP BY k)
+            SELECT k AS window_key, {m('micros')} AS billed_total, n AS event_count, sealed, wm AS watermark_ms,
+              coalesce(filed, 0) AS corrections, CASE WHEN sealed THEN n ELSE 0 END AS leaves
+            FROM totals JOIN first USING (k) LEFT JOIN late USING (k)""",
         "window_lanes": f"""{daily} SELECT k AS window_key, customer_id, metric,
             row_number() OVER (PARTITION BY customer_id, metric ORDER BY o) AS place FROM win""",
         "corrections_in_order": f"""{_LINE_CHAIN} SELECT k AS window_key, event_id, t AS event_time_ms,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -394,6 +395,22 @@ def watermark_timeline(spark, folder):
     return t.select("window_key", "customer_short", "metric", "state", "watermark_ms", "axis_min_ms", "axis_max_ms", *places)
 
 
+@query
+def window_by_key(spark, folder):
+    """Reads of single windows and streams: of the earliest key of every metric, its total, corrections, watermark and leaves."""
+    books = late_store(spark, folder)
+    keys = books.windows().groupBy("metric").agg(F.min("window_key").alias("key")).collect()  # one per metric
+    found = []
+    for metric, key in sorted(keys):
+        mark = books.watermark(key.rsplit(":", 2)[0], metric).select(F.max("watermark_ms")).first()[0]
+        found.append(books.total(key).select(
+            "window_key", "billed_total", "event_count", "sealed", F.lit(mark).cast("bigint").alias("watermark_ms"),
+            F.lit(books.corrections_of(key).count()).cast("bigint").alias("corrections"),
+            F.lit(books.bundle(key).select(F.explode("leaves")).count()).cast("bigint").alias("leaves"),
+        ))
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def window_lanes(spark, folder):
     """Every stream's windows in order of opening."""

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from sealbook import schemas
-from sealbook.functions.windows import STREAM, with_window
+from sealbook.functions.windows import STREAM, window_close, with_window
 from sealbook.operators.durable import durable
 from sealbook.operators.ingest import (
     WINDOW_COLUMNS,
@@ -30,8 +30,9 @@ from sealbook.operators.ingest import (
     open_windows,
 )
 from sealbook.operators.receipts import build_receipts, bundles, sealed_leaves
-from sealbook.operators.sealing import seal_due_windows
-from sealbook.operators.totals import window_totals
+from sealbook.operators.reports import corrections_of
+from sealbook.operators.sealing import seal_due_windows, select_windows
+from sealbook.operators.totals import totals_for_keys, window_totals
 from sealbook.operators.validate import check_deliveries, normal_id
 from sealbook.operators.watermarks import stream_watermarks
 from sealbook.settings import Settings
@@ -158,6 +159,49 @@ class MeteringStore:
         leaves = sealed_leaves(self.log(upto), self.windows(upto), self.settings)
         return bundles(self.receipts(upto), leaves.rows)
 
+    # -- one window, one stream ------------------------------------------------------------
+
+    def _window(self, key: str, upto: int) -> tuple[DataFrame, DataFrame]:
+        """The registry row of a window, and the log rows of its stream and span.
+
+        The key's parts become conditions on stored columns, which the scans push down; the log's files are
+        sorted by id, so with time-ordered ids most of them are skipped.
+        """
+        parts = key.rsplit(":", 2)
+        window = self.windows(upto).where(F.col("window_key") == key)
+        if len(parts) < 3 or not parts[2].lstrip("-").isdigit():
+            return window, self.log(upto).where(F.lit(False))
+        here = (F.col("customer_id") == parts[0]) & (F.col("metric") == parts[1])
+        opened = F.lit(int(parts[2])).cast("bigint")
+        end = self.spark.range(1).select(window_close(opened, self.settings.window_ms)).first()[0]
+        t = F.col("event_time_ms")
+        return window.where(here), self.log(upto).where(here & (t >= int(parts[2])) & (t < end))
+
+    def total(self, key: str) -> DataFrame:
+        """The total of one window; an unknown window is open and zero."""
+        upto = self.last_batch()
+        window, log = self._window(key, upto)
+        asked = self.spark.createDataFrame([(key,)], "window_key string")
+        return totals_for_keys(asked, window_totals(log, window, self.settings), self.settings)
+
+    def bundle(self, key: str) -> DataFrame:
+        """Receipt and leaves of one sealed window; no row before the seal."""
+        upto = self.last_batch()
+        window, log = self._window(key, upto)
+        leaves = sealed_leaves(log, window, self.settings)
+        return bundles(self.receipts(upto).where(F.col("window_key") == key), leaves.rows)
+
+    def corrections_of(self, key: str) -> DataFrame:
+        return corrections_of(self.corrections(), key)
+
+    def watermark(self, customer_id: str, metric: str) -> DataFrame:
+        here = (F.col("customer_id") == customer_id) & (F.col("metric") == metric)
+        return _latest(self.table("watermarks").where(here))
+
+    def select_windows(self, customer_id: str | None = None, metric: str | None = None) -> DataFrame:
+        """Windows in key order, of one customer or metric if asked."""
+        return select_windows(self.windows(), customer_id, metric)
+
     # -- changing --------------------------------------------------------------------------
 
     def ingest(

@@ -203,3 +203,17 @@ def test_sealing_apart_from_ingest(spark, tmp_path):
     assert s.seal(NOW).count() == 2
     assert s.seal(NOW).count() == 0
     assert s.receipts().count() == 2
+
+
+def test_reads_by_key_push_their_conditions_down(store, capsys):
+    key = f"c1:api_calls:{BASE}"
+    assert [(r.billed_total, r.event_count, r.sealed) for r in store.total(key).collect()] == [("150.500000", 2, True)]
+    assert [(r.billed_total, r.sealed) for r in store.total("nobody:tokens:0").collect()] == [("0.000000", False)]
+    assert [r.receipt.windowKey for r in store.bundle(key).collect()] == [key]
+    assert store.bundle(f"c2:plan_tier:{BASE + 30_000}").count() == 0
+    assert [r.event_id for r in store.corrections_of(key).collect()] == ["a2", "a9"]
+    assert [r.watermark_ms for r in store.watermark("c1", "api_calls").collect()] == [BASE + 10_001]
+    assert [r.metric for r in store.select_windows(metric="plan_tier").collect()] == ["plan_tier"] * 2
+    store._window(key, store.last_batch())[1].explain("formatted")
+    plan = capsys.readouterr().out
+    assert "EqualTo(customer_id,c1)" in plan and "GreaterThanOrEqual(event_time_ms" in plan
