@@ -1,7 +1,7 @@
 """Substring dedup by super-k-mer partitioning.
 
 A window is ``size`` consecutive words of one document. Its minimiser is the smallest hash of the runs of
-``MINIMISER`` words in it (the first of equals), so equal windows have equal minimisers at equal places.
+``MINIMISER_SHARE`` of its words (the first of equals), so equal windows have equal minimisers at equal places.
 Consecutive windows that share a minimiser are a super-k-mer: they travel together as one packed string
 to the minimiser's bucket, where their windows are sorted by content and place, which shows exactly which
 windows also start earlier. Those go back to their documents as ranges, and covered words are removed.
@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealbook.llm.common import Words, documents, gram_hashes, mixed, outer_id, slices
+from sealbook.operators.durable import durable
 
-MINIMISER = 4
+#: Words of a minimiser as a share of a window's.
+MINIMISER_SHARE = 0.3
 #: A minimiser with more super-k-mers than this sends single windows. Results do not depend on it.
 HOT_ROWS = 20_000
 #: Whole buckets are handled together up to about so many rows.
@@ -38,9 +40,10 @@ def _runs(words: Words, size: int):
     """Super-k-mers of a slice: document row, first window, number of windows, minimiser."""
     if len(words) < size:
         return None
-    grams = gram_hashes(words.hashes, MINIMISER)
+    length = max(1, int(size * MINIMISER_SHARE))
+    grams = gram_hashes(words.hashes, length)
     least = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
-    span, width = size - MINIMISER + 1, 1
+    span, width = size - length + 1, 1
     while width * 2 <= span:
         least = np.minimum(least[: len(least) - width], least[width:])
         width *= 2
@@ -97,9 +100,13 @@ def _packed(size: int):
                 first, count = np.repeat(first, reps) + step, np.where(np.repeat(single, reps), 1, np.repeat(count, reps))
                 single = np.repeat(single, reps)
             ids, texts = batch.column("id").to_numpy(), batch.column("h").to_numpy()
-            # Earliest first, so that the first of equal strings is the one that travels.
-            order = np.lexsort((first, texts[rows], ids[rows]))
-            rows, first, count, bucket, single = rows[order], first[order], count[order], bucket[order], single[order]
+            # Earliest first, so that the first of equal strings is the one that travels; of identical rows one counts.
+            start = first - words.starts[rows]
+            order = np.lexsort((start, texts[rows], ids[rows]))
+            rows, first, count, bucket, single, start = (x[order] for x in (rows, first, count, bucket, single, start))
+            once = np.ones(len(rows), bool)
+            once[1:] = (ids[rows][1:] != ids[rows][:-1]) | (texts[rows][1:] != texts[rows][:-1]) | (start[1:] != start[:-1])
+            rows, first, count, bucket, single, start = (x[once] for x in (rows, first, count, bucket, single, start))
             joined = words.joined.tobytes()
             begin, end = words.offsets[first].tolist(), (words.offsets[first + count + size - 1] - 1).tolist()
             strings = [joined[a:b] for a, b in zip(begin, end)]
@@ -111,7 +118,7 @@ def _packed(size: int):
             packed = pa.array([s if t else None for s, t in zip(strings, travels.tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.where(travels, bucket, anywhere)), pa.array(ids[rows]), pa.array(texts[rows]),
-                 pa.array((first - words.starts[rows]).astype(np.int32)), pa.array(count.astype(np.int32)), packed],
+                 pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), packed],
                 ["bucket", "id", "h", "start", "n", "packed"],
             )
 
@@ -137,7 +144,12 @@ def _repeats(size: int):
                 at = np.cumsum([0] + [len(w) + 1 for w in words]).tolist()
                 windows += [(packed[at[k] : at[k + size] - 1], ids[i], texts[i], begin[i] + k) for k in range(n)]
             windows.sort()
-            again = [w[1:] for v, w in zip(windows, windows[1:]) if v[0] == w[0]]
+            again, text, place = [], None, None
+            for window in windows:
+                if window[0] != text:
+                    text, place = window[0], window[1:]
+                elif window[1:] != place:
+                    again.append(window[1:])
             if again:
                 a, b, c = zip(*again)
                 out.append(pa.table({"id": pa.array(a, pa.int64()), "h": pa.array(b, pa.int64()), "start": pa.array(c, pa.int32()), "n": pa.array([1] * len(a), pa.int32())}))
@@ -197,7 +209,8 @@ def repeated_windows(docs: DataFrame, size: int = 20) -> DataFrame:
     """``id``, ``h``, ``start``, ``n``: ranges of windows of each text that also start earlier."""
     base = _texts(docs)
     found = base.mapInArrow(_minimisers(size), "bucket long, id long, h long")
-    counts = found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    # Written down so that both sides of the join are plain shuffles, of which large partitions can be split.
+    counts = durable(found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
     shared = (
         found.join(counts, "bucket").select("id", "h", F.struct("bucket", (F.col("n") > HOT_ROWS).alias("hot")).alias("s"))
         .groupBy("id", "h").agg(F.collect_list("s").alias("shared"))
