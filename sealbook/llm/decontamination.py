@@ -160,7 +160,7 @@ _MATCHES = "array<struct<item_id: bigint, edits: bigint>>"
 def _matched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``row``, ``id``, ``text`` and ``matches`` of every row of ``docs``."""
     base = docs.select(F.struct("*").alias("row"), *ids(docs)).withColumn("matches", F.array().cast(_MATCHES))
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema)
+    kind = base.schema
 
     def look(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

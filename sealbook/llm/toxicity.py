@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from sealbook.llm.common import Words, documents, ids, outer_id, slices
 
@@ -210,5 +211,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if model is None:
         return docs
     row = docs.select(F.struct("*").alias("row"), ids(docs)[1])
-    scored = row.mapInArrow(_scored(model), f"row {row.schema['row'].dataType.simpleString()}, p array<double>, toxic boolean")
+    kind = StructType([row.schema["row"]]).add("p", ArrayType(DoubleType())).add("toxic", "boolean")
+    scored = row.mapInArrow(_scored(model), kind)
     return scored.filter("not toxic").select("row.*")

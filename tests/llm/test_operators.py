@@ -12,7 +12,7 @@ import pytest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-KIND = "doc_id long, text string, n_words long, toxic string, component_id string, id string, h string"
+KIND = "doc_id long, text string, n_words long, toxic string, component_id string, id string, `odd name. here` string"
 
 
 def table(spark, rows, kind=KIND):
