@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from sealbook import schemas
 from sealbook.functions.windows import STREAM, window_close, with_window
-from sealbook.operators.durable import durable
+from sealbook.operators.durable import Scratch
 from sealbook.operators.ingest import (
     WINDOW_COLUMNS,
     State,
@@ -219,6 +219,10 @@ class MeteringStore:
         streaming batches safe; nothing else is ever skipped. ``strict`` fails the whole batch on an
         invalid delivery; otherwise those go to ``rejects``. Without ``now_ms`` the clock is read.
         """
+        with Scratch(self.spark) as scratch:
+            return self._ingest(deliveries, now_ms, auto_seal, strict, source, source_batch, scratch.keep)
+
+    def _ingest(self, deliveries, now_ms, auto_seal, strict, source, source_batch, keep) -> int:
         commits = self.commits()
         last = max((c.batch_id for c in commits), default=-1)
         if source is not None:
@@ -230,12 +234,12 @@ class MeteringStore:
         # The source is read and parsed once; what follows reads the checked columns it needs. The row
         # number, fixed by being written, tells equal deliveries apart and keeps their order.
         place = F.struct(F.col("arrival").alias("given"), F.monotonically_increasing_id().alias("row"))
-        checked = durable(check_deliveries(deliveries, now_ms).withColumn("arrival", place))
+        checked = keep(check_deliveries(deliveries, now_ms).withColumn("arrival", place))
         rejects = checked.where(F.col("reject_reason").isNotNull())
         if strict and (bad := rejects.first()):
             raise ValueError(bad.reject_reason)
         valid = checked.where(F.col("reject_reason").isNull()).drop("reject_reason")
-        admission = ingest(valid, self._state_near(valid, last), self.settings, keep=durable)
+        admission = ingest(valid, self._state_near(valid, last), self.settings, keep)
 
         # Files of even size, sorted by id: with time-ordered ids their statistics prune by id and by time.
         self._write("event_log", call, admission.accepted.hint("rebalance").sortWithinPartitions("event_id"))
