@@ -13,7 +13,7 @@ from sealbook.llm.common import ids
 from sealbook.llm.decontamination import without_contaminated
 from sealbook.llm.jaccard import near_duplicates
 from sealbook.llm.line_dedup import without_repeated_runs
-from sealbook.llm.sentencepieces import decode, encode, load_vocabulary
+from sealbook.llm.sentencepieces import load_vocabulary, round_trip
 from sealbook.llm.toxicity import without_toxic
 from sealbook.operators.durable import durable
 
@@ -47,8 +47,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = load_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
-    found = decode(encode(docs, vocabulary), vocabulary)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
+    return round_trip(docs, vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES = [

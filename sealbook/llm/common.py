@@ -35,7 +35,7 @@ def outer_id(id_: Column) -> Column:
     return F.when(id_ != LOWEST, id_)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded bytes; one very long text is a batch of its own."""
     for batch in batches:
         if not batch.num_rows:
@@ -43,7 +43,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         start, n = 0, batch.num_rows
         while start < n:
-            end = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + SLICE_BYTES, side="right"))
+            end = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, side="right"))
             end = max(end, start + 1)
             yield batch.slice(start, end - start)
             start = end

@@ -82,12 +82,11 @@ def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and the text decoded from them, as checksums."""
     import public_tokenizers
 
-    from sealbook.llm.sentencepieces import decode, encode, load_vocabulary
+    from sealbook.llm.sentencepieces import load_vocabulary, round_trip
     from sealbook.llm.token_files import with_checksums
 
     vocabulary = load_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
-    tokens = encode(table(spark, folder, "documents"), vocabulary)
-    found = decode(tokens, vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"), "ids")
+    found = round_trip(table(spark, folder, "documents"), vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"), "ids")
     return with_checksums(found)
 
 

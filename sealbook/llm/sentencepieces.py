@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,13 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sealbook.llm.common import documents, kept_in_worker, outer_id, slices
 
 SPACE = "\u2581"
-#: Distinct segments whose ids a worker keeps, and pairs of pieces whose borders it has judged.
-CACHE = 300_000
-PAIRS = 1_500_000
+#: Distinct segments whose ids a worker keeps, besides as many of the round before; pairs of pieces with judged borders.
+CACHE = 200_000
+PAIRS = 500_000
+#: Bytes of text that are indexed together, and edges relaxed as one list: these bound a worker's memory.
+INDEX_BYTES = 2_000_000
+EDGES = 200_000
 
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _UNKNOWN = -1
@@ -59,58 +64,103 @@ def load_vocabulary(path: str) -> Vocabulary:
 
 
 class Merger:
-    """Merging of short strings, and the borders it leaves alone."""
+    """Merging of short strings, and the borders it leaves alone.
+
+    Merging takes the pair of best rank, the leftmost of equals. Before a border is crossed, each side merges
+    as it would alone. So of each piece the symbols at its ends are noted with the rank of the merge that
+    made them and of the one that used them up: the border between two pieces is crossed if two end symbols
+    live at one time and their union is a piece that comes before either is used up. This needs ranks that
+    only grow within a piece; for other pieces the union is merged to see.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.ids = {p: i for i, (p, ok) in enumerate(zip(vocabulary.pieces, vocabulary.plain)) if ok}
-        self.scores, self.pieces = vocabulary.scores, vocabulary.pieces
+        self.ranks, self.pieces = [-s for s in vocabulary.scores], vocabulary.pieces
         self.borders: dict[int, bool] = {}
-        # Pieces that merging can build at all, in order of id, and their characters.
-        found = [(p, i) for p, i in self.ids.items() if len(p) == 1 or self.merge(p) == [p]]
+        self.ends: dict[int, tuple[list, list]] = {}
+        found = []
+        for p, i in self.ids.items():
+            steps: list[tuple[float, int, int]] = []
+            if self.merge(p, steps) == [p]:  # else merging never builds it
+                found.append((p, i))
+                if all(r <= s for (r, _, _), (s, _, _) in zip(steps, steps[1:])):
+                    self.ends[i] = self._lives(p, steps)
         self.found = np.array([i for _, i in found], np.int64)
         self.lengths = np.array([len(p) for p, _ in found], np.int64)
         self.table = np.zeros((len(found), int(self.lengths.max(initial=1))), np.uint32)
         for row, (p, _) in zip(self.table, found):
             row[: len(p)] = np.frombuffer(p.encode("utf-32-le"), np.uint32)
 
-    def merge(self, text: str) -> list[str]:
+    def merge(self, text: str, steps: list | None = None) -> list[str]:
+        """What merging makes of a text; notes rank, place and number of symbols of each step."""
         parts = list(text)
         while len(parts) > 1:
-            best, at = -np.inf, -1
+            best, at = np.inf, -1
             for i in range(len(parts) - 1):
                 j = self.ids.get(parts[i] + parts[i + 1])
-                if j is not None and self.scores[j] > best:
-                    best, at = self.scores[j], i
+                if j is not None and self.ranks[j] < best:
+                    best, at = self.ranks[j], i
             if at < 0:
                 break
+            if steps is not None:
+                steps.append((best, at, len(parts)))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    @staticmethod
+    def _lives(piece: str, steps: list[tuple[float, int, int]]) -> tuple[list, list]:
+        """First and last symbols over time: text, rank that made it, rank that used it up."""
+        parts, sides = list(piece), ([], [])
+        born = [-np.inf, -np.inf]
+        for rank, at, n in steps:
+            if at == 0:
+                sides[0].append((parts[0], born[0], rank))
+                born[0] = rank
+            if at == n - 2:
+                sides[1].append((parts[-1], born[1], rank))
+                born[1] = rank
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        sides[0].append((piece, born[0], np.inf))
+        sides[1].append((piece, born[1], np.inf))
+        return sides
+
     def border(self, a: int, b: int) -> bool:
         key = a << 20 | b
         ok = self.borders.get(key)
         if ok is None:
             if len(self.borders) > PAIRS:
                 self.borders.clear()
-            left, right = self.pieces[a], self.pieces[b]
-            ok = self.borders[key] = self.merge(left + right) == [left, right]
+            ok = self.borders[key] = self._holds(a, b)
         return ok
 
+    def _holds(self, a: int, b: int) -> bool:
+        if a not in self.ends or b not in self.ends:
+            left, right = self.pieces[a], self.pieces[b]
+            return self.merge(left + right) == [left, right]
+        ids, ranks = self.ids, self.ranks
+        for x, made_x, used_x in self.ends[a][1]:
+            for y, made_y, used_y in self.ends[b][0]:
+                j = ids.get(x + y)
+                # Of equal ranks the left merge comes first.
+                if j is not None and ranks[j] < used_x and ranks[j] <= used_y and made_x <= used_y and made_y < used_x:
+                    return False
+        return True
+
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """Positions in the order of what follows them, by the first ``depth`` or more codes."""
-    rank, span = codes.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+    # Three codes of 21 bits make the first key; each round doubles how far a rank looks.
+    ahead = np.append(codes, np.zeros(2, codes.dtype)).astype(np.int64)
+    pair, span = ahead[:-2] << 42 | ahead[1:-1] << 21 | ahead[2:], 3
+    order = np.argsort(pair, kind="stable")
     while span < depth:
+        rank = np.zeros(len(pair), np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(np.diff(pair[order]) != 0)])
         second = np.zeros(len(rank), np.int64)
-        second[: len(rank) - span] = rank[span:] + 1
-        pair = rank * (int(rank.max()) + 2 if len(rank) else 1) + second
+        second[: max(0, len(rank) - span)] = rank[span:] + 1
+        pair = rank * (len(rank) + 1) + second
         order = np.argsort(pair, kind="stable")
-        rank = np.zeros(len(rank), np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(np.diff(pair[order]) != 0)])
         span *= 2
-        if len(rank) and rank.max() == len(rank) - 1:
-            break
     return order
 
 
@@ -142,34 +192,39 @@ def encode_segments(segments: list[str], merger: Merger, bytes_from: int) -> lis
     order = suffix_array(codes, merger.table.shape[1])
     low, high = ranges(codes, order, merger.table, merger.lengths)
     n = high - low
-    begin = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    length, piece = np.repeat(merger.lengths, n), np.repeat(merger.found, n)
+    total = int(n.sum())
+    begin = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(total)].astype(np.int32)
+    length, piece = np.repeat(merger.lengths.astype(np.int8), n), np.repeat(merger.found.astype(np.int32), n)
+    del order
     covered = np.zeros(len(codes), bool)
     covered[begin[length == 1]] = True
-    alone = np.flatnonzero(~covered)
+    alone = np.flatnonzero(~covered).astype(np.int32)
     begin = np.concatenate([begin, alone])
-    length = np.concatenate([length, np.ones(len(alone), np.int64)])
-    piece = np.concatenate([piece, np.full(len(alone), _UNKNOWN)])
-    end = begin + length
-    by = np.argsort(end * 64 - length)  # by end, longest first
+    length = np.concatenate([length, np.ones(len(alone), np.int8)])
+    piece = np.concatenate([piece, np.full(len(alone), _UNKNOWN, np.int32)])
+    by = np.argsort((begin.astype(np.int64) + length) * 64 - length).astype(np.int32)  # by end, longest first
+    begin, length, piece = begin[by], length[by], piece[by]
+    del by
     starts = np.cumsum([0] + [len(s) + 1 for s in segments])
     last: list[int | None] = [None] * (len(codes) + 1)
     for s in starts.tolist():
         last[s] = -2
     judged, border = merger.borders, merger.border
-    for b, e, p in zip(begin[by].tolist(), end[by].tolist(), piece[by].tolist()):
-        if last[e] is not None:
-            continue
-        q = last[b]
-        if q is None:
-            continue
-        if q < 0 or p < 0:
-            last[e] = p
-        else:
-            ok = judged.get(q << 20 | p)
-            if ok or (ok is None and border(q, p)):
+    for k in range(0, len(begin), EDGES):
+        part = slice(k, k + EDGES)
+        for b, e, p in zip(begin[part].tolist(), (begin[part] + length[part]).tolist(), piece[part].tolist()):
+            if last[e] is not None:
+                continue
+            q = last[b]
+            if q is None:
+                continue
+            if q < 0 or p < 0:
                 last[e] = p
-    sizes = {i: len(merger.pieces[i]) for i in set(piece.tolist()) if i >= 0}
+            else:
+                ok = judged.get(q << 20 | p)
+                if ok or (ok is None and border(q, p)):
+                    last[e] = p
+    sizes = {i: len(merger.pieces[i]) for i in np.unique(piece).tolist() if i >= 0}
     out = []
     for s, segment in zip(starts.tolist(), segments):
         at, ids = s + len(segment), []
@@ -188,20 +243,26 @@ def encode_segments(segments: list[str], merger: Merger, bytes_from: int) -> lis
 def _encoder(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = kept_in_worker("merger_" + vocabulary.key, lambda: Merger(vocabulary))
-        cache = kept_in_worker("segments_" + vocabulary.key, dict)
-        for batch in slices(batches):
+        held = kept_in_worker("segments_" + vocabulary.key, lambda: [{}, {}])  # in use, and of the round before
+        for batch in slices(batches, most=INDEX_BYTES):
             cut = [_SEGMENT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in batch.column("text").to_pylist()]
-            new = list({s for segments in cut for s in segments if s not in cache})
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                new = list({s for segments in cut for s in segments})
+            wanted: set[str] = set()
+            for segments in cut:
+                wanted.update(segments)
+            missing = wanted.difference(held[0])
+            if len(held[0]) + len(missing) > CACHE:
+                held[:], missing = [{}, held[0]], wanted
+            now, before = held
+            for s in missing.intersection(before):
+                now[s] = before[s]
+            new = list(missing.difference(before))
             for s in [s for s in new if "\0" in s]:
-                cache[s] = _with_nul(s, merger, vocabulary.bytes_from)
+                now[s] = _with_nul(s, merger, vocabulary.bytes_from)
             new = [s for s in new if "\0" not in s]
             if new:
                 for s, ids in zip(new, encode_segments(new, merger, vocabulary.bytes_from)):
-                    cache[s] = np.array(ids, np.int32).tobytes()
-            coded = [b"".join([cache[s] for s in segments]) for segments in cut]
+                    now[s] = array("i", ids).tobytes()
+            coded = [b"".join(map(now.__getitem__, segments)) for segments in cut]
             ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
             yield batch.drop_columns(["text"]).append_column("ids", lists)
@@ -217,7 +278,7 @@ def _with_nul(segment: str, merger: Merger, bytes_from: int) -> bytes:
             ids.append(bytes_from)
         elif part:
             ids += encode_segments([part], merger, bytes_from)[0]
-    return np.array(ids, np.int32).tobytes()
+    return array("i", ids).tobytes()
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -230,27 +291,39 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return documents(docs).mapInArrow(_encoder(vocabulary), "id long, ids array<int>").select(outer_id(F.col("id")).alias("doc_id"), "ids")
 
 
-def decode(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """The rows of ``tokens`` with the ``text`` of their ``ids``; bytes that are no UTF-8 become replacement characters.
-
-    Null ids give a null text, no ids an empty one, and ids outside the vocabulary are an error.
-    """
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name != "text") + ", text string"
-
+def _decoder(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.array([p.encode() for p in vocabulary.pieces], object)
         for i, ok in enumerate(vocabulary.plain):
             if not ok:
                 byte = i - vocabulary.bytes_from
                 known[i] = bytes([byte]) if 0 <= byte < 256 else b""
-        for batch in batches:
-            lists = batch.column("ids")
-            parts = known[np.asarray(lists.values)].tolist()
-            offsets, out = np.asarray(lists.offsets).tolist(), []
-            for a, b, ok in zip(offsets, offsets[1:], lists.is_valid().to_pylist()):
-                out.append(b"".join(parts[a:b]).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ") if ok else None)
-            if "text" in batch.schema.names:
-                batch = batch.drop_columns(["text"])
-            yield batch.append_column("text", pa.array(out, pa.string()))
-
-    return tokens.mapInArrow(run, kind)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 200):
+                batch = whole.slice(k, 200)
+                lists, out = batch.column("ids"), []
+                values, offsets = np.asarray(lists.values), np.asarray(lists.offsets).tolist()
+                for a, b, ok in zip(offsets, offsets[1:], lists.is_valid().to_pylist()):
+                    text = b"".join(known[values[a:b]].tolist()).decode("utf-8", "replace")
+                    out.append(text.replace(SPACE, " ").removeprefix(" ") if ok else None)
+                if "text" in batch.schema.names:
+                    batch = batch.drop_columns(["text"])
+                yield batch.append_column("text", pa.array(out, pa.string()))
+
+    return run
+
+
+def decode(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The rows of ``tokens`` with the ``text`` of their ``ids``; bytes that are no UTF-8 become replacement characters.
+
+    Null ids give a null text, no ids an empty one, and ids outside the vocabulary are an error.
+    """
+    kind = StructType([f for f in tokens.schema if f.name != "text"]).add("text", "string")
+    return tokens.mapInArrow(_decoder(vocabulary), kind)
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``doc_id``, ``ids`` and the ``text`` decoded from them, of every row; encoding and decoding in one visit."""
+    to, back = _encoder(vocabulary), _decoder(vocabulary)
+    found = documents(docs).mapInArrow(lambda batches: back(to(batches)), "id long, ids array<int>, text string")
+    return found.select(outer_id(F.col("id")).alias("doc_id"), "ids", "text")
