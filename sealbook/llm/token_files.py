@@ -13,7 +13,9 @@ and survives lost executors through Spark's commit protocol.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealbook.llm.common import documents, kept_in_worker, outer_id, slices
-from sealbook.operators.durable import durable, shared_folder
 
 # Fixed values of the file format: ids per word and their width in bits, by selector. 15 is the escape.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2])
@@ -32,29 +33,32 @@ ESCAPE = 15
 STRIDE = 512
 #: Ids of a block, about; a document is never split over blocks.
 BLOCK_IDS = 1 << 18
-#: Distinct pieces of text whose ids a worker keeps.
-CACHE = 400_000
+#: Distinct words whose ids a worker keeps, besides as many of the round before.
+CACHE = 150_000
+# White space other than the space, in pairs with it.
+_ODD = ["  ", *(x for c in map(chr, range(0x3001)) if c.isspace() and c != " " for x in (" " + c, c + " "))]
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
     """Simple-8b words of the ids (below 2**60)."""
     ids = ids.astype(np.uint64)
-    n = len(ids)
+    n, rungs = len(ids), len(COUNTS)
     if not n:
         return np.empty(0, np.uint64)
-    width = np.ones(n, np.int64)
-    for w in WIDTHS:
-        width[ids >> np.uint64(w) > 0] = w + 1  # narrowest rung is found below
-    # next_wide[s][i]: first place at or after i that is too wide for selector s.
-    fits = []
-    for w in WIDTHS:
-        wide = np.flatnonzero(width > w)
-        nxt = np.append(wide, n)[np.searchsorted(wide, np.arange(n))]
-        fits.append(nxt)
-    selector = np.full(n, ESCAPE, np.int64)
-    for s in range(len(COUNTS) - 1, -1, -1):  # the densest that fits wins
-        selector[fits[s] - np.arange(n) >= COUNTS[s]] = s
-    steps = np.where(selector == ESCAPE, 1, COUNTS[np.minimum(selector, 12)]).tolist()
+    # For each id the first selector wide enough; for each place and selector the largest of these in reach.
+    needs = np.searchsorted(np.uint64(1) << WIDTHS.astype(np.uint64), ids, side="right").astype(np.uint8)
+    spans = [needs]
+    while 2 ** len(spans) <= COUNTS[0]:
+        last, step = spans[-1], 2 ** (len(spans) - 1)
+        spans.append(np.maximum(last, np.append(last[step:], np.full(min(step, n), rungs, np.uint8))[:n]))
+    selector = np.full(n, ESCAPE, np.uint8)
+    for s in range(rungs - 1, -1, -1):  # the densest that fits wins
+        count = int(COUNTS[s])
+        if count <= n:
+            power = count.bit_length() - 1
+            most = np.maximum(spans[power][: n - count + 1], spans[power][count - 2**power : n - 2**power + 1])
+            selector[: n - count + 1][most <= s] = s
+    steps = np.append(COUNTS, np.ones(ESCAPE + 1 - rungs, np.int64))[selector].tolist()
     firsts, i = [], 0
     while i < n:
         firsts.append(i)
@@ -62,11 +66,13 @@ def pack(ids: np.ndarray) -> np.ndarray:
     firsts = np.array(firsts)
     chosen = selector[firsts]
     words = chosen.astype(np.uint64) << np.uint64(60)
-    for s in np.unique(chosen):
+    for s in np.unique(chosen).tolist():
         at = np.flatnonzero(chosen == s)
         count, w = (1, 60) if s == ESCAPE else (int(COUNTS[s]), int(WIDTHS[s]))
+        packed = words[at]
         for k in range(count):
-            words[at] |= ids[firsts[at] + k] << np.uint64(w * k)
+            packed |= ids[firsts[at] + k] << np.uint64(w * k)
+        words[at] = packed
     return words
 
 
@@ -96,32 +102,35 @@ def _blocks(tokenizer: str, end_id: int):
     """Tokenizes documents in the order given and packs them into blocks."""
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        import re
-
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
-        coder = kept_in_worker("coder_" + str(zlib.crc32(tokenizer.encode())), lambda: Tokenizer.from_str(tokenizer))
-        cache = kept_in_worker("pieces_" + str(zlib.crc32(tokenizer.encode())), dict)
-        # Byte-level pieces never span a space between two characters that are not white space, so equal
-        # pieces between such spaces are encoded once. Other texts are encoded as they are.
-        odd = re.compile(r"\s | \s|^ | $|<\|")
-        pieces, spans = [], []
-        for t in texts:
-            if odd.search(t):
-                pieces.append([t])
-            else:
-                head, *rest = t.split(" ")
-                pieces.append([head, *[" " + r for r in rest]])
-        new = list({p for ps in pieces for p in ps if p not in cache})
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list({p for ps in pieces for p in ps})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for p, e in zip(part, coder.encode_batch_fast(part, add_special_tokens=False)):
-                cache[p] = np.array(e.ids, np.uint32).tobytes()
-        tail = np.array([end_id], np.uint32).tobytes()
-        return [np.frombuffer(b"".join([cache[p] for p in ps]) + tail, np.uint32) for ps in pieces]
+        key = str(zlib.crc32(tokenizer.encode()))
+        coder = kept_in_worker("coder_" + key, lambda: Tokenizer.from_str(tokenizer))
+        held = kept_in_worker("pieces_" + key, lambda: [{}, {}])  # words in use, and those of the round before
+        # Byte-level pieces never span a space between two characters that are not white space, so a word
+        # behind such a space is encoded once, with its space. Texts with other spaces are encoded as they are.
+        cut = [None if t[:1] == " " or t[-1:] == " " or "<|" in t or any(x in t for x in _ODD) else t.split(" ") for t in texts]
+        heads = [t if c is None else c[0] for t, c in zip(texts, cut)]
+        tails = [c[1:] if c else [] for c in cut]
+        firsts = iter(coder.encode_batch_fast(heads, add_special_tokens=False))
+        words: set[str] = set()
+        for tail in tails:
+            words.update(tail)
+        missing = words.difference(held[0])
+        if len(held[0]) + len(missing) > CACHE:
+            held[:], missing = [{}, held[0]], words
+        now, before = held
+        for w in missing.intersection(before):
+            now[w] = before[w]
+        new = list(missing.difference(before))
+        for k in range(0, len(new), 1024):
+            part = new[k : k + 1024]
+            for w, e in zip(part, coder.encode_batch_fast([" " + w for w in part], add_special_tokens=False)):
+                now[w] = array("I", e.ids).tobytes()
+        end = np.array([end_id], np.uint32).tobytes()
+        get = now.__getitem__
+        return [np.frombuffer(b"".join([array("I", e.ids).tobytes(), *map(get, tail), end]), np.uint32) for e, tail in zip(firsts, tails)]
 
     def block(docs: list) -> dict:
         ids = np.concatenate([d[2] for d in docs])
