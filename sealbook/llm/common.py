@@ -17,7 +17,7 @@ LOWEST = -(2**63)
 #: Words are what lies between these separators: space, and the controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are handled in slices of about this many bytes, so that memory does not follow the batch size.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def ids(docs: DataFrame) -> list[Column]:
@@ -93,7 +93,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n or more powers of the base and of its inverse, modulo 2**64."""
     store = kept_in_worker("powers", dict)
     if len(store.get("up", ())) < n:
-        n = max(n, SLICE_BYTES + 100_000)
+        n = max(n + n // 4, SLICE_BYTES + 200_000)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             column = np.full(n, base, np.uint64)
             column[0] = 1

@@ -29,8 +29,8 @@ from sealbook.llm.common import documents, kept_in_worker, outer_id, slices
 
 SPACE = "\u2581"
 #: Distinct segments whose ids a worker keeps, besides as many of the round before; pairs of pieces with judged borders.
-CACHE = 200_000
-PAIRS = 500_000
+CACHE = 150_000
+PAIRS = 250_000
 #: Bytes of text that are indexed together, and edges relaxed as one list: these bound a worker's memory.
 INDEX_BYTES = 2_000_000
 EDGES = 200_000

@@ -31,6 +31,8 @@ from sealbook.operators.durable import durable
 MINIMISER_SHARE = 0.3
 #: A minimiser with more super-k-mers than this sends single windows. Results do not depend on it.
 HOT_ROWS = 20_000
+#: Bytes of text within which equal super-k-mers are combined before they travel.
+COMBINED_BYTES = 4_000_000
 #: Whole buckets are handled together up to about so many rows.
 BUCKET_ROWS = 20_000
 _POSITION = np.uint64((1 << 28) - 1)
@@ -76,7 +78,7 @@ def _minimisers(size: int):
 
 def _packed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=COMBINED_BYTES):
             words = Words(batch.column("text"))
             if not (found := _runs(words, size)):
                 continue
