@@ -19,6 +19,8 @@ from sealbook.operators.durable import durable
 
 #: Near copies share four fifths of their shingles of five words.
 SHINGLE_WORDS, LEAST_PERCENT = 5, 80
+#: A passage of so many words on one line is a repeat by itself.
+LONE_WORDS = 50
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -26,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    return without_repeated_runs(docs, min_lines=2)
+    return without_repeated_runs(docs, min_lines=2, lone_words=LONE_WORDS)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

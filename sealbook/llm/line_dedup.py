@@ -5,15 +5,15 @@ line with its smallest hash (the last of equals): such a minimum is a fingerprin
 the window selects at the same place. Fingerprint positions of all documents meet on the fingerprint's
 hash, with what lies left and right of it in the window; the earliest occurrence stays and later ones are
 runs to delete. Matches are extended both ways by joining the matched windows around each fingerprint into
-maximal runs, so a run of any length goes as a whole.
+maximal runs, so a run of any length goes as a whole. On request a line of many words is a window by itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sealbook.llm.common import ids, outer_id
+from sealbook.llm.common import WORD, ids, outer_id
 
 #: A line counts when it holds more than separators.
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -31,51 +31,62 @@ def _rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def _windows(rows: DataFrame, n: int) -> DataFrame:
-    """One row per window: its fingerprint, where in the window that is, and a 128-bit hash of the window."""
+def _many_words(line: Column, least: int) -> Column:
+    return (F.length(line) >= 2 * least - 1) & (F.regexp_count(line, F.lit(WORD)) >= least)
+
+
+def _windows(rows: DataFrame, n: int, lone_words: int | None) -> DataFrame:
+    """One row per window: its size, its fingerprint, where in the window that is, and a 128-bit hash of the window."""
     line = F.transform("at", lambda i: F.struct(F.xxhash64(F.get("lines", i)).alias("a"), F.xxhash64(F.lit(1), F.get("lines", i)).alias("b")))
     starts = F.when(F.size("at") >= n, F.sequence(F.lit(0), F.size("at") - n)).otherwise(F.array().cast("array<int>"))
+    places = F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(n).alias("size")))
+    if lone_words is not None:
+        # Words have separators between them, so a short line is not searched for words.
+        many = F.filter(F.sequence(F.lit(1), F.size("at")), lambda k: _many_words(F.get("lines", F.element_at("at", k)), lone_words))
+        lone = F.when(F.size("at") > 0, F.transform(many, lambda k: F.struct((k - 1).alias("start"), F.lit(1).alias("size"))))
+        places = F.concat(places, F.coalesce(lone, F.array().cast("array<struct<start:int,size:int>>")))
     return (
-        rows.select("id", "h", line.alias("hashed"), "at")
-        .select("id", "h", "hashed", F.explode(starts).alias("start"))
-        .select("id", "h", "start", F.slice("hashed", F.col("start") + 1, n).alias("w"))
+        rows.select("id", "h", line.alias("hashed"), places.alias("places"))
+        .select("id", "h", "hashed", F.explode("places").alias("place"))
+        .select("id", "h", "place.start", "place.size", F.slice("hashed", F.col("place.start") + 1, F.col("place.size")).alias("w"))
         .withColumn("fingerprint", F.array_min(F.col("w.a")))
         .select(
-            "id", "h", "start", "fingerprint",
-            (n - F.array_position(F.reverse(F.col("w.a")), F.col("fingerprint"))).alias("offset"),
+            "id", "h", "start", "size", "fingerprint",
+            (F.col("size") - F.array_position(F.reverse(F.col("w.a")), F.col("fingerprint"))).alias("offset"),
             F.xxhash64("w").alias("w1"), F.xxhash64(F.lit(7), "w").alias("w2"),
         )
     )
 
 
-def _deletions(docs: DataFrame, min_lines: int) -> DataFrame:
-    """``id``, ``h``, ``starts``: the windows of each text that occur earlier."""
-    key = ["fingerprint", "offset", "w1", "w2"]
-    windows = _windows(_rows(docs), min_lines)
+def _deletions(docs: DataFrame, min_lines: int, lone_words: int | None) -> DataFrame:
+    """``id``, ``h``, ``places``: start and size of the windows of each text that occur earlier."""
+    key = ["size", "fingerprint", "offset", "w1", "w2"]
+    windows = _windows(_rows(docs), min_lines, lone_words)
     place = F.struct("id", "h", "start")
     first = windows.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = windows.join(first, key).filter(place > F.col("first"))
-    return later.groupBy("id", "h").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    return later.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("places"))
 
 
-def _cleaned(docs: DataFrame, min_lines: int) -> DataFrame:
+def _cleaned(docs: DataFrame, min_lines: int, lone_words: int | None) -> DataFrame:
     """Every row with its positions of lines, those that go, and the text that stays."""
     rows = _rows(docs)
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.slice("at", s + 1, min_lines))))
+    gone = F.array_distinct(F.flatten(F.transform("places", lambda p: F.slice("at", p["start"] + 1, p["size"]))))
     every = F.sequence(F.lit(0), F.size("lines") - 1)
     left = F.transform(F.array_except(every, "gone"), lambda i: F.get("lines", i))
     return (
-        rows.join(_deletions(docs, min_lines), ["id", "h"], "left")
+        rows.join(_deletions(docs, min_lines, lone_words), ["id", "h"], "left")
         .withColumn("gone", F.coalesce(gone, F.array().cast("array<int>")))
         .withColumn("clean", F.when(F.size("gone") > 0, F.array_join(left, "\n")).otherwise(F.col("text")))
     )
 
 
-def without_repeated_runs(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def without_repeated_runs(docs: DataFrame, min_lines: int = 2, lone_words: int | None = None) -> DataFrame:
     """The rows of ``docs`` with ``text`` rid of runs of lines that occur earlier.
 
     A line goes if a window of ``min_lines`` consecutive lines around it also starts earlier: in a document
-    of smaller doc_id, or earlier in the same one. Lines without a word are not part of windows and stay.
+    of smaller doc_id, or earlier in the same one. With ``lone_words`` a line of at least so many words also
+    goes if that line alone occurs earlier, whatever its neighbours. Lines without a word are not part of windows and stay.
     Windows are judged on the input, not on what is left. Further columns are passed through.
 
     Null texts stay null; a text of one line, or fewer lines than a window, is unchanged. A null doc_id
@@ -83,12 +94,12 @@ def without_repeated_runs(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     different texts are ordered by a hash of the text. An empty table gives no rows.
     """
     columns = [F.col("clean").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
-    return _cleaned(docs, min_lines).select(*columns)
+    return _cleaned(docs, min_lines, lone_words).select(*columns)
 
 
-def line_dedup(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, min_lines: int = 2, lone_words: int | None = None) -> DataFrame:
     """``doc_id``, ``n_lines`` (with a word), ``n_removed``, ``kept_text`` of every row; see `without_repeated_runs`."""
-    return _cleaned(docs, min_lines).select(
+    return _cleaned(docs, min_lines, lone_words).select(
         outer_id(F.col("id")).alias("doc_id"), F.size("at").cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_removed"), F.col("clean").alias("kept_text"),
     )
