@@ -6,10 +6,10 @@ again before the next. All but the last give the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealbook.llm.common import ids
+from sealbook.llm.common import WORD, ids
 from sealbook.llm.decontamination import without_contaminated
 from sealbook.llm.jaccard import near_duplicates
 from sealbook.llm.line_dedup import without_repeated_runs
@@ -32,12 +32,26 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document of the smallest id of each group; of rows that repeat its id, the first by text."""
-    groups = near_duplicates(docs, words=SHINGLE_WORDS, num=LEAST_PERCENT, den=100)
-    copies = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(ids(groups.withColumn("text", F.lit("")))[0]).distinct()
-    rows = docs.select(F.struct("*").alias("row"), *ids(docs)).join(copies, "id", "left_anti")
-    first = Window.partitionBy("id").orderBy("text")
-    return rows.withColumn("k", F.row_number().over(first)).filter("k = 1").select("row.*")
+    """The document of the smallest id of each group; of several texts with that id, the first by text.
+
+    Rows are nodes of their own, so texts that share a doc_id, or have none, are one group only if they are near copies.
+    Texts without words are copies if both id and text are the same.
+    """
+    numbered = docs.select(F.struct("*").alias("row"), ids(docs)[0])
+    rows = durable(numbered.withColumn("node", F.monotonically_increasing_id()))
+    text = F.col("row.text").cast("string")
+    groups = near_duplicates(rows.select(F.col("node").alias("doc_id"), text.alias("text")), words=SHINGLE_WORDS, num=LEAST_PERCENT, den=100)
+    same = F.concat_ws(":", F.col("id").cast("string"), F.coalesce("digest", F.lit("null")))
+    digest = F.when(~text.rlike(WORD), F.sha2(text, 256)).alias("digest")
+    seats = durable(
+        rows.select("node", "id", digest).join(groups.withColumnRenamed("doc_id", "node"), "node")
+        .select("node", "id", F.when(F.col("n_shingles") > 0, F.col("component_id").cast("string")).otherwise(same).alias("label"))
+    )
+    by_id = seats.groupBy("label", "id").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    least = by_id.groupBy("label").agg(F.min(F.struct("id", "n", "node")).alias("s")).select("label", "s.*")
+    several = seats.join(least.filter("n > 1").select("label", "id"), ["label", "id"]).select("node", "label")
+    first = rows.join(several, "node").groupBy("label").agg(F.min_by("row", F.struct(text.alias("text"), "node")).alias("row"))
+    return rows.join(least.filter("n = 1"), "node", "left_semi").select("row.*").unionByName(first.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

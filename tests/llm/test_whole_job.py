@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from tests.llm.test_operators import WORD, low, made_up, table
+from tests.llm.test_operators import LOWER, WORD, low, made_up, table
 
 
 def without_runs(rows, size, lone_words):
@@ -40,3 +40,41 @@ def test_stage_drops_a_passage_on_one_line(spark):
     rows = [(1, f"a b\n{passage}\nc d"), (2, f"e f\n{passage}\ng h"), (3, passage), (4, f"i j\n{short}"), (5, f"{short}\nk l"), (None, None)]
     found = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, table(spark, rows), "").collect()}
     assert found == dict(rows) | {2: "e f\ng h", 3: ""}
+
+
+def one_of_near_copies(rows, words, percent):
+    """(doc_id, text) of the smallest (doc_id, text) of each group; nodes are the distinct pairs of both."""
+
+    def shingles(text):
+        w = WORD.findall((text or "").translate(LOWER))
+        return frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else [])
+
+    nodes = sorted(set(rows), key=lambda x: (low(x[0]), x[1] is not None, x[1] or ""))
+    sets = [shingles(t) for _, t in nodes]
+    root = list(range(len(nodes)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return Counter(node for k, node in enumerate(nodes) if find(k) == k)
+
+
+def test_stage_keeps_one_of_near_copies(spark):
+    """Null ids, one id on different texts, repeated rows, null and empty texts."""
+    import corpus_pipeline
+
+    rows = made_up(7, n=30)
+    texts = [t for _, t in made_up(8, n=14)[:14]]
+    prose = " ".join(f"v{k}" for k in range(60))
+    rows += [(None, t) for t in texts] + [(17, t) for t in texts[3:9]] + [(None, None), (None, None), (None, ""), (None, " "), (300, "")]
+    rows += [(None, prose + " b"), (None, prose + " a"), (900, prose), (901, prose + " b c"), (902, texts[0]), (903, texts[1])]
+    found = corpus_pipeline.keep_one_of_near_copies(spark, table(spark, rows), "")
+    assert found.columns == table(spark, rows[:1]).columns
+    assert Counter((r.doc_id, r.text) for r in found.collect()) == one_of_near_copies(rows, 5, 80)
