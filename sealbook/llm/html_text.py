@@ -4,7 +4,9 @@ A page is cut into blocks of text at block-level tags; text inside scripts, form
 belongs to no block. The first pass judges each block alone by its length, its share of stop words and its share of
 linked characters: good, bad, or undecided where it is short. The second gives undecided blocks the label
 of the nearest decided ones in the same part of the page. Inside an element marked as the article one good
-neighbour is enough and the element's borders are good; elsewhere both must be, or one for a heading.
+neighbour is enough and the element's borders are good. Elsewhere the nearer one counts, at a border of the page
+the only one; of two equally near ones that differ the good one counts for headings and for prose. On a page
+without a good block prose is good at a smaller length.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ STOP_WORDS = frozenset(
     "de la le les et des en un une du que est dans qui par pour au sur pas ne se il elle "
     "el los las que y del se con no una su al lo es por para como más".split()
 )
-LONG, STOPS_HIGH, STOPS_LOW, LINKS_HIGH, SHORT = 200, 0.30, 0.20, 0.35, 70
+LONG, STOPS_HIGH, STOPS_LOW, LINKS_HIGH, SHORT, FEW_WORDS = 200, 0.30, 0.20, 0.35, 70, 5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[A-Za-z])[^<]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -145,13 +147,17 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def stop_share(block: Block) -> float:
+    words = block.text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+
+
 def first_pass(block: Block) -> bool | None:
     """Good, bad or undecided, from the block alone."""
     n = len(block.text)
     if block.linked > LINKS_HIGH * n:
         return False
-    words = block.text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    stops = stop_share(block)
     if n < SHORT or block.heading:
         return None
     if block.article:  # marked up as the article: prose or not, only links speak against it
@@ -161,31 +167,48 @@ def first_pass(block: Block) -> bool | None:
     return None if stops >= STOPS_LOW else False
 
 
+def _shorter_prose(found: list[Block], labels: list[bool | None]) -> None:
+    """Where no block is good, those undecided ones are that read like prose: of some length, or else of some words."""
+    prose = [i for i, b in enumerate(found) if labels[i] is None and not b.heading and stop_share(b) >= STOPS_HIGH]
+    for i in [i for i in prose if len(found[i].text) >= SHORT] or [i for i in prose if len(found[i].text.split()) >= FEW_WORDS]:
+        labels[i] = True
+
+
 def main_text(page: str | None) -> str:
     """Good blocks, one line each."""
     found = blocks(page or "")
     labels = [first_pass(b) for b in found]
-    near: list[tuple[bool | None, bool | None]] = []
-    before: dict[int, bool] = {}
+    # Pages that mark their article have it there; others are judged as a whole.
+    marked = any(b.article for b in found)
+    if not marked and True not in labels:
+        _shorter_prose(found, labels)
+    # The nearest decided block on each side: its label and how far it is.
+    none = (None, 0)
+    near: list[tuple[tuple[bool | None, int], tuple[bool | None, int]]] = []
+    before: dict[int, tuple[bool, int]] = {}
     for i, b in enumerate(found):
-        near.append((before.get(b.article), None))
+        label, at = before.get(b.article, none)
+        near.append(((label, i - at), none))
         if labels[i] is not None:
-            before[b.article] = labels[i]
-    after: dict[int, bool] = {}
+            before[b.article] = labels[i], i
+    after: dict[int, tuple[bool, int]] = {}
     for i in range(len(found) - 1, -1, -1):
-        near[i] = (near[i][0], after.get(found[i].article))
+        label, at = after.get(found[i].article, none)
+        near[i] = near[i][0], (label, at - i)
         if labels[i] is not None:
-            after[found[i].article] = labels[i]
-    # Pages that mark their article have it there; others are judged as a whole.
-    marked = any(b.article for b in found)
+            after[found[i].article] = labels[i], i
     kept = []
-    for b, label, (left, right) in zip(found, labels, near):
+    for b, label, ((left, l_far), (right, r_far)) in zip(found, labels, near):
         if marked and not b.article:
             continue
         if label is None and b.article:  # the borders of an article count as good
             label = left is not False or right is not False
+        elif label is None and (left is None or right is None or left == right or b.heading):
+            label = bool(left or right)
+        elif label is None and l_far != r_far:
+            label = left if l_far < r_far else right
         elif label is None:
-            label = bool(left or right) if b.heading else bool(left and right)
+            label = len(b.text) >= SHORT and stop_share(b) >= STOPS_HIGH
         if label:
             kept.append(b.text)
     return "\n".join(kept)

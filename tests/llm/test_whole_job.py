@@ -78,3 +78,21 @@ def test_stage_keeps_one_of_near_copies(spark):
     found = corpus_pipeline.keep_one_of_near_copies(spark, table(spark, rows), "")
     assert found.columns == table(spark, rows[:1]).columns
     assert Counter((r.doc_id, r.text) for r in found.collect()) == one_of_near_copies(rows, 5, 80)
+
+
+def test_unmarked_pages_keep_their_short_paragraphs():
+    from sealbook.llm.html_text import main_text
+
+    long = ("This is the long text of the page and it is about the things that are in it. " * 4).strip()
+    mid = "This is a paragraph of the page and it is not a long one, but it is prose as well."
+    menu = "<p><a href=a>Products</a></p>"
+    p = lambda *texts: "".join(f"<p>{t}</p>" for t in texts)
+    assert main_text(f"<div>{p(mid, long, mid)}</div>") == "\n".join([mid, long, mid])
+    assert main_text(f"<div>{p('Short one.', long, 'The end.')}</div>") == "\n".join(["Short one.", long, "The end."])
+    assert main_text(f"{menu}<div>{p(mid, mid)}<h2>Then</h2>{p(mid)}</div>{menu}") == "\n".join([mid, mid, "Then", mid])
+    assert main_text(p("It is what it is.", "And that is all of it.")) == "It is what it is.\nAnd that is all of it."
+    # The nearer neighbour counts; between two equally near ones that differ, prose stays and a scrap goes.
+    assert main_text(f"{menu}{p('Scrap one.', 'Scrap two.', 'Scrap three.', long)}") == f"Scrap three.\n{long}"
+    assert main_text(f"{menu}{p(mid, long)}") == f"{mid}\n{long}"
+    assert main_text(f"{menu}{p('Scrap.', long)}") == long
+    assert main_text(menu) == main_text(p("Imprint", "Log in")) == ""
