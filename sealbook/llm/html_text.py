@@ -14,7 +14,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,11 +32,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # An end tag or a new block closes these without an end tag of their own.
 CLOSED_BY_BLOCK = frozenset("p".split())
 OTHER_PARTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|side-?bar|menu|nav\w*|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notices?|alert|"
-    r"comments?|comment-?list|disqus|replies|respond|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|search|pop-?up|modal|overlay|widget|"
-    r"toolbar|pagination|pager|copyright|skip-?link|teaser)(?:$|[\s_-])",
+    r"ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|menu|nav\w*|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notices?|alert|"
+    r"comments?|commentlist|disqus|replies|respond|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|search|popup|modal|overlay|widgets?|"
+    r"toolbar|pagination|pager|copyright|skiplink|teaser",
     re.I,
 )
+TITLE_PARTS = frozenset("header entry post article story content".split())
+# What follows a part's name without making it another: boxes, kinds of entries, places, numbers.
+OF_PART = re.compile(
+    r"area|articles|bar|block|bottom|box|boxes|buttons?|col|column|container|content|entries|feed|footer|form|group|icons?|inner|items?|left|links?|list|message|module|news|outer|overlay|"
+    r"panel|placeholder|popup|posts|primary|right|row|secondary|section|slot|stories|text|top|unit|wrap|wrapper|zone|\d\w*",
+    re.I,
+)
+DOUBLE = {("side", "bar"): "sidebar", ("pop", "up"): "popup", ("skip", "link"): "skiplink"}
+NOT_PARTS = frozenset("has with no not without".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 STOP_WORDS = frozenset(
     "the of and to in a is that it for was on are with as be by at from this have or an not which but were their "
@@ -58,29 +67,65 @@ class Block:
     linked: int
     article: int  # number of the article or main element around it, 0 for none
     heading: bool
+    named: tuple[int, ...] = ()  # numbers of the elements around it that are other parts by their class or id
+
+
+def _other_part(name: str, in_article: bool) -> bool:
+    """Whether one class or id names another part of the page: by its last noun, so not ``has-sidebar`` or ``search-enabled``."""
+    parts = [x for x in re.split("[_-]+", name.lower().split("--")[0] or name.lower()) if x]
+    if NOT_PARTS.intersection(parts):
+        return False
+    while len(parts) > 1 and (joined := DOUBLE.get((parts[-2], parts[-1]))):
+        parts[-2:] = [joined]
+    if parts and parts[-1] == "header" and (in_article or len(parts) > 1 and TITLE_PARTS.issuperset(parts)):
+        return False
+    while len(parts) > 1 and not OTHER_PARTS.fullmatch(parts[-1]) and OF_PART.fullmatch(parts[-1]):
+        parts.pop()
+        if joined := DOUBLE.get(tuple(parts[-2:])):
+            parts[-2:] = [joined]
+    return bool(parts) and bool(OTHER_PARTS.fullmatch(parts[-1]))
 
 
-def _apart(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is another part of the page than its article."""
+def _apart(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is another part of the page than its article: for certain, or by its class or id alone."""
     if tag in NEVER or (tag == "header" and not in_article):
-        return True
+        return True, False
     if not _NAMED.search(attributes) or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    named = False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in OTHER_ROLES):
-            return True
-        if name in ("class", "id") and OTHER_PARTS.search(value):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id"):
+            named = named or any(_other_part(x, in_article) for x in value.split())
+    return False, named
+
+
+def _without_named(found: list[Block], opened: list[tuple[int, bool]]) -> list[Block]:
+    """The blocks without those of elements that are other parts by name.
+
+    Such an element stays if most of the article text of the page is of articles that it contains: then it is
+    a wrapper, whatever its name. ``opened`` has, per element, the articles begun before it and whether it lies in one.
+    """
+    total = sum(len(b.text) for b in found if b.article)
+    held = [0] * len(opened)
+    for b in found:
+        for k in b.named:
+            if b.article > opened[k][0]:
+                held[k] += len(b.text)
+    gone = {k for k, (_, in_story) in enumerate(opened) if in_story or not held[k] or 2 * held[k] < total}
+    return [b for b in found if gone.isdisjoint(b.named)]
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, without those of elements that are never the article."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they stand apart
-    apart = links = articles = 0
+    stack: list[tuple[str, bool, bool]] = []  # open elements, whether they stand apart, and whether by name
+    named: list[int] = []
+    opened: list[tuple[int, bool]] = []
+    apart = links = articles = stories = 0
     inside: list[int] = []
     heading = False
 
@@ -90,7 +135,7 @@ def blocks(page: str) -> list[Block]:
             text = _BLANK.sub(" ", html.unescape("".join(t for t, _ in parts))).strip()
             if text:
                 linked = sum(len(html.unescape(t).strip()) for t, a in parts if a)
-                out.append(Block(text, linked, inside[-1] if inside else 0, heading))
+                out.append(Block(text, linked, inside[-1] if inside else 0, heading, tuple(named)))
             parts = []
 
     at, n = 0, len(page)
@@ -125,8 +170,11 @@ def blocks(page: str) -> list[Block]:
             if tag in BLOCKS or tag in NEVER:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
-                        for name, was in stack[k:]:
+                        for name, was, by_name in reversed(stack[k:]):
                             apart -= was
+                            if by_name:
+                                named.pop()
+                            stories -= name == "article"
                             if name in ("article", "main") and inside:
                                 inside.pop()
                         del stack[k:]
@@ -136,15 +184,22 @@ def blocks(page: str) -> list[Block]:
             links = 1
         elif tag in BLOCKS or tag in NEVER:
             if tag in CLOSED_BY_BLOCK and stack and stack[-1][0] == tag:
-                apart -= stack.pop()[1]
-            was = _apart(tag, attributes, bool(inside))
+                _, was, by_name = stack.pop()
+                apart -= was
+                if by_name:
+                    named.pop()
+            was, by_name = _apart(tag, attributes, bool(inside))
             apart += was
-            stack.append((tag, was))
+            if by_name:
+                named.append(len(opened))
+                opened.append((articles, stories > 0))
+            stack.append((tag, was, by_name))
+            stories += tag == "article"
             if tag in ("article", "main"):
                 articles += 1
                 inside.append(articles)
     flush()
-    return out
+    return _without_named(out, opened) if opened else out
 
 
 def stop_share(block: Block) -> float:
@@ -178,8 +233,14 @@ def main_text(page: str | None) -> str:
     """Good blocks, one line each."""
     found = blocks(page or "")
     labels = [first_pass(b) for b in found]
-    # Pages that mark their article have it there; others are judged as a whole.
+    # Pages that mark their article have it there; others are judged as a whole, also those that mark only a small part.
     marked = any(b.article for b in found)
+    if marked:
+        within = sum(len(b.text) for b, label in zip(found, labels) if b.article and label is not False)
+        outside = sum(len(b.text) for b, label in zip(found, labels) if not b.article and label)
+        if outside > 2 * within:
+            marked, found = False, [replace(b, article=0) for b in found]
+            labels = [first_pass(b) for b in found]
     if not marked and True not in labels:
         _shorter_prose(found, labels)
     # The nearest decided block on each side: its label and how far it is.

@@ -96,3 +96,30 @@ def test_unmarked_pages_keep_their_short_paragraphs():
     assert main_text(f"{menu}{p(mid, long)}") == f"{mid}\n{long}"
     assert main_text(f"{menu}{p('Scrap.', long)}") == long
     assert main_text(menu) == main_text(p("Imprint", "Log in")) == ""
+
+
+def test_wrappers_by_name_keep_their_article():
+    from sealbook.llm.html_text import main_text
+
+    long = ("This is the long text of the page and it is about the things that are in it. " * 4).strip()
+    story = f"<article><div class='entry-header'><h1>Title</h1></div><p>{long}</p></article>"
+    for name in ("class='layout with-sidebar'", "class='site has-sidebar'", "id='page' class='search-enabled'", "class='sidebar'", "class='page--no-ads layout--sidebar'"):
+        assert main_text(f"<div {name}>{story}<div class='sidebar-inner'><p>{long} Elsewhere.</p></div></div>") == f"Title\n{long}", name
+        if name != "class='sidebar'":
+            assert main_text(f"<div {name}><p>{long}</p></div>") == long, name
+    for name in ("ad", "top-ad", "cookie-notice", "side-bar", "main side-bar-left", "comment-list", "comments-area", "related-posts", "widget_2", "sidebar--left", "social share-buttons"):
+        other = f"<div class='{name}'><p>{long} Elsewhere.</p></div>"
+        assert main_text(f"<div><p>{long}</p>{other}</div>") == main_text(f"<main><p>{long}</p>{other}</main>") == long, name
+    comments = "<div id='comments'>" + f"<article><p>{long} I say.</p></article>" * 3 + "</div>"
+    assert main_text(f"<article><p>{long * 3}</p>{comments}</article>") == long * 3
+    assert main_text(f"<main><p>{long * 4}</p>{comments}</main>") == long * 4
+
+
+def test_story_beside_marked_teasers():
+    from sealbook.llm.html_text import main_text
+
+    long = ("This is the long text of the page and it is about the things that are in it. " * 4).strip()
+    teasers = "".join(f"<article><a href={k}>Another story of the day</a></article><article><p>Teaser {k}</p></article>" for k in range(3))
+    text = main_text(f"<div><h1>Title</h1><p>{long}</p><p>{long}</p></div><div>{teasers}</div>")
+    assert text.startswith(f"Title\n{long}\n{long}") and "Another story" not in text
+    assert main_text(f"<article><p>{long}</p></article><div><p>{long}</p></div>") == long
