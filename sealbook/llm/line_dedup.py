@@ -1,11 +1,10 @@
-"""Line dedup by winnowing, with DataFrame functions only.
-
-A document is the sequence of its lines that hold a word. Each window of ``min_lines`` lines selects the
-line with its smallest hash (the last of equals): such a minimum is a fingerprint that every occurrence of
-the window selects at the same place. Fingerprint positions of all documents meet on the fingerprint's
-hash, with what lies left and right of it in the window; the earliest occurrence stays and later ones are
-runs to delete. Matches are extended both ways by joining the matched windows around each fingerprint into
-maximal runs, so a run of any length goes as a whole. On request a line of many words is a window by itself.
+"""Line dedup by hashes of line windows, with DataFrame functions only.
+
+A document is the sequence of its lines that hold a word. Every window of ``min_lines`` lines is a row with its
+128-bit hash; the line with the window's smallest hash (the last of equals) and its place go with it in the key.
+None are left out by winnowing, so every repeated window is found. Equal windows of all documents meet, the
+earliest occurrence stays and later ones are deleted; overlapping ones make up a run of any length, which goes
+as a whole. On request a line of many words is a window by itself.
 """
 
 from __future__ import annotations
