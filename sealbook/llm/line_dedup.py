@@ -31,7 +31,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _many_words(line: Column, least: int) -> Column:
-    return (F.length(line) >= 2 * least - 1) & (F.regexp_count(line, F.lit(WORD)) >= least)
+    """By a search that ends at that word; words have separators between them, so a short line is not searched."""
+    return (F.length(line) >= 2 * least - 1) & line.rlike(rf"^(?:[\x20\x09-\x0D]*+{WORD}+){{{least}}}")
 
 
 def _windows(rows: DataFrame, n: int, lone_words: int | None) -> DataFrame:
@@ -40,10 +41,9 @@ def _windows(rows: DataFrame, n: int, lone_words: int | None) -> DataFrame:
     starts = F.when(F.size("at") >= n, F.sequence(F.lit(0), F.size("at") - n)).otherwise(F.array().cast("array<int>"))
     places = F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(n).alias("size")))
     if lone_words is not None:
-        # Words have separators between them, so a short line is not searched for words.
-        many = F.filter(F.sequence(F.lit(1), F.size("at")), lambda k: _many_words(F.get("lines", F.element_at("at", k)), lone_words))
-        lone = F.when(F.size("at") > 0, F.transform(many, lambda k: F.struct((k - 1).alias("start"), F.lit(1).alias("size"))))
-        places = F.concat(places, F.coalesce(lone, F.array().cast("array<struct<start:int,size:int>>")))
+        marked = F.transform("at", lambda i, k: F.when(_many_words(F.get("lines", i), lone_words), F.struct(k.alias("start"), F.lit(1).alias("size"))))
+        lone = F.filter(marked, lambda p: p.isNotNull())
+        places = F.concat(places, lone)
     return (
         rows.select("id", "h", line.alias("hashed"), places.alias("places"))
         .select("id", "h", "hashed", F.explode("places").alias("place"))
