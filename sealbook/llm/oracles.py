@@ -60,5 +60,19 @@ from documents d left join marked m on m.doc_id = d.doc_id group by d.doc_id
 """
 
 
+OP13 = r"""
+with vectors as materialized (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), numbered as materialized (select *, row_number() over (order by vec_id) r from vectors
+), scored as (
+  select q.vec_id query_id, q.r, c.vec_id, list_inner_product(q.v, c.v)::bigint score
+  from numbered q join numbered c on q.r <> c.r where q.vec_id % 100 = 0
+)
+select query_id, rank::integer rank, vec_id, score from (
+  select *, row_number() over (partition by query_id, r order by score desc, vec_id) rank from scored) where rank <= 10
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op3_line_dedup": OP3, "op6_substring_dedup": OP6}
+    return {"op1_ngram_jaccard_join": OP1, "op3_line_dedup": OP3, "op6_substring_dedup": OP6, "op13_exact_top_k": OP13}

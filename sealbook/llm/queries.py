@@ -96,6 +96,12 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op13_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    from sealbook.llm.top_products import top_products
+
+    return top_products(table(spark, folder, "embeddings"), is_query=F.col("id") % 100 == 0, k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query takes a session and the folder of the tables."""
     found = [f for name, f in globals().items() if name.startswith("op")]
