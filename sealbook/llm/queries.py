@@ -96,6 +96,12 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    from sealbook.llm.periodic_runs import digests, periodic_runs
+
+    return digests(periodic_runs(table(spark, folder, "documents"), planted=True))
+
+
 def op13_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     from sealbook.llm.top_products import top_products
 
