@@ -60,6 +60,34 @@ from documents d left join marked m on m.doc_id = d.doc_id group by d.doc_id
 """
 
 
+OP12 = rf"""
+with pieces as materialized (
+  select coalesce(lang, 'und') lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) p from documents
+), words as materialized (select lang, regexp_extract_all(p, '[^\x20\x09]+') w from pieces
+), n as (select lang, sum(len(w))::bigint n from words group by 1
+), phrases as materialized (
+  select lang, p, count(*) f from (
+    select lang, unnest(w) p from words
+    union all select lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) p from words
+    union all select lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) p from words
+  ) group by all having count(*) >= 10
+), candidates as materialized (select lang, p, f a, string_split(p, ' ') w from phrases where contains(p, ' ')
+), cuts as (
+  select c.lang, c.p, a, k, l.f l, r.f r, (1000000::hugeint * a * a) // (l.f::hugeint * r.f) score
+  from (select *, unnest(range(1, len(w))) k from candidates) c
+  join phrases l on l.lang = c.lang and l.p = array_to_string(w[1:k], ' ')
+  join phrases r on r.lang = c.lang and r.p = array_to_string(w[k+1:], ' ')
+), best as (select * from (select *, row_number() over (partition by lang, p order by score, k) o from cuts) where o = 1
+), inner_ as (
+  select lang, q, max(a) longer from (
+    select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) q from candidates where len(w) = 3) group by 1, 2
+), ranked as (
+  select b.*, row_number() over (partition by b.lang order by score desc, a desc, p) rank
+  from best b left join inner_ i on i.lang = b.lang and i.q = b.p where i.q is null or 100 * longer < 50 * a
+)
+select r.lang, rank, p phrase, a, l, r, n, score::bigint score from ranked r join n on n.lang = r.lang where rank <= 2000
+"""
+
 OP13 = r"""
 with vectors as materialized (
   select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) v from embeddings
@@ -75,4 +103,4 @@ select query_id, rank::integer rank, vec_id, score from (
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op3_line_dedup": OP3, "op6_substring_dedup": OP6, "op13_exact_top_k": OP13}
+    return {"op1_ngram_jaccard_join": OP1, "op3_line_dedup": OP3, "op6_substring_dedup": OP6, "op12_collocations": OP12, "op13_exact_top_k": OP13}

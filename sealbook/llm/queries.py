@@ -102,6 +102,12 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return digests(periodic_runs(table(spark, folder, "documents"), planted=True))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    from sealbook.llm.collocations import collocations
+
+    return collocations(table(spark, folder, "documents"), min_words=2, max_words=3, least=10, nested_percent=50, top=2000)
+
+
 def op13_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     from sealbook.llm.top_products import top_products
 
