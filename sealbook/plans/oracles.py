@@ -194,6 +194,14 @@ def oracles() -> dict[str, str]:
             {_MODE.format(m='metric')} AS mode, {m('micros')} AS billed_total, CAST(micros AS VARCHAR) AS billed_total_micros,
             n AS event_count, sealed, swm AS sealed_watermark_ms FROM totals"""
 
+    purged = f"""{_LINE_CHAIN},
+            gone AS (SELECT CAST(s_suppkey AS VARCHAR) AS customer_id FROM supplier WHERE s_acctbal < 0),
+            t AS (SELECT 'event_log' AS name, customer_id FROM wl UNION ALL SELECT 'billing_window', customer_id FROM win
+                  UNION ALL SELECT 'window_receipt', customer_id FROM win WHERE sealed
+                  UNION ALL SELECT 'stream_watermark', customer_id FROM wm UNION ALL SELECT 'correction_epoch', customer_id FROM corr)
+            SELECT name, count(*) AS rows_left, count(DISTINCT customer_id) AS customers_left FROM t
+            WHERE customer_id NOT IN (SELECT customer_id FROM gone) GROUP BY name"""
+
     return {
         "usage_from_events": f"""WITH {ev} SELECT event_id, customer_id, metric, {m('q')} AS quantity,
             t AS event_time_ms, ing AS ingest_time_ms, payload FROM ev""",
@@ -314,13 +322,28 @@ def oracles() -> dict[str, str]:
             (SELECT count(*) FROM corr) AS corrections, {m('sum(micros)')} AS grand_total FROM totals""",
         "log_replay_state": f"""{_LATE_CHAIN}, {_TOTALS} SELECT k AS window_key, {m('micros')} AS billed_total, n AS event_count,
             sealed, swm AS sealed_watermark_ms FROM totals""",
-        "purge_customers": f"""{_LINE_CHAIN},
-            gone AS (SELECT CAST(s_suppkey AS VARCHAR) AS customer_id FROM supplier WHERE s_acctbal < 0),
-            t AS (SELECT 'event_log' AS name, customer_id FROM wl UNION ALL SELECT 'billing_window', customer_id FROM win
-                  UNION ALL SELECT 'window_receipt', customer_id FROM win WHERE sealed
-                  UNION ALL SELECT 'stream_watermark', customer_id FROM wm UNION ALL SELECT 'correction_epoch', customer_id FROM corr)
-            SELECT name, count(*) AS rows_left, count(DISTINCT customer_id) AS customers_left FROM t
-            WHERE customer_id NOT IN (SELECT customer_id FROM gone) GROUP BY name""",
+        "purge_customers": purged,
+        "purge_in_place": purged,
+        "open_window_index": f"""{_LATE_CHAIN} SELECT k AS window_key, customer_id, metric, o AS window_open_ms,
+            c AS window_close_ms FROM win WHERE NOT sealed""",
+        "log_by_day": f"""{_LATE_CHAIN} SELECT strftime(make_timestamp(t * 1000), '%Y-%m-%d') AS day, count(*) AS events,
+            CAST(sum(q) AS VARCHAR) AS micros FROM wl WHERE t >= {CUT_MS - 5 * DAY_MS} AND t < {CUT_MS + 5 * DAY_MS} GROUP BY day""",
+        "concurrent_ingest": f"""{_same_totals()} SELECT k AS window_key, {m('micros')} AS billed_total, n AS event_count, sealed,
+            n AS accepted, 3 * n AS deduped FROM totals""",
+        "interleaved_writers": f"""{_LATE_CHAIN}, {_TOTALS},
+            filed AS (SELECT k, count(*) AS late FROM corr GROUP BY k)
+            SELECT k AS window_key, {m('micros')} AS billed_total, n AS event_count, sealed, coalesce(late, 0) AS late
+            FROM totals LEFT JOIN filed USING (k)""",
+        "store_of_many_batches": window_totals,
+        "scattered_ids": f"""WITH {ev}, h AS (SELECT md5(event_id) AS h, q FROM ev WHERE metric = 'signup')
+            SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' ||
+              substr(h, 21, 12) AS event_id, 'deduped' AS disposition, true AS conflict, q + 1000000 AS quantity_micros FROM h""",
+        "streams_and_customers": f"""{_LATE_CHAIN},
+            latest AS (SELECT customer_id FROM corr ORDER BY filed DESC, event_id LIMIT 50)
+            SELECT customer_id, count(DISTINCT metric) AS streams, count(*) AS windows, max(wm) AS watermark_ms,
+              (SELECT count(*) FROM latest WHERE latest.customer_id = win.customer_id) AS latest FROM win GROUP BY customer_id""",
+        "windows_of_a_metric": f"""{_LATE_CHAIN} SELECT k AS window_key, customer_id, {state} AS state,
+            row_number() OVER (ORDER BY k) - 1 AS position FROM win WHERE metric = 'purchase'""",
         "merkle_roots_of_windows": f"{_ROOTS} SELECT k AS window_key, root AS merkle_root FROM roots",
         "receipt_signatures": f"WITH {ev} SELECT event_id, {_hmac(_leaf())} AS signature FROM ev",
         "receipts_of_windows": f"""{_ROOTS} SELECT k AS window_key, customer_id, metric, {_MODE.format(m='metric')} AS mode,

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealbook.functions.ids import hash_order, time_ordered_id
@@ -13,6 +16,8 @@ from sealbook.operators.parity import agreement
 from sealbook.operators.sealing import seal_due_windows
 from sealbook.operators.totals import window_totals
 from sealbook.settings import Settings
+from sealbook.sources.store import MeteringStore
+
 
 def hostile_arrivals(deliveries: DataFrame, seed: str | Column, share: float) -> DataFrame:
     """Every delivery once, a share of them twice, in the shuffled order of ``seed``.
@@ -138,3 +143,26 @@ def tie_sensitivity(events: DataFrame, seeds: list[str], settings: Settings) ->
         F.col("last.distinct_values").alias("distinct_values"),
         (F.col("last.distinct_values") == 1).alias("stable"),
     )
+
+
+class Interrupted(MeteringStore):
+    """A writer whose first commit comes after another writer's: ``between`` is called just before it."""
+
+    def __init__(self, *args, between: Callable[[], object], **kwargs):
+        super().__init__(*args, **kwargs)
+        self._between_once = between
+
+    def _commit(self, snapshot, entry):
+        between, self._between_once = self._between_once, None
+        if between is not None:
+            between()
+        return super()._commit(snapshot, entry)
+
+
+def concurrent_ingest(spark: SparkSession, deliveries: DataFrame, root: str, writers: int, settings: Settings, now_ms: int) -> MeteringStore:
+    """The same deliveries ingested by several writers at once, and sealed: a store that has to hold them once."""
+    with ThreadPoolExecutor(writers) as pool:
+        list(pool.map(lambda _: MeteringStore(spark, root, settings).ingest(deliveries, now_ms), range(writers)))
+    store = MeteringStore(spark, root, settings)
+    store.seal(now_ms)
+    return store

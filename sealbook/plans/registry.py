@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sealbook.functions.hashing import leaf_text
 from sealbook.functions.quantity import format_micros, micros_from_text, pretty_micros
-from sealbook.functions.windows import billing_mode, with_window
+from sealbook.functions.windows import STREAM, billing_mode, with_window
 from sealbook.operators import parity, receipts, reports, sealing, totals, verify, watermarks
 from sealbook.operators.durable import shared_folder
 from sealbook.operators.ingest import (
@@ -26,6 +26,7 @@ from sealbook.operators.ingest import (
     sealed_hits,
 )
 from sealbook.operators.merkle import merkle_roots
+from sealbook.operators.ordering import in_order
 from sealbook.operators.validate import check_deliveries
 from sealbook.plans import invoices, proofs
 from sealbook.plans.scenarios import (
@@ -37,6 +38,7 @@ from sealbook.plans.scenarios import (
     WEEKLY,
     daily,
     events,
+    late_batches,
     late_store,
     line_store,
     lines,
@@ -397,18 +399,17 @@ def watermark_timeline(spark, folder):
 
 @query
 def window_by_key(spark, folder):
-    """Reads of single windows and streams: of the earliest key of every metric, its total, corrections, watermark and leaves."""
+    """The earliest window of every metric: its total, corrections, its stream's watermark and its leaves, all by key."""
     books = late_store(spark, folder)
-    keys = books.windows().groupBy("metric").agg(F.min("window_key").alias("key")).collect()  # one per metric
-    found = []
-    for metric, key in sorted(keys):
-        mark = books.watermark(key.rsplit(":", 2)[0], metric).select(F.max("watermark_ms")).first()[0]
-        found.append(books.total(key).select(
-            "window_key", "billed_total", "event_count", "sealed", F.lit(mark).cast("bigint").alias("watermark_ms"),
-            F.lit(books.corrections_of(key).count()).cast("bigint").alias("corrections"),
-            F.lit(books.bundle(key).select(F.explode("leaves")).count()).cast("bigint").alias("leaves"),
-        ))
-    return reduce(DataFrame.unionByName, found)
+    keys = books.windows().groupBy("metric").agg(F.min("window_key").alias("window_key")).select("window_key")
+    asked = totals.totals_for_keys(keys, books.totals(), DAILY).select("window_key", "billed_total", "event_count", "sealed")
+    stream = books.windows().join(keys, "window_key", "left_semi").select("window_key", *STREAM).join(books.watermarks(), STREAM)
+    filed = books.corrections().join(keys, "window_key", "left_semi").groupBy("window_key").agg(F.count(F.lit(1)).alias("corrections"))
+    leaves = books.bundles().withColumn("window_key", F.col("receipt.windowKey")).join(keys, "window_key", "left_semi")
+    leaves = leaves.groupBy("window_key").agg(F.sum(F.size("leaves")).alias("leaves"))
+    return asked.join(stream, "window_key").join(filed, "window_key", "left").join(leaves, "window_key", "left").select(
+        "window_key", "billed_total", "event_count", "sealed", "watermark_ms",
+        F.coalesce("corrections", F.lit(0)).alias("corrections"), F.coalesce("leaves", F.lit(0)).alias("leaves"))
 
 
 @query
@@ -468,19 +469,118 @@ def purge_customers(spark, folder):
         "billing_window": s.windows(), "correction_epoch": s.corrections(), "event_log": s.log(),
         "stream_watermark": s.watermarks(), "window_receipt": s.receipts(),
     }
-    gone = spark.read.parquet(f"{folder}/supplier.parquet").where(F.col("s_acctbal") < 0).select(
-        F.col("s_suppkey").cast("string").alias("customer_id")
-    )
-    left = store.purge_customers(tables, gone)
-    parts = [rows.select(F.lit(name).alias("name"), "customer_id") for name, rows in left.items()]
-    everything = parts[0]
-    for part in parts[1:]:
-        everything = everything.unionByName(part)
-    return everything.groupBy("name").agg(
+    return _rows_left(store.purge_customers(tables, _in_debt(spark, folder)))
+
+
+def _in_debt(spark, folder):
+    suppliers = spark.read.parquet(f"{folder}/supplier.parquet").where(F.col("s_acctbal") < 0)
+    return suppliers.select(F.col("s_suppkey").cast("string").alias("customer_id"))
+
+
+def _rows_left(tables):
+    parts = [rows.select(F.lit(name).alias("name"), "customer_id") for name, rows in tables.items()]
+    return reduce(DataFrame.unionByName, parts).groupBy("name").agg(
         F.count(F.lit(1)).alias("rows_left"), F.count_distinct("customer_id").alias("customers_left")
     )
 
 
+@query
+def purge_in_place(spark, folder):
+    """The same purge within a store: only files that hold one of the suppliers are written again."""
+    s = line_store(spark, folder).rewrite(shared_folder(spark))
+    s.purge(_in_debt(spark, folder))
+    tables = {
+        "billing_window": s.windows(), "correction_epoch": s.corrections(), "event_log": s.log(),
+        "stream_watermark": s.watermarks(), "window_receipt": s.receipts(),
+    }
+    return _rows_left(tables)
+
+
+@query
+def open_window_index(spark, folder):
+    """Windows that are still open after both batches, from the index that seals read."""
+    return late_store(spark, folder).still_open().select("window_key", "customer_id", "metric", "window_open_ms", "window_close_ms")
+
+
+@query
+def log_by_day(spark, folder):
+    """What was admitted day by day in the middle of the month; the log's other days are not read."""
+    rows = late_store(spark, folder).log_between(CUT_MS - 5 * DAY_MS, CUT_MS + 5 * DAY_MS)
+    day = F.date_format("event_time", "yyyy-MM-dd").alias("day")
+    return rows.groupBy(day).agg(F.count(F.lit(1)).alias("events"), F.sum(F.col("quantity_micros").cast("decimal(28,0)")).cast("string").alias("micros"))
+
+
+@query
+def concurrent_ingest(spark, folder):
+    """Four writers send all events at once into one store: its bill, and what became of the deliveries."""
+    s = proofs.concurrent_ingest(spark, adapters.events_as_deliveries(spark, folder, DEEP_CUSTOMERS), shared_folder(spark), 4, WEEKLY, NOW_MS)
+    seen = s.table("dispositions").groupBy("window_key").agg(
+        F.count_if(F.col("disposition") == "accepted").alias("accepted"), F.count_if(F.col("disposition") == "deduped").alias("deduped"))
+    return s.totals().join(seen, "window_key").select("window_key", "billed_total", "event_count", "sealed", "accepted", "deduped")
+
+
+@query
+def interleaved_writers(spark, folder):
+    """The later half of the events is admitted, then another writer commits the earlier half with its seals, then the
+    first tries to commit: it finds windows sealed under it and files what came too late."""
+    early, late = late_batches(spark, folder)
+    root = shared_folder(spark)
+    other = store.MeteringStore(spark, root, DAILY)
+    writer = proofs.Interrupted(spark, root, DAILY, between=lambda: other.ingest(early, NOW_MS, auto_seal=True))
+    writer.ingest(late, NOW_MS, auto_seal=True)
+    filed = other.corrections().groupBy("window_key").agg(F.count(F.lit(1)).alias("late"))
+    return other.totals().join(filed, "window_key", "left").select(
+        "window_key", "billed_total", "event_count", "sealed", F.coalesce("late", F.lit(0)).alias("late"))
+
+
+@query
+def store_of_many_batches(spark, folder):
+    """Seven small batches into a store that merges after every third commit, sealed at the end."""
+    rows = adapters.events_as_deliveries(spark, folder)
+    part = F.pmod(F.conv(F.substring("event_id", 29, 8), 16, 10).cast("bigint"), F.lit(7))
+    s = store.MeteringStore(spark, shared_folder(spark), DAILY, keep_dispositions=False, fold_every=3)
+    for k in range(7):
+        s.ingest(rows.where(part == k), NOW_MS)
+    s.seal(NOW_MS)
+    return s.totals().drop("window_open_ms", "window_close_ms")
+
+
+@query
+def scattered_ids(spark, folder):
+    """Events under ids in no order of time; then all sign-ups once more, with other quantities: what became of each."""
+    rows = adapters.events_as_deliveries(spark, folder)
+    hashed = F.md5("event_id")
+    parts = [F.substring(hashed, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    rows = rows.withColumn("event_id", F.concat_ws("-", *parts))
+    s = store.MeteringStore(spark, shared_folder(spark), DAILY)
+    s.ingest(rows, NOW_MS)
+    again = rows.where(F.col("metric") == "signup").withColumn("quantity", F.col("quantity") + 1)
+    batch = s.ingest(again, NOW_MS)
+    found = s.table("dispositions").where(F.col("batch_id") == batch).select("event_id", "disposition", "conflict")
+    return found.join(s.corrections().select("event_id", "quantity_micros"), "event_id")
+
+
+@query
+def streams_and_customers(spark, folder):
+    """The other outputs of the combined view: per customer its streams, windows, corrections among the latest, and watermarks."""
+    s = late_store(spark, folder)
+    view = reports.state_snapshot(s.totals(), s.watermarks(), s.corrections())
+    count = F.count(F.lit(1))
+    streams = view["streams"].groupBy("customer_id").agg(count.alias("streams"))
+    windows = view["windows"].groupBy("customer_id").agg(count.alias("windows"))
+    marks = view["watermarks"].groupBy("customer_id").agg(F.max("watermark_ms").alias("watermark_ms"))
+    latest = view["corrections"].groupBy("customer_id").agg(count.alias("latest"))
+    return view["customers"].join(streams, "customer_id").join(windows, "customer_id").join(marks, "customer_id").join(
+        latest, "customer_id", "left").select("customer_id", "streams", "windows", "watermark_ms", F.coalesce("latest", F.lit(0)).alias("latest"))
+
+
+@query
+def windows_of_a_metric(spark, folder):
+    """The window list of one metric with its place in key order."""
+    rows = late_store(spark, folder).select_windows(metric="purchase")
+    return in_order(rows, [], ["window_key"]).rows.select("window_key", "customer_id", "state", "position")
+
+
 # -- receipts ------------------------------------------------------------------------------
 
 

@@ -116,9 +116,9 @@ def line_store(spark: SparkSession, folder: str) -> MeteringStore:
 
 def late_store(spark: SparkSession, folder: str) -> MeteringStore:
     """Events in two batches by ingest time; what comes late hits windows sealed by the first."""
+    return _stored(spark, folder, "late", DAILY, lambda: late_batches(spark, folder))
 
-    def batches():
-        rows = events_as_deliveries(spark, folder)
-        return [rows.where(F.col("ingest_time_ms") < CUT_MS), rows.where(F.col("ingest_time_ms") >= CUT_MS)]
 
-    return _stored(spark, folder, "late", DAILY, batches)
+def late_batches(spark: SparkSession, folder: str) -> list[DataFrame]:
+    rows = events_as_deliveries(spark, folder)
+    return [rows.where(F.col("ingest_time_ms") < CUT_MS), rows.where(F.col("ingest_time_ms") >= CUT_MS)]
