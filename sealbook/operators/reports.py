@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sealbook.functions.ids import short_id
 from sealbook.functions.quantity import exact_sum, format_micros
 from sealbook.functions.windows import STREAM
-from sealbook.operators.ordering import in_order
+from sealbook.operators.ordering import ROWS_PER_TASK, in_order
 from sealbook.schemas import MICROS_SUM
 
 
@@ -108,22 +108,44 @@ def state_snapshot(totals: DataFrame, watermarks: DataFrame, corrections: DataFr
     }
 
 
-def trailing_usage(events: DataFrame, step_ms: int, span_ms: int, key: str = "customer_id") -> DataFrame:
+def trailing_usage(
+    events: DataFrame, step_ms: int, span_ms: int, key: str = "customer_id", rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """Per key and time step with events: usage in the span that ends there, and the gap to the step before.
 
-    Events are summed into steps first, so a window holds at most one row per step, however many events
-    a key has.
+    Events are summed into steps first. A key's steps are then cut into stretches of time of at most ``rows_per_task``
+    steps (and no shorter than the span), each with a copy of those steps before it that its frames reach back to. So a key
+    of any length is spread over tasks, and at most one row in two is sent twice. A gap that reaches further back than the copies
+    comes from the last step of each stretch.
     """
-    step = F.col("event_time_ms") - F.pmod("event_time_ms", F.lit(step_ms).cast("bigint"))
-    steps = events.groupBy(key, step.alias("at_ms")).agg(exact_sum(F.col("quantity_micros")).alias("micros"))
-    order = Window.partitionBy(key).orderBy("at_ms")
-    return steps.select(
-        key, "at_ms", F.sum("micros").over(order.rangeBetween(-span_ms, 0)).cast("decimal(38,0)").alias("trailing_micros"),
-        (F.col("at_ms") - F.lag("at_ms").over(order)).alias("gap_ms"),
+    at = F.col("event_time_ms") - F.pmod("event_time_ms", F.lit(step_ms).cast("bigint"))
+    steps = events.groupBy(key, at.alias("at_ms")).agg(exact_sum(F.col("quantity_micros")).alias("micros"))
+    length = F.lit(max(span_ms, step_ms * rows_per_task)).cast("bigint")
+    into = F.pmod(F.col("at_ms"), length)
+    own = ((F.col("at_ms") - into) / length).cast("bigint")
+    both = F.when(into >= length - span_ms, F.array(own, own + 1)).otherwise(F.array(own))
+    cut = steps.withColumn("own", own).withColumn("stretch", F.explode(both))
+    order = Window.partitionBy(key, "stretch").orderBy("at_ms")
+    framed = cut.select(
+        key, "stretch", "own", "at_ms",
+        F.sum("micros").over(order.rangeBetween(-span_ms, 0)).cast("decimal(38,0)").alias("trailing_micros"),
+        F.lag("at_ms").over(order).alias("before"),
+    ).where(F.col("own") == F.col("stretch"))
+    ends = steps.groupBy(key, own.alias("own")).agg(F.max("at_ms").alias("end"))
+    earlier = Window.partitionBy(key).orderBy("own")
+    ends = ends.select(key, "own", F.lag("end").over(earlier).alias("end"))
+    return framed.join(ends, [key, "own"]).select(
+        key, "at_ms", "trailing_micros", (F.col("at_ms") - F.coalesce("before", "end")).alias("gap_ms")
     )
 
 
-def lane(windows: DataFrame) -> DataFrame:
+def lane(windows: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Windows with their place in the lane of their stream, by open time."""
-    order = Window.partitionBy("customer_id", "metric").orderBy("window_open_ms", "window_key")
-    return windows.withColumn("place", F.row_number().over(order).cast("bigint"))
+    placed = in_order(windows, STREAM, ["window_open_ms", "window_key"], rows_per_task=rows_per_task).rows
+    return placed.withColumn("place", F.col("position") + 1).drop("position")
+
+
+def corrections_in_order(corrections: DataFrame, rows_per_task: int | None = None) -> DataFrame:
+    """The corrections of every window with their place by event time, then id; a window may have any number of them."""
+    placed = in_order(corrections, ["window_key"], ["event_time_ms", "event_id"], rows_per_task=rows_per_task).rows
+    return placed.withColumn("place", F.col("position") + 1).drop("position")

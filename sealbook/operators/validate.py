@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DecimalType, NumericType
 
 from sealbook.functions.quantity import is_number, is_quantity_text, micros_from_number, micros_from_text
 
@@ -22,8 +22,12 @@ _UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
 
 def normal_id(name: str) -> Column:
-    """An id as it is compared: a UUID in lower case, so that text order is UUID order; others as given."""
-    return F.when(F.col(name).rlike(_UUID), F.lower(name)).otherwise(F.col(name))
+    """An id as it is compared: a UUID in lower case, so that text order is UUID order; others as given.
+
+    The pattern is tried only where there is something to lower.
+    """
+    low = F.lower(name)
+    return F.when((F.col(name) != low) & F.col(name).rlike(_UUID), low).otherwise(F.col(name))
 
 
 def check_deliveries(df: DataFrame, now_ms: int) -> DataFrame:
@@ -32,26 +36,28 @@ def check_deliveries(df: DataFrame, now_ms: int) -> DataFrame:
     UUIDs become lower case; other ids stay as given. A missing ingest time becomes ``now_ms`` and a
     missing payload an empty object. A quantity beyond a 64-bit count of micro-units has a reason of its own.
     """
-    numeric = isinstance(df.schema["quantity"].dataType, NumericType)
-    quantity = F.col("quantity")
+    kind, quantity = df.schema["quantity"].dataType, F.col("quantity")
+    numeric, exact = isinstance(kind, NumericType), isinstance(kind, DecimalType)
     reason = F.lit(None).cast("string")
     for name, problem in reversed(REASONS.items()):
         if name == "event_time_ms":
             bad = F.col(name).isNull()
         elif name == "quantity":
-            bad = ~(is_number(quantity) if numeric else is_quantity_text(quantity))
+            # A decimal is always a number.
+            bad = quantity.isNull() if exact else ~(is_number(quantity) if numeric else is_quantity_text(quantity))
         elif name == "quantity_range":
             bad = F.col("quantity_micros").isNull()
         else:
-            bad = F.col(name).isNull() | (F.col(name) == "")
+            bad = F.coalesce(F.col(name), F.lit("")) == ""
         reason = F.when(bad, problem).otherwise(reason)
+    # Filters repeat the expressions of what they look at, so the reason is made of columns as given, each named once.
     return (
         df.withColumn("quantity_micros", micros_from_number(quantity) if numeric else micros_from_text(quantity))
+        .withColumn("reject_reason", reason)
         .withColumn("event_id", normal_id("event_id"))
         .withColumn("customer_id", normal_id("customer_id"))
         .withColumn("ingest_time_ms", F.coalesce("ingest_time_ms", F.lit(now_ms).cast("bigint")))
         .withColumn("payload", F.coalesce("payload", F.lit("{}")))
-        .withColumn("reject_reason", reason)
     )
 
 

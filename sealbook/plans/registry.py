@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealbook.functions.hashing import leaf_text
 from sealbook.functions.quantity import format_micros, micros_from_text, pretty_micros
 from sealbook.functions.windows import STREAM, billing_mode, with_window
 from sealbook.operators import parity, receipts, reports, sealing, totals, verify, watermarks
-from sealbook.operators.durable import shared_folder
+from sealbook.operators.durable import durable, shared_folder
 from sealbook.operators.ingest import (
     BILLED,
     State,
@@ -282,7 +282,8 @@ def dedup_first_delivery(spark, folder):
 @query
 def ingest_dispositions(spark, folder):
     """Every order line as one delivery of a single batch into an empty state."""
-    d = ingest(lines(spark, folder), State(), LINES).dispositions
+    # The aggregate per id is read by three joins; written down, it is made once.
+    d = ingest(lines(spark, folder), State(), LINES, keep=durable).dispositions
     return d.select("event_id", "window_key", "disposition", "conflict", "quantity_micros", F.col("arrival.l_partkey").alias("l_partkey"))
 
 
@@ -303,7 +304,7 @@ def ingest_counts_of_copies(spark, folder):
 
 @query
 def payload_conflicts(spark, folder):
-    c = ingest(lines(spark, folder), State(), LINES).corrections
+    c = ingest(lines(spark, folder), State(), LINES, keep=durable).corrections
     return c.select("correction_id", "event_id", "window_key", "customer_id", "metric", _text("quantity"), "quantity_micros",
                     "event_time_ms", "quarantined_at_ms", "reason")
 
@@ -421,9 +422,8 @@ def window_lanes(spark, folder):
 @query
 def corrections_in_order(spark, folder):
     """The corrections of each window by time, then id."""
-    order = Window.partitionBy("window_key").orderBy("event_time_ms", "event_id")
-    c = line_store(spark, folder).corrections()
-    return c.select("window_key", "event_id", "event_time_ms", F.row_number().over(order).cast("bigint").alias("place"))
+    c = reports.corrections_in_order(line_store(spark, folder).corrections())
+    return c.select("window_key", "event_id", "event_time_ms", "place")
 
 
 @query
