@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -55,7 +56,10 @@ STOP_WORDS = frozenset(
 )
 LONG, STOPS_HIGH, STOPS_LOW, LINKS_HIGH, SHORT, FEW_WORDS = 200, 0.30, 0.20, 0.35, 70, 5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[A-Za-z])[^<]*\Z", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_TAG_BEGINS = re.compile(r"<(/?)[A-Za-z]")
+_NAME_ENDS = re.compile(r"[\s/>]")
+_SPECIAL = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAMED = re.compile(r"\b(?:class|id|role|hidden|aria-hidden)\b", re.I)
 _BLANK = re.compile(r"\s+")
@@ -118,6 +122,76 @@ def _without_named(found: list[Block], opened: list[tuple[int, bool]]) -> list[B
     return [b for b in found if gone.isdisjoint(b.named)]
 
 
+class _Tags:
+    """The tags of a page, found in time that grows with its length, however broken it is.
+
+    Comments, declarations and CDATA count as tags without a name. A tag ends at the first ``>`` outside quotes. Where there is none
+    the ``<`` is text, unless no other follows: then the rest of the page is the tag.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.ends = page, page.rfind("<"), None
+
+    def after(self, at: int):
+        """Start, end, slash, name and attributes of the next tag from ``at`` on; None if there is none."""
+        page = self.page
+        while (i := page.find("<", at)) >= 0:
+            if page.startswith("<!--", i):
+                return i, self._past("-->", i + 4), "", "", ""
+            if page.startswith("<![CDATA[", i):
+                return i, self._past("]]>", i + 9), "", "", ""
+            if page[i + 1 : i + 2] in ("!", "?"):
+                return i, self._past(">", i + 2), "", "", ""
+            if self.ends is None and (m := _TAG.match(page, i)):
+                return i, m.end(), m[1], m[2], m[3]
+            if _TAG_BEGINS.match(page, i):
+                if self.ends is None:
+                    self._find_ends()
+                if found := self._known(i):
+                    return found
+                if i == self.last:
+                    return i, len(page), "", "", ""
+            at = i + 1
+        return None
+
+    def _past(self, end: str, at: int) -> int:
+        found = self.page.find(end, at)
+        return len(self.page) if found < 0 else found + len(end)
+
+    def _find_ends(self) -> None:
+        """Of every quote and ``>``: where a tag ends that comes to it outside quotes. Made once a tag has no end, so that no
+        other such tag is read to the end of the page."""
+        self.at = [m.start() for m in _SPECIAL.finditer(self.page)]
+        self.stops = [m.start() for m in _NAME_ENDS.finditer(self.page)] + [len(self.page)]
+        self.ends, self.good = [-1] * (len(self.at) + 1), [-1] * (len(self.at) + 1)
+        seen: dict[str, int] = {}
+        for k in range(len(self.at) - 1, -1, -1):
+            char = self.page[self.at[k]]
+            if char == ">":
+                self.ends[k] = self.at[k] + 1
+            else:
+                if char in seen:
+                    self.ends[k] = self.ends[seen[char] + 1]
+                seen[char] = k
+        # The last of them up to each that lets a tag end.
+        for k in range(len(self.at)):
+            self.good[k] = k if self.ends[k] >= 0 else self.good[k - 1] if k else -1
+
+    def _known(self, i: int):
+        m = _TAG_BEGINS.match(self.page, i)
+        if not m:
+            return None
+        name = self.stops[bisect_left(self.stops, m.end())]
+        k = bisect_left(self.at, name)
+        if self.ends[k] < 0:
+            # A quote inside the name may begin the attributes instead; the last that leads to an end does.
+            k = self.good[k - 1] if k else -1
+            if k < 0 or self.at[k] < m.end():
+                return None
+            name = self.at[k]
+        return i, self.ends[k], m[1], self.page[m.end() - 1 : name], self.page[name : self.ends[k] - 1]
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, without those of elements that are never the article."""
     out: list[Block] = []
@@ -138,22 +212,23 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(text, linked, inside[-1] if inside else 0, heading, tuple(named)))
             parts = []
 
-    at, n = 0, len(page)
+    at, n, tags = 0, len(page), _Tags(page)
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = tags.after(at)
         if not m:
             if not apart:
                 parts.append((page[at:], links > 0))
             break
-        if m.start() > at and not apart:
-            parts.append((page[at : m.start()], links > 0))
-        at = m.end()
-        if not m[2]:
+        start, end, closing, tag, attributes = m
+        if start > at and not apart:
+            parts.append((page[at:start], links > 0))
+        at = end
+        if not tag:
             continue
-        closing, tag, attributes = m[1], m[2].lower(), m[3]
+        tag = tag.lower()
         if tag in RAW and not closing and not attributes.rstrip().endswith("/"):
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            end = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            at = page.find(">", end.end()) + 1 or n if end else n
             if tag in ("iframe", "object"):
                 flush()
             continue
