@@ -1,10 +1,12 @@
-"""Line dedup by hashes of line windows, with DataFrame functions only.
-
-A document is the sequence of its lines that hold a word. Every window of ``min_lines`` lines is a row with its
-128-bit hash; the line with the window's smallest hash (the last of equals) and its place go with it in the key.
-None are left out by winnowing, so every repeated window is found. Equal windows of all documents meet, the
-earliest occurrence stays and later ones are deleted; overlapping ones make up a run of any length, which goes
-as a whole. On request a line of many words is a window by itself.
+"""Line dedup by winnowing over line hashes, with DataFrame functions only.
+
+A document is the sequence of its lines that hold a word. Of every window of ``min_lines`` lines the line with the
+smallest hash (the last of equals) is selected; neighbouring windows mostly select the same line, and a position
+selected several times is one row. Equal windows select the same line of theirs, so what repeats is found where selected
+lines meet: positions whose line hash is selected nowhere else go no further. The others are extended by their
+neighbouring lines to the left and to the right, as far as the windows that selected them reach. Equal extensions of all
+documents meet under a 128-bit hash, the earliest stays and later ones are deleted; overlapping ones make up a run
+of any length, which goes as a whole. On request a line of many words is a window by itself.
 """
 
 from __future__ import annotations
@@ -13,69 +15,90 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealbook.llm.common import WORD, ids, outer_id
+from sealbook.operators.durable import Scratch, durable
+from sealbook.operators.skew import join_hot
 
 #: A line counts when it holds more than separators.
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """``row``, ``id``, ``h`` (tells apart texts with one id), ``text``, ``lines``, ``at`` (positions of lines with words)."""
-    return (
-        docs.select(F.struct("*").alias("row"), *ids(docs))
-        .withColumn("h", F.xxhash64("text"))
-        .withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
-        .withColumn("marked", F.transform("lines", lambda x, i: F.when(x.rlike(HAS_WORD), i)))
-        .withColumn("at", F.filter("marked", lambda i: i.isNotNull()))
-        .drop("marked")
-    )
-
-
 def _many_words(line: Column, least: int) -> Column:
     """By a search that ends at that word; words have separators between them, so a short line is not searched."""
     return (F.length(line) >= 2 * least - 1) & line.rlike(rf"^(?:[\x20\x09-\x0D]*+{WORD}+){{{least}}}")
 
 
-def _windows(rows: DataFrame, n: int, lone_words: int | None) -> DataFrame:
-    """One row per window: its size, its fingerprint, where in the window that is, and a 128-bit hash of the window."""
-    line = F.transform("at", lambda i: F.struct(F.xxhash64(F.get("lines", i)).alias("a"), F.xxhash64(F.lit(1), F.get("lines", i)).alias("b")))
-    starts = F.when(F.size("at") >= n, F.sequence(F.lit(0), F.size("at") - n)).otherwise(F.array().cast("array<int>"))
-    places = F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(n).alias("size")))
+def _none() -> Column:
+    return F.array().cast("array<int>")
+
+
+def _lines(text: str) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def _selected(docs: DataFrame, n: int, lone_words: int | None) -> DataFrame:
+    """One row per selected position: ``first`` and ``last`` start of the windows that select it, their ``size``, where
+    the position lies after ``first`` (``seat``), and the hashes of all lines of these windows (``around``)."""
+    line = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), (F.lit(False) if lone_words is None else _many_words(x, lone_words)).alias("lone"))
+    texts = docs.select(*ids(docs)).select("id", F.xxhash64("text").alias("h"), _lines("text").alias("lines"))
+    hashed = texts.select("id", "h", F.transform(F.filter("lines", lambda x: x.rlike(HAS_WORD)), line).alias("hashed"))
+    starts = F.when(F.size("hashed") >= n, F.sequence(F.lit(0), F.size("hashed") - n)).otherwise(_none())
+
+    def smallest(s: Column) -> Column:
+        window = F.slice("hashed", s + 1, n).getField("a")
+        return s + n - F.array_position(F.reverse(window), F.array_min(window)).cast("int")
+
+    # Windows that select one position follow each other, so each such stretch begins where the choice changes.
+    chosen = hashed.select("id", "h", "hashed", starts.alias("starts")).select("id", "h", "hashed", "starts", F.transform("starts", smallest).alias("chosen"))
+    fresh = F.filter("starts", lambda s: (s == 0) | (F.get("chosen", s) != F.get("chosen", s - 1)))
+    stretches = chosen.select("id", "h", "hashed", "starts", "chosen", fresh.alias("fresh"))
+    seeds = F.transform("fresh", lambda s, k: F.struct(
+        s.alias("first"), (F.coalesce(F.get("fresh", k + 1), F.size("starts")) - 1).alias("last"), F.lit(n).alias("size"), (F.get("chosen", s) - s).alias("seat")))
     if lone_words is not None:
-        marked = F.transform("at", lambda i, k: F.when(_many_words(F.get("lines", i), lone_words), F.struct(k.alias("start"), F.lit(1).alias("size"))))
-        lone = F.filter(marked, lambda p: p.isNotNull())
-        places = F.concat(places, lone)
+        marked = F.transform("hashed", lambda x, k: F.when(x["lone"], F.struct(k.alias("first"), k.alias("last"), F.lit(1).alias("size"), F.lit(0).alias("seat"))))
+        seeds = F.concat(seeds, F.filter(marked, lambda p: p.isNotNull()))
     return (
-        rows.select("id", "h", line.alias("hashed"), places.alias("places"))
-        .select("id", "h", "hashed", F.explode("places").alias("place"))
-        .select("id", "h", "place.start", "place.size", F.slice("hashed", F.col("place.start") + 1, F.col("place.size")).alias("w"))
-        .withColumn("fingerprint", F.array_min(F.col("w.a")))
-        .select(
-            "id", "h", "start", "size", "fingerprint",
-            (F.col("size") - F.array_position(F.reverse(F.col("w.a")), F.col("fingerprint"))).alias("offset"),
-            F.xxhash64("w").alias("w1"), F.xxhash64(F.lit(7), "w").alias("w2"),
-        )
+        stretches.select("id", "h", "hashed", seeds.alias("seeds")).select("id", "h", "hashed", F.explode("seeds").alias("seed"))
+        .select("id", "h", "seed.*", F.slice("hashed", F.col("seed.first") + 1, F.col("seed.last") - F.col("seed.first") + F.col("seed.size")).alias("around"))
+        .withColumn("around", F.transform("around", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
+    )
+
+
+def _extended(seeds: DataFrame) -> DataFrame:
+    """``place`` and ``window`` (size and 128-bit hash) of the selected lines taken with their neighbours on both sides."""
+    one = F.slice("around", F.col("start") - F.col("first") + 1, F.col("size"))
+    return (
+        seeds.withColumn("start", F.explode(F.sequence("first", "last"))).select("id", "h", "start", "size", one.alias("w"))
+        .select(F.struct("id", "h", "start").alias("place"), F.struct("size", F.xxhash64("w.a").alias("w1"), F.xxhash64(F.lit(7), "w.b").alias("w2")).alias("window"))
     )
 
 
 def _deletions(docs: DataFrame, min_lines: int, lone_words: int | None) -> DataFrame:
     """``id``, ``h``, ``places``: start and size of the windows of each text that occur earlier."""
-    key = ["size", "fingerprint", "offset", "w1", "w2"]
-    windows = _windows(_rows(docs), min_lines, lone_words)
-    place = F.struct("id", "h", "start")
-    first = windows.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = windows.join(first, key).filter(place > F.col("first"))
-    return later.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("places"))
+    with Scratch(docs.sparkSession) as scratch:
+        seeds = scratch.keep(_selected(docs, min_lines, lone_words)).withColumn("fingerprint", F.get("around.a", F.col("seat")))
+        met = seeds.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").withColumn("met", F.lit(True))
+        common = join_hot(seeds, met, "fingerprint", F.struct("id", "h", "first"), "n").filter("met")
+        windows = scratch.keep(_extended(common))
+        first = windows.groupBy("window").agg(F.min("place").alias("earliest"), F.count("*").alias("n")).filter("n > 1")
+        later = join_hot(windows, first, "window", F.col("place"), "n").filter("place > earliest")
+        gone = F.sort_array(F.collect_set(F.struct("place.start", "window.size")))
+        return durable(later.groupBy("place.id", "place.h").agg(gone.alias("places")))
 
 
 def _cleaned(docs: DataFrame, min_lines: int, lone_words: int | None) -> DataFrame:
-    """Every row with its positions of lines, those that go, and the text that stays."""
-    rows = _rows(docs)
-    gone = F.array_distinct(F.flatten(F.transform("places", lambda p: F.slice("at", p["start"] + 1, p["size"]))))
+    """Every row with its positions of lines, those that go, and the text that stays. Lines are cut anew after the join."""
+    # Columns used within a lambda are named once more outside it, so that they are computed once per row and not per element.
+    gone = F.when(F.size("at") > 0, F.array_distinct(F.flatten(F.transform("places", lambda p: F.slice("at", p["start"] + 1, p["size"])))))
     every = F.sequence(F.lit(0), F.size("lines") - 1)
     left = F.transform(F.array_except(every, "gone"), lambda i: F.get("lines", i))
     return (
-        rows.join(_deletions(docs, min_lines, lone_words), ["id", "h"], "left")
-        .withColumn("gone", F.coalesce(gone, F.array().cast("array<int>")))
+        docs.select(F.struct("*").alias("row"), *ids(docs)).select("row", "id", F.xxhash64("text").alias("h"))
+        .join(_deletions(docs, min_lines, lone_words), ["id", "h"], "left")
+        .withColumn("text", F.col("row.text").cast("string"))
+        .withColumn("lines", _lines("text"))
+        .withColumn("marked", F.transform("lines", lambda x, i: F.when(x.rlike(HAS_WORD), i)))
+        .withColumn("at", F.filter("marked", lambda i: i.isNotNull()))
+        .withColumn("gone", F.coalesce(gone, _none()))
         .withColumn("clean", F.when(F.size("gone") > 0, F.array_join(left, "\n")).otherwise(F.col("text")))
     )
 
