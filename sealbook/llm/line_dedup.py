@@ -38,28 +38,30 @@ def _lines(text: str) -> Column:
 def _selected(docs: DataFrame, n: int, lone_words: int | None) -> DataFrame:
     """One row per selected position: ``first`` and ``last`` start of the windows that select it, their ``size``, where
     the position lies after ``first`` (``seat``), and the hashes of all lines of these windows (``around``)."""
-    line = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), (F.lit(False) if lone_words is None else _many_words(x, lone_words)).alias("lone"))
+    line = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))
     texts = docs.select(*ids(docs)).select("id", F.xxhash64("text").alias("h"), _lines("text").alias("lines"))
-    hashed = texts.select("id", "h", F.transform(F.filter("lines", lambda x: x.rlike(HAS_WORD)), line).alias("hashed"))
+    counted = texts.select("id", "h", F.filter("lines", lambda x: x.rlike(HAS_WORD)).alias("lines"))
+    lone = _none() if lone_words is None else F.filter(F.transform("lines", lambda x, k: F.when(_many_words(x, lone_words), k)), lambda k: k.isNotNull())
+    hashed = counted.select("id", "h", F.transform("lines", line).alias("hashed"), lone.alias("lone"))
     starts = F.when(F.size("hashed") >= n, F.sequence(F.lit(0), F.size("hashed") - n)).otherwise(_none())
 
     def smallest(s: Column) -> Column:
-        window = F.slice("hashed", s + 1, n).getField("a")
+        # Element by element: a slice within a lambda would copy the whole array each time.
+        window = F.array(*(F.get("hashed", s + i)["a"] for i in range(n)))
         return s + n - F.array_position(F.reverse(window), F.array_min(window)).cast("int")
 
     # Windows that select one position follow each other, so each such stretch begins where the choice changes.
-    chosen = hashed.select("id", "h", "hashed", starts.alias("starts")).select("id", "h", "hashed", "starts", F.transform("starts", smallest).alias("chosen"))
-    fresh = F.filter("starts", lambda s: (s == 0) | (F.get("chosen", s) != F.get("chosen", s - 1)))
-    stretches = chosen.select("id", "h", "hashed", "starts", "chosen", fresh.alias("fresh"))
+    chosen = hashed.withColumn("starts", starts).withColumn("chosen", F.transform("starts", smallest))
+    stretches = chosen.withColumn("fresh", F.filter("starts", lambda s: (s == 0) | (F.get("chosen", s) != F.get("chosen", s - 1))))
     seeds = F.transform("fresh", lambda s, k: F.struct(
         s.alias("first"), (F.coalesce(F.get("fresh", k + 1), F.size("starts")) - 1).alias("last"), F.lit(n).alias("size"), (F.get("chosen", s) - s).alias("seat")))
     if lone_words is not None:
-        marked = F.transform("hashed", lambda x, k: F.when(x["lone"], F.struct(k.alias("first"), k.alias("last"), F.lit(1).alias("size"), F.lit(0).alias("seat"))))
-        seeds = F.concat(seeds, F.filter(marked, lambda p: p.isNotNull()))
+        seeds = F.concat(seeds, F.transform("lone", lambda k: F.struct(k.alias("first"), k.alias("last"), F.lit(1).alias("size"), F.lit(0).alias("seat"))))
+    length = F.col("seed.last") - F.col("seed.first") + F.col("seed.size")
+    # For an inner explode the optimizer would infer a filter on the array's size and compute all of the above in it once more.
     return (
-        stretches.select("id", "h", "hashed", seeds.alias("seeds")).select("id", "h", "hashed", F.explode("seeds").alias("seed"))
-        .select("id", "h", "seed.*", F.slice("hashed", F.col("seed.first") + 1, F.col("seed.last") - F.col("seed.first") + F.col("seed.size")).alias("around"))
-        .withColumn("around", F.transform("around", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
+        stretches.select("id", "h", "hashed", seeds.alias("seeds")).select("id", "h", "hashed", F.explode_outer("seeds").alias("seed")).filter("seed is not null")
+        .select("id", "h", "seed.*", F.slice("hashed", F.col("seed.first") + 1, length).alias("around"))
     )
 
 
@@ -88,7 +90,8 @@ def _deletions(docs: DataFrame, min_lines: int, lone_words: int | None) -> DataF
 def _cleaned(docs: DataFrame, min_lines: int, lone_words: int | None) -> DataFrame:
     """Every row with its positions of lines, those that go, and the text that stays. Lines are cut anew after the join."""
     # Columns used within a lambda are named once more outside it, so that they are computed once per row and not per element.
-    gone = F.when(F.size("at") > 0, F.array_distinct(F.flatten(F.transform("places", lambda p: F.slice("at", p["start"] + 1, p["size"])))))
+    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["start"], p["start"] + p["size"] - 1))))
+    gone = F.when(F.size("at") > 0, F.transform("covered", lambda k: F.get("at", k)))
     every = F.sequence(F.lit(0), F.size("lines") - 1)
     left = F.transform(F.array_except(every, "gone"), lambda i: F.get("lines", i))
     return (
@@ -98,6 +101,7 @@ def _cleaned(docs: DataFrame, min_lines: int, lone_words: int | None) -> DataFra
         .withColumn("lines", _lines("text"))
         .withColumn("marked", F.transform("lines", lambda x, i: F.when(x.rlike(HAS_WORD), i)))
         .withColumn("at", F.filter("marked", lambda i: i.isNotNull()))
+        .withColumn("covered", covered)
         .withColumn("gone", F.coalesce(gone, _none()))
         .withColumn("clean", F.when(F.size("gone") > 0, F.array_join(left, "\n")).otherwise(F.col("text")))
     )
