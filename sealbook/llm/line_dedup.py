@@ -88,7 +88,10 @@ def _deletions(docs: DataFrame, min_lines: int, lone_words: int | None) -> DataF
 
 
 def _cleaned(docs: DataFrame, min_lines: int, lone_words: int | None) -> DataFrame:
-    """Every row with its positions of lines, those that go, and the text that stays. Lines are cut anew after the join."""
+    """Every row with its positions of lines, those that go, and the text that stays. Lines are cut anew after the join.
+
+    The deletions grow with the texts, so they are never broadcast, not even where they still happen to be few.
+    """
     # Columns used within a lambda are named once more outside it, so that they are computed once per row and not per element.
     covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["start"], p["start"] + p["size"] - 1))))
     gone = F.when(F.size("at") > 0, F.transform("covered", lambda k: F.get("at", k)))
@@ -96,7 +99,7 @@ def _cleaned(docs: DataFrame, min_lines: int, lone_words: int | None) -> DataFra
     left = F.transform(F.array_except(every, "gone"), lambda i: F.get("lines", i))
     return (
         docs.select(F.struct("*").alias("row"), *ids(docs)).select("row", "id", F.xxhash64("text").alias("h"))
-        .join(_deletions(docs, min_lines, lone_words), ["id", "h"], "left")
+        .join(_deletions(docs, min_lines, lone_words).hint("merge"), ["id", "h"], "left")
         .withColumn("text", F.col("row.text").cast("string"))
         .withColumn("lines", _lines("text"))
         .withColumn("marked", F.transform("lines", lambda x, i: F.when(x.rlike(HAS_WORD), i)))
