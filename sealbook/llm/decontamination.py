@@ -24,8 +24,9 @@ from sealbook.llm.common import ids, outer_id, slices
 
 Q = 10
 EDIT_RATE = 0.08
-#: Items with fewer characters after normalising say too little to be looked for.
-LEAST_CHARS = 20
+#: Items with fewer characters after normalising must occur word for word, and say too little to be looked for
+#: if they have fewer than LEAST_WORDS words as well.
+LEAST_CHARS, LEAST_WORDS = 20, 3
 #: Characters of benchmark text that one pass over the documents looks for.
 BLOCK_CHARS = 2_000_000
 
@@ -37,6 +38,11 @@ def normal(text: str | None) -> str:
     return " ".join(_WORDS.findall((text or "").lower()))
 
 
+def sought(item: str) -> bool:
+    """Whether a normalised item is looked for at all."""
+    return len(item) >= LEAST_CHARS or item.count(" ") + 1 >= LEAST_WORDS
+
+
 def edits(n: int) -> int:
     """The edit budget of an item of n characters; leaves at least one shared q-gram."""
     return max(0, min(int(EDIT_RATE * n), (n - Q) // Q))
@@ -59,7 +65,7 @@ class Index:
     """The q-grams of a block of items, and what each item asks for."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
-        self.ids, self.texts = [i for i, _ in items], [_codes(t) for _, t in items]
+        self.ids, self.words, self.texts = [i for i, _ in items], [t for _, t in items], [_codes(t) for _, t in items]
         self.n = np.array([len(t) for t in self.texts], np.int64)
         self.k = np.array([edits(n) for n in self.n.tolist()], np.int64)
         self.least = self.n + 1 - Q - self.k * Q
@@ -70,6 +76,12 @@ class Index:
         self.place = np.concatenate([*(np.arange(len(g)) for g in grams), np.empty(0, np.int64)])[order].astype(np.int64)
         self.grams, self.first = np.unique(flat[order], return_index=True)
         self.count = np.diff(np.append(self.first, len(flat)))
+        #: Items without a q-gram, by their words.
+        self.short: dict[str, list[int]] = {}
+        for i, (_, t) in enumerate(items):
+            if len(t) < Q:
+                self.short.setdefault(t, []).append(i)
+        self.short_sizes = sorted({t.count(" ") + 1 for t in self.short})
         self.known = np.zeros(1 << 20, bool)
         self.known[(self.grams >> _TOP).astype(np.int64)] = True
 
@@ -132,6 +144,10 @@ def find(texts: list[str], index: Index) -> list[list[tuple[int | None, int]]]:
         i, r, k = int(item[g]), int(row[g]), int(index.k[item[g]])
         if out[r].get(i, k + 1) == 0:
             continue
+        if index.n[i] < LEAST_CHARS:
+            if f" {index.words[i]} " in f" {texts[r]} ":
+                out[r][i] = 0
+            continue
         low = int(band[g]) * (k + 1) - shift - int(begins[r])
         text = codes[begins[r] : begins[r + 1] - 1]
         cut = max(0, low - 2 * k)
@@ -139,6 +155,11 @@ def find(texts: list[str], index: Index) -> list[list[tuple[int | None, int]]]:
         d = distance(index.texts[i], near, low - cut, low - cut + 2 * k + 1, k)
         if d <= k:
             out[r][i] = min(d, out[r].get(i, d))
+    for r, words in enumerate(t.split(" ") for t in (texts if index.short else ())):
+        for size in index.short_sizes:
+            for at in range(len(words) - size + 1):
+                for i in index.short.get(" ".join(words[at : at + size]), ()):
+                    out[r][i] = 0
     return [[(index.ids[i], d) for i, d in sorted(found.items())] for found in out]
 
 
@@ -149,7 +170,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[Index]:
     n = -(-chars // BLOCK_CHARS)
     for b in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).distinct().collect()
-        kept = [(r.item_id, t) for r in rows if len(t := normal(r.text)) >= LEAST_CHARS]
+        kept = [(r.item_id, t) for r in rows if sought(t := normal(r.text))]
         if kept:
             yield Index(sorted(kept, key=lambda x: (x[0] is not None, x[0] or 0, x[1])))
 
@@ -182,7 +203,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id``, ``contaminated``, ``n_items``, ``item_ids``, ``fewest_edits``, ``kept`` of every row of ``docs``.
 
     A document is contaminated if it holds a passage within the edit budget of a benchmark item. Null and
-    empty texts hold none; items without text or with under ``LEAST_CHARS`` characters are not looked for.
+    empty texts hold none. Items under ``LEAST_CHARS`` characters have no edit budget and must occur as whole words;
+    of those, items of under ``LEAST_WORDS`` words, and items without text, are not looked for.
     Null doc_ids are judged like others, and identical rows get identical results. An empty benchmark
     contaminates nothing and empty documents give no rows; other columns are not looked at.
     """

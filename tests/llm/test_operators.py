@@ -326,6 +326,17 @@ def test_decontamination(spark):
     assert contamination(docs, benchmark.limit(0)).filter("contaminated").count() == 0
 
 
+def test_short_benchmark_items(spark):
+    """Items under the edit budget's reach are found word for word, with and without a q-gram of their own."""
+    from sealbook.llm.decontamination import contamination
+
+    items = [(1, "Art of war."), (2, "a b c"), (3, "two words"), (4, "one, two, three, go"), (None, "x y z")]
+    texts = [(1, "the art of war"), (2, "start of war, art of wars"), (3, "a b c"), (4, "aa b c"), (5, "two words"), (6, "one two three go; x y\nz"),
+             (7, "one two three got"), (8, "a b"), (9, ""), (10, None), (None, "art of\nwar a b c")]
+    found = {x.doc_id: list(x.item_ids) for x in contamination(table(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {1: [1], 2: [], 3: [2], 4: [], 5: [], 6: [4, None], 7: [], 8: [], 9: [], 10: [], None: [1, 2]}
+
+
 def test_html():
     from sealbook.llm.html_text import main_text
 
