@@ -74,18 +74,21 @@ class Words:
         self.joined = data[keep]
         self.offsets = np.concatenate([[0], np.cumsum(lengths + 1)])
         self.joined[self.offsets[1:] - 1] = 32
-        # A polynomial over the bytes, from running sums: powers of an odd base and of its inverse.
-        n = len(self.joined)
-        powers, inverse = _powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.joined + np.uint64(1)) * powers[:n], out=sums[1:])
-        at, to = self.offsets[:-1], self.offsets[1:] - 1
-        self.hashes = mixed((sums[to] - sums[at]) * inverse[at] + mixed(lengths.astype(np.uint64)))
+        self.hashes = _run_hashes(self.joined, self.offsets[:-1], self.offsets[1:] - 1)
 
     def __len__(self) -> int:
         return len(self.hashes)
 
 
+def _run_hashes(data: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes: a polynomial from running sums, with powers of an odd base and of its inverse."""
+    n = len(data)
+    powers, inverse = _powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * powers[:n], out=sums[1:])
+    return mixed((sums[to] - sums[at]) * inverse[at] + mixed((to - at).astype(np.uint64)))
+
+
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
@@ -140,6 +143,83 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
+class Segments:
+    """Texts cut between every two bytes x, y with ``cut[x, y]``; no Python object per segment.
+
+    Texts marked in ``whole`` are one segment each. ``data`` is the bytes of all texts, ``starts`` and ``ends`` where
+    the segments lie in it, and ``firsts`` the number of segments before each text (one more at the end). Segment i is
+    the same bytes as the one numbered ``sample[kind[i]]``: kinds are found by hash and compared byte for byte.
+    """
+
+    def __init__(self, texts: pa.Array, cut: np.ndarray, whole: np.ndarray | None = None):
+        texts = pc.fill_null(texts, "").cast(pa.large_binary())
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        self.data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        n = len(self.data)
+        begins = np.zeros(n, bool)
+        begins[1:] = cut.ravel()[(self.data[:-1].astype(np.uint16) << np.uint16(8)) | self.data[1:]]
+        for t in np.flatnonzero(whole).tolist() if whole is not None else ():
+            begins[bounds[t] : bounds[t + 1]] = False
+        begins[bounds[:-1][bounds[:-1] < n]] = True
+        self.starts = np.flatnonzero(begins)
+        self.ends = np.append(self.starts, n)[1:]
+        self.firsts = np.searchsorted(self.starts, bounds)
+        hashes = _run_hashes(self.data, self.starts, self.ends)
+        _, self.sample, self.kind = np.unique(hashes, return_index=True, return_inverse=True)
+        lengths, like = self.ends - self.starts, self.sample[self.kind]
+        twin = np.arange(n) + np.repeat(self.starts[like] - self.starts, lengths)
+        differs = np.flatnonzero(self.data != self.data[np.minimum(twin, n - 1)]) if n else np.empty(0, np.int64)
+        odd = np.union1d(np.flatnonzero(lengths != lengths[like]), np.searchsorted(self.starts, differs, side="right") - 1)
+        self.kind[odd] = len(self.sample) + np.arange(len(odd))
+        self.sample = np.append(self.sample, odd)
+
+    def coded(self, known: Known, encode) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all segments, one after the other, and the number of ids before each text (one more at the end).
+
+        ``encode`` takes segments that are not known yet, as bytes, and gives the ids of each as bytes of 32-bit integers.
+        """
+        raw = self.data.tobytes()
+        keys = [raw[a:b] for a, b in zip(self.starts[self.sample].tolist(), self.ends[self.sample].tolist())]
+        coded = known.look_up(keys, encode)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        flat, places = np.frombuffer(b"".join(coded), np.uint32), np.cumsum(sizes) - sizes
+        counts = sizes[self.kind]
+        before = np.concatenate([[0], np.cumsum(counts)])
+        out = flat[np.repeat(places[self.kind] - before[:-1], counts) + np.arange(before[-1])]
+        return out, before[self.firsts]
+
+
+class Known:
+    """Encoded segments that a worker keeps: those in use and those of the round before, of bounded bytes.
+
+    A round ends when it holds ``most`` bytes of segments and ids; segments over ``longest`` bytes are never kept.
+    """
+
+    def __init__(self, most: int = 48_000_000, longest: int = 200):
+        self.most, self.longest = most, longest
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def look_up(self, keys: list[bytes], encode) -> list[bytes]:
+        """What each of the distinct ``keys`` is encoded as."""
+        found = list(map(self.now.get, keys))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for i in missing:
+            found[i] = self.before.get(keys[i])
+        new = [i for i in missing if found[i] is None]
+        for i, ids in zip(new, encode([keys[i] for i in new]) if new else ()):
+            found[i] = ids
+        for i in missing:
+            if len(keys[i]) <= self.longest:
+                self.now[keys[i]] = found[i]
+                self.held += len(keys[i]) + len(found[i]) + 200  # what Python adds to a pair
+        if self.held > self.most:
+            self.now, self.before, self.held = {}, self.now, 0
+        return found
+
+
 def kept_in_worker(name: str, make):
     """One object per Python worker process, made when first asked for."""
     home = sys.modules.setdefault("sealbook_worker", ModuleType("sealbook_worker"))

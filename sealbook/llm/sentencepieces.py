@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The distinct segments of a batch (a run of spaces and what follows up to the next space; no piece reaches
-over such a border) are concatenated and indexed by a suffix array, in which every piece of the vocabulary
+Texts are cut wherever two bytes meet that stand side by side in no piece, so no merge reaches over a cut. The distinct
+segments of a batch are concatenated and indexed by a suffix array, in which every piece of the vocabulary
 is searched for its range of occurrences. Each occurrence is an edge from where it begins to where it ends;
 sorted by position they are relaxed from left to right.
 
@@ -25,17 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sealbook.llm.common import documents, kept_in_worker, outer_id, slices
+from sealbook.llm.common import Known, Segments, documents, kept_in_worker, outer_id, slices
 
 SPACE = "\u2581"
-#: Distinct segments whose ids a worker keeps, besides as many of the round before; pairs of pieces with judged borders.
-CACHE = 150_000
+#: Pairs of pieces with judged borders that a worker keeps.
 PAIRS = 250_000
 #: Bytes of text that are indexed together, and edges relaxed as one list: these bound a worker's memory.
 INDEX_BYTES = 2_000_000
 EDGES = 200_000
 
-_SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _UNKNOWN = -1
 
 
@@ -240,31 +238,33 @@ def encode_segments(segments: list[str], merger: Merger, bytes_from: int) -> lis
     return out
 
 
+def cuts(vocabulary: Vocabulary) -> np.ndarray:
+    """The pairs of bytes that are side by side in no piece; characters stay whole, and spaces stand for their mark."""
+    cut = np.ones((256, 256), bool)
+    cut[:, 0x80:0xC0] = False
+    for piece, ok in zip(vocabulary.pieces, vocabulary.plain):
+        if ok:
+            raw = np.frombuffer(piece.replace(SPACE, " ").encode(), np.uint8)
+            cut[raw[:-1], raw[1:]] = False
+    return cut
+
+
 def _encoder(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = kept_in_worker("merger_" + vocabulary.key, lambda: Merger(vocabulary))
-        held = kept_in_worker("segments_" + vocabulary.key, lambda: [{}, {}])  # in use, and of the round before
+        known = kept_in_worker("segments_" + vocabulary.key, Known)
+        cut = kept_in_worker("cuts_" + vocabulary.key, lambda: cuts(vocabulary))
+
+        def fresh(keys: list[bytes]) -> list[bytes]:
+            segments = [k.decode().replace(" ", SPACE) for k in keys]
+            plain = [s for s in segments if "\0" not in s]
+            ids = iter(encode_segments(plain, merger, vocabulary.bytes_from) if plain else ())
+            return [_with_nul(s, merger, vocabulary.bytes_from) if "\0" in s else array("i", next(ids)).tobytes() for s in segments]
+
         for batch in slices(batches, most=INDEX_BYTES):
-            cut = [_SEGMENT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in batch.column("text").to_pylist()]
-            wanted: set[str] = set()
-            for segments in cut:
-                wanted.update(segments)
-            missing = wanted.difference(held[0])
-            if len(held[0]) + len(missing) > CACHE:
-                held[:], missing = [{}, held[0]], wanted
-            now, before = held
-            for s in missing.intersection(before):
-                now[s] = before[s]
-            new = list(missing.difference(before))
-            for s in [s for s in new if "\0" in s]:
-                now[s] = _with_nul(s, merger, vocabulary.bytes_from)
-            new = [s for s in new if "\0" not in s]
-            if new:
-                for s, ids in zip(new, encode_segments(new, merger, vocabulary.bytes_from)):
-                    now[s] = array("i", ids).tobytes()
-            coded = [b"".join(map(now.__getitem__, segments)) for segments in cut]
-            ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+            texts = pa.array([" " + t.replace(SPACE, " ") if t else "" for t in batch.column("text").to_pylist()], pa.string())
+            flat, bounds = Segments(texts, cut).coded(known, fresh)
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int32)))
             yield batch.drop_columns(["text"]).append_column("ids", lists)
 
     return run

@@ -13,7 +13,9 @@ and survives lost executors through Spark's commit protocol.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealbook.llm.common import documents, kept_in_worker, outer_id, slices
+from sealbook.llm.common import Known, Segments, documents, kept_in_worker, outer_id, slices
 
 # Fixed values of the file format: ids per word and their width in bits, by selector. 15 is the escape.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2])
@@ -33,10 +35,8 @@ ESCAPE = 15
 STRIDE = 512
 #: Ids of a block, about; a document is never split over blocks.
 BLOCK_IDS = 1 << 18
-#: Distinct words whose ids a worker keeps, besides as many of the round before.
-CACHE = 150_000
-# White space other than the space, in pairs with it.
-_ODD = ["  ", *(x for c in map(chr, range(0x3001)) if c.isspace() and c != " " for x in (" " + c, c + " "))]
+# Characters that are more than a byte, or seldom used, and that some count as white space.
+_OTHER_SPACES = "[\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -98,39 +98,55 @@ def unpack_range(words: np.ndarray, offsets: np.ndarray, begin: int, end: int) -
     return unpack(words[first * STRIDE : last * STRIDE])[begin - offsets[first] : end - offsets[first]]
 
 
+def _cuts() -> np.ndarray:
+    """Pairs of bytes that a byte-level pre-tokenizer always parts, whatever stands around them.
+
+    It takes nothing together with white space behind it, and an ASCII letter or digit only with the same sort behind it.
+    """
+    byte = np.arange(256)
+    space, digit = (byte == 32) | ((byte >= 9) & (byte <= 13)), (byte >= 48) & (byte <= 57)
+    letter = ((byte | 32) >= 97) & ((byte | 32) <= 122) & (byte < 128)
+    ascii_ = (byte < 128) & ~space
+    return np.outer(~space, space) | np.outer(letter, ascii_ & ~letter) | np.outer(digit, ascii_ & ~digit)
+
+
+def kept_whole(tokenizer: str) -> str | None:
+    """Texts that match this pattern are encoded as they are; None stands for all texts.
+
+    Other texts can be parted where a byte-level pre-tokenizer always does, and the parts encoded once each. That holds
+    if nothing is normalised, prefixed, padded or cut, and no added token occurs.
+    """
+    spec = json.loads(tokenizer)
+    before = spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    if not plain or any(spec.get(part) for part in ("normalizer", "truncation", "padding")) or (spec.get("model") or {}).get("dropout"):
+        return None
+    return "|".join([_OTHER_SPACES, *(re.escape(t["content"]) for t in spec.get("added_tokens") or () if t["content"])])
+
+
 def _blocks(tokenizer: str, end_id: int):
     """Tokenizes documents in the order given and packs them into blocks."""
+    pattern, cut = kept_whole(tokenizer), _cuts()
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         key = str(zlib.crc32(tokenizer.encode()))
         coder = kept_in_worker("coder_" + key, lambda: Tokenizer.from_str(tokenizer))
-        held = kept_in_worker("pieces_" + key, lambda: [{}, {}])  # words in use, and those of the round before
-        # Byte-level pieces never span a space between two characters that are not white space, so a word
-        # behind such a space is encoded once, with its space. Texts with other spaces are encoded as they are.
-        cut = [None if t[:1] == " " or t[-1:] == " " or "<|" in t or any(x in t for x in _ODD) else t.split(" ") for t in texts]
-        heads = [t if c is None else c[0] for t, c in zip(texts, cut)]
-        tails = [c[1:] if c else [] for c in cut]
-        firsts = iter(coder.encode_batch_fast(heads, add_special_tokens=False))
-        words: set[str] = set()
-        for tail in tails:
-            words.update(tail)
-        missing = words.difference(held[0])
-        if len(held[0]) + len(missing) > CACHE:
-            held[:], missing = [{}, held[0]], words
-        now, before = held
-        for w in missing.intersection(before):
-            now[w] = before[w]
-        new = list(missing.difference(before))
-        for k in range(0, len(new), 1024):
-            part = new[k : k + 1024]
-            for w, e in zip(part, coder.encode_batch_fast([" " + w for w in part], add_special_tokens=False)):
-                now[w] = array("I", e.ids).tobytes()
-        end = np.array([end_id], np.uint32).tobytes()
-        get = now.__getitem__
-        return [np.frombuffer(b"".join([array("I", e.ids).tobytes(), *map(get, tail), end]), np.uint32) for e, tail in zip(firsts, tails)]
+        known = kept_in_worker("pieces_" + key, Known)
+
+        def fresh(segments: list[bytes]) -> Iterator[bytes]:
+            for k in range(0, len(segments), 1024):
+                for e in coder.encode_batch_fast([s.decode() for s in segments[k : k + 1024]], add_special_tokens=False):
+                    yield array("I", e.ids).tobytes()
+
+        texts = pc.fill_null(texts, "")
+        if pattern is None:
+            whole = np.ones(len(texts), bool)
+        else:
+            whole = pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
+        return Segments(texts, cut, whole).coded(known, fresh)
 
     def block(docs: list) -> dict:
         ids = np.concatenate([d[2] for d in docs])
@@ -149,8 +165,11 @@ def _blocks(tokenizer: str, end_id: int):
             return pa.RecordBatch.from_pylist([block(held) | {"shard": shard, "block": number, "n_total": total}], kind)
 
         for batch in slices(batches):
-            texts = pc.fill_null(batch.column("text"), "").to_pylist()
-            for id_, ids in zip(batch.column("id").to_pylist(), encode(texts)):
+            flat, bounds = encode(batch.column("text"))
+            flat = np.insert(flat, bounds[1:], end_id)
+            bounds = bounds + np.arange(len(bounds))
+            for id_, a, b in zip(batch.column("id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                ids = flat[a:b]
                 held.append((id_, None, ids))
                 total += len(ids)
                 if total >= BLOCK_IDS:
