@@ -85,7 +85,10 @@ def _run_hashes(data: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
     n = len(data)
     powers, inverse = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data + np.uint64(1)) * powers[:n], out=sums[1:])
+    terms = data + np.uint64(1)
+    terms *= powers[:n]
+    np.cumsum(terms, out=sums[1:])
+    del terms
     return mixed((sums[to] - sums[at]) * inverse[at] + mixed((to - at).astype(np.uint64)))
 
 
@@ -168,8 +171,11 @@ class Segments:
         hashes = _run_hashes(self.data, self.starts, self.ends)
         _, self.sample, self.kind = np.unique(hashes, return_index=True, return_inverse=True)
         lengths, like = self.ends - self.starts, self.sample[self.kind]
-        twin = np.arange(n) + np.repeat(self.starts[like] - self.starts, lengths)
-        differs = np.flatnonzero(self.data != self.data[np.minimum(twin, n - 1)]) if n else np.empty(0, np.int64)
+        twin = np.repeat(self.starts[like] - self.starts, lengths)
+        twin += np.arange(n)
+        np.minimum(twin, n - 1, out=twin)
+        differs = np.flatnonzero(self.data != self.data[twin])
+        del twin
         odd = np.union1d(np.flatnonzero(lengths != lengths[like]), np.searchsorted(self.starts, differs, side="right") - 1)
         self.kind[odd] = len(self.sample) + np.arange(len(odd))
         self.sample = np.append(self.sample, odd)
@@ -196,7 +202,7 @@ class Known:
     A round ends when it holds ``most`` bytes of segments and ids; segments over ``longest`` bytes are never kept.
     """
 
-    def __init__(self, most: int = 48_000_000, longest: int = 200):
+    def __init__(self, most: int = 32_000_000, longest: int = 200):
         self.most, self.longest = most, longest
         self.now: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}

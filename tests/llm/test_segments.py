@@ -95,3 +95,19 @@ def test_other_tokenizers_encode_whole_texts(spark, byte_bpe, tmp_path, change):
     write_token_files(docs, str(tmp_path / "t"), other)
     got = {r.doc_id: r.ids for r in read_token_files(spark, str(tmp_path / "t")).collect()}
     assert got == {i: [*coder.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+
+
+def test_segments_side_by_side_are_encoded_as_if_alone(byte_bpe):
+    from tokenizers import Tokenizer
+
+    from sealbook.llm.token_files import _side_by_side, _widths
+
+    coder = Tokenizer.from_str(byte_bpe)
+    rnd = random.Random(3)
+    segments = [("".join([rnd.choice(["", " ", "\n", "  ", " \n"]), *rnd.choices("abtT's,.9éß界", k=rnd.randrange(1, 6)), rnd.choice(["", "", "", " "])])).encode() for _ in range(3000)]
+    got = _side_by_side(segments, coder, _widths(coder))
+    assert sum(ids is not None for ids in got) > 1000
+    for s, ids in zip(segments, got):
+        if ids is not None:
+            assert np.frombuffer(ids, np.uint32).tolist() == coder.encode(s.decode(), add_special_tokens=False).ids
+    assert all(ids is None for ids in _side_by_side(segments, coder, _widths(coder) + 1))  # widths that do not fit are noticed
