@@ -99,7 +99,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n or more powers of the base and of its inverse, modulo 2**64."""
     store = kept_in_worker("powers", dict)
     if len(store.get("up", ())) < n:
-        n = max(n + n // 4, SLICE_BYTES + 200_000)
+        n += n // 4
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             column = np.full(n, base, np.uint64)
             column[0] = 1
@@ -168,18 +168,34 @@ class Segments:
         self.starts = np.flatnonzero(begins)
         self.ends = np.append(self.starts, n)[1:]
         self.firsts = np.searchsorted(self.starts, bounds)
-        hashes = _run_hashes(self.data, self.starts, self.ends)
+        parts = [slice(a, b) for a, b in self._parts()]
+        hashes = [np.empty(0, np.uint64)]
+        for p in parts:
+            low, high = self.starts[p][0], self.ends[p][-1]
+            hashes.append(_run_hashes(self.data[low:high], self.starts[p] - low, self.ends[p] - low))
+        hashes = np.concatenate(hashes)
         _, self.sample, self.kind = np.unique(hashes, return_index=True, return_inverse=True)
         lengths, like = self.ends - self.starts, self.sample[self.kind]
-        twin = np.repeat(self.starts[like] - self.starts, lengths)
-        twin += np.arange(n)
-        np.minimum(twin, n - 1, out=twin)
-        differs = np.flatnonzero(self.data != self.data[twin])
-        del twin
+        differs = [np.empty(0, np.int64)]
+        for p in parts:
+            low, high = self.starts[p][0], self.ends[p][-1]
+            twin = np.repeat(self.starts[like[p]] - self.starts[p], lengths[p])
+            twin += np.arange(low, high)
+            np.minimum(twin, n - 1, out=twin)
+            differs.append(low + np.flatnonzero(self.data[low:high] != self.data[twin]))
+        differs = np.concatenate(differs)
         odd = np.union1d(np.flatnonzero(lengths != lengths[like]), np.searchsorted(self.starts, differs, side="right") - 1)
         self.kind[odd] = len(self.sample) + np.arange(len(odd))
         self.sample = np.append(self.sample, odd)
 
+    def _parts(self, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+        """Ranges of segments of about so many bytes, so that what is computed per byte takes little memory."""
+        first = 0
+        while first < len(self.starts):
+            last = max(first + 1, int(np.searchsorted(self.ends, self.starts[first] + most, side="right")))
+            yield first, last
+            first = last
+
     def coded(self, known: Known, encode) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all segments, one after the other, and the number of ids before each text (one more at the end).
 
