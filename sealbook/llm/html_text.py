@@ -6,7 +6,8 @@ linked characters: good, bad, or undecided where it is short. The second gives u
 of the nearest decided ones in the same part of the page. Inside an element marked as the article one good
 neighbour is enough and the element's borders are good. Elsewhere the nearer one counts, at a border of the page
 the only one; of two equally near ones that differ the good one counts for headings and for prose. On a page
-without a good block prose is good at a smaller length.
+without a good block prose is good at a smaller length. On a page in a language of which no stop words are known,
+sentence marks take the place of stop words, and characters of scripts without spaces count threefold.
 """
 
 from __future__ import annotations
@@ -34,10 +35,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSED_BY_BLOCK = frozenset("p".split())
 OTHER_PARTS = re.compile(
     r"ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|menu|nav\w*|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notices?|alert|"
-    r"comments?|commentlist|disqus|replies|respond|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|search|popup|modal|overlay|widgets?|"
+    r"comments?|commentlist|disqus|reply|replies|respond|thread|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|search|popup|modal|overlay|widgets?|"
     r"toolbar|pagination|pager|copyright|skiplink|teaser",
     re.I,
 )
+# Names of comments that are as well names of sections of an article: they count outside of one.
+OTHER_OUTSIDE = re.compile("discussions?|reviews", re.I)
 TITLE_PARTS = frozenset("header entry post article story content".split())
 # What follows a part's name without making it another: boxes, kinds of entries, places, numbers.
 OF_PART = re.compile(
@@ -55,6 +58,11 @@ STOP_WORDS = frozenset(
     "el los las que y del se con no una su al lo es por para como más".split()
 )
 LONG, STOPS_HIGH, STOPS_LOW, LINKS_HIGH, SHORT, FEW_WORDS = 200, 0.30, 0.20, 0.35, 70, 5
+#: A page with a smaller share of stop words is in a language of which none are known. There prose is told by its sentence
+#: marks: one in so many characters is as much as a high share of stop words, one in twice as many as a low one.
+STOPS_NONE, MARK_EVERY = 0.08, 120
+#: Characters of scripts that write a word with one or two of them count for so many.
+WIDE_COUNTS = 3
 
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _TAG_BEGINS = re.compile(r"<(/?)[A-Za-z]")
@@ -63,6 +71,8 @@ _SPECIAL = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAMED = re.compile(r"\b(?:class|id|role|hidden|aria-hidden)\b", re.I)
 _BLANK = re.compile(r"\s+")
+_MARKS = re.compile("[.,;:!?\u2026\u0589\u060c\u061b\u061f\u06d4\u0964\u0965\u104a\u104b\u1362\u17d4\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f]")
+_WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 @dataclass
@@ -71,6 +81,9 @@ class Block:
     linked: int
     article: int  # number of the article or main element around it, 0 for none
     heading: bool
+    stops: float = 0.0  # share of stop words
+    foreign: bool = False  # on a page in a language without known stop words
+    listed: bool = False  # mostly links beside another block of mostly links
     named: tuple[int, ...] = ()  # numbers of the elements around it that are other parts by their class or id
 
 
@@ -87,7 +100,7 @@ def _other_part(name: str, in_article: bool) -> bool:
         parts.pop()
         if joined := DOUBLE.get(tuple(parts[-2:])):
             parts[-2:] = [joined]
-    return bool(parts) and bool(OTHER_PARTS.fullmatch(parts[-1]))
+    return bool(parts) and bool(OTHER_PARTS.fullmatch(parts[-1]) or not in_article and OTHER_OUTSIDE.fullmatch(parts[-1]))
 
 
 def _apart(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
@@ -209,7 +222,7 @@ def blocks(page: str) -> list[Block]:
             text = _BLANK.sub(" ", html.unescape("".join(t for t, _ in parts))).strip()
             if text:
                 linked = sum(len(html.unescape(t).strip()) for t, a in parts if a)
-                out.append(Block(text, linked, inside[-1] if inside else 0, heading, tuple(named)))
+                out.append(Block(text, linked, inside[-1] if inside else 0, heading, named=tuple(named)))
             parts = []
 
     at, n, tags = 0, len(page), _Tags(page)
@@ -277,36 +290,68 @@ def blocks(page: str) -> list[Block]:
     return _without_named(out, opened) if opened else out
 
 
-def stop_share(block: Block) -> float:
-    words = block.text.lower().split()
+def stop_share(words: list[str]) -> float:
     return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
 
 
+def size(block: Block) -> int:
+    """Characters, those of a page in another language by how much they say."""
+    return len(block.text) + (WIDE_COUNTS - 1) * len(_WIDE.findall(block.text)) * block.foreign
+
+
+def prose_share(block: Block) -> float:
+    """How much a block reads like prose, on the scale of shares of stop words."""
+    if not block.foreign:
+        return block.stops
+    return min(STOPS_HIGH, STOPS_HIGH * len(_MARKS.findall(block.text)) * MARK_EVERY / size(block))
+
+
+def linked_mostly(block: Block) -> bool:
+    return block.linked > LINKS_HIGH * len(block.text)
+
+
+def _with_page(found: list[Block]) -> list[Block]:
+    """The blocks with what they need to know of the page: whether its language has known stop words, and lists of links."""
+    many = [False, *(linked_mostly(b) for b in found), False]
+    words = stops = 0
+    for i, b in enumerate(found):
+        own = b.text.lower().split()
+        b.stops = stop_share(own)
+        b.listed = many[i + 1] and (many[i] or many[i + 2])
+        if not many[i + 1]:
+            words, stops = words + len(own), stops + b.stops * len(own)
+    for b in found:
+        b.foreign = stops < STOPS_NONE * words
+    return found
+
+
 def first_pass(block: Block) -> bool | None:
     """Good, bad or undecided, from the block alone."""
-    n = len(block.text)
-    if block.linked > LINKS_HIGH * n:
-        return False
-    stops = stop_share(block)
+    n = size(block)
+    if linked_mostly(block):
+        # In the article a paragraph may well be a link; several side by side are a list of links.
+        return None if block.article and not block.listed else False
+    share = prose_share(block)
     if n < SHORT or block.heading:
         return None
     if block.article:  # marked up as the article: prose or not, only links speak against it
-        return True if stops >= STOPS_LOW or n >= LONG else None
-    if stops >= STOPS_HIGH:
+        return True if share >= STOPS_LOW or n >= LONG else None
+    if share >= STOPS_HIGH:
         return True if n > LONG else None
-    return None if stops >= STOPS_LOW else False
+    return None if share >= STOPS_LOW else False
 
 
 def _shorter_prose(found: list[Block], labels: list[bool | None]) -> None:
     """Where no block is good, those undecided ones are that read like prose: of some length, or else of some words."""
-    prose = [i for i, b in enumerate(found) if labels[i] is None and not b.heading and stop_share(b) >= STOPS_HIGH]
-    for i in [i for i in prose if len(found[i].text) >= SHORT] or [i for i in prose if len(found[i].text.split()) >= FEW_WORDS]:
+    prose = [i for i, b in enumerate(found) if labels[i] is None and not b.heading and prose_share(b) >= STOPS_HIGH]
+    words = {i: max(len(found[i].text.split()), len(_WIDE.findall(found[i].text)) * found[i].foreign // 2) for i in prose}
+    for i in [i for i in prose if size(found[i]) >= SHORT] or [i for i in prose if words[i] >= FEW_WORDS]:
         labels[i] = True
 
 
 def main_text(page: str | None) -> str:
     """Good blocks, one line each."""
-    found = blocks(page or "")
+    found = _with_page(blocks(page or ""))
     labels = [first_pass(b) for b in found]
     # Pages that mark their article have it there; others are judged as a whole, also those that mark only a small part.
     marked = any(b.article for b in found)
@@ -344,7 +389,7 @@ def main_text(page: str | None) -> str:
         elif label is None and l_far != r_far:
             label = left if l_far < r_far else right
         elif label is None:
-            label = len(b.text) >= SHORT and stop_share(b) >= STOPS_HIGH
+            label = size(b) >= SHORT and prose_share(b) >= STOPS_HIGH
         if label:
             kept.append(b.text)
     return "\n".join(kept)
