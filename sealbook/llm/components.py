@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealbook.operators.durable import durable
+from sealbook.operators.durable import Scratch, durable
 
 
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
@@ -29,15 +29,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Repeated edges and loops are harmless; no edges give no rows. A node with very many edges stays
     many rows: only minima are taken per node. Each round is written once, since it is read three
-    times; the rounds needed grow with the logarithm of the longest path.
+    times, and removed after the next; the rounds needed grow with the logarithm of the longest path.
     """
-    edges = durable(edges.select("u", "v").filter("u != v").distinct())
-    state = None
-    while True:
-        edges = durable(_stars(_stars(edges, True), False))
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not seen[0] or tuple(seen) == state:
-            break
-        state = tuple(seen)
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    spark, state = edges.sparkSession, None
+    rounds = [Scratch(spark)]
+    edges = rounds[0].keep(edges.select("u", "v").filter("u != v").distinct())
+    try:
+        while True:
+            rounds.append(Scratch(spark))
+            edges = rounds[-1].keep(_stars(_stars(edges, True), False))
+            rounds.pop(0).__exit__()
+            seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if not seen[0] or tuple(seen) == state:
+                break
+            state = tuple(seen)
+        roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        return durable(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots))
+    finally:
+        for left in rounds:
+            left.__exit__()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sealbook.llm.common import documents, mixed, outer_id, shingle_sets, slices
 from sealbook.llm.components import components
-from sealbook.operators.durable import durable
+from sealbook.operators.durable import Scratch, durable, release_shuffles
 
 #: 64-bit words of the bit sketch that filters candidate pairs.
 SKETCH_WORDS = 64
@@ -150,36 +150,44 @@ def near_duplicates(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
     given back as null. Rows with one doc_id are one node: with different texts it has the links of all
     of them. An empty table gives no rows; other columns are not looked at.
     """
-    least = Fraction(num, den)
-    base = documents(docs)
+    with Scratch(docs.sparkSession) as scratch:
+        return durable(_near_duplicates(documents(docs), words, Fraction(num, den), scratch))
+
+
+def _near_duplicates(base: DataFrame, words: int, least: Fraction, scratch: Scratch) -> DataFrame:
+    """What `near_duplicates` gives, of ``id`` and ``text``; tables that it reads lie in ``scratch``."""
     kind = "id long, n long, mark binary, keys array<long>, sketch array<long>"
-    sketched = durable(base.mapInArrow(_sketched(words, least), kind))
+    sketched = scratch.keep(base.mapInArrow(_sketched(words, least), kind))
 
     full = sketched.filter("n > 0")
     equal = full.groupBy("mark").agg(F.min("id").alias("rep"))
-    copies = durable(full.select("id", "mark").join(equal, "mark").select("id", "rep").distinct())
+    copies = scratch.keep(full.select("id", "mark").join(equal, "mark").select("id", "rep").distinct())
     texts = copies.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low != high")
     several = copies.join(texts.select("id", "low"), "id").select(F.col("rep").alias("u"), F.col("low").alias("v"))
     nodes = full.join(equal.select("mark", F.col("rep").alias("id")), ["mark", "id"], "left_semi").filter("size(keys) > 0")
 
     order = Window.partitionBy("key").orderBy("id")
     met = nodes.select("id", F.explode("keys").alias("key"))
-    groups = durable(
+    groups = scratch.keep(
         met.withColumn("hub", F.first("id").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("next", F.lead("id").over(order))
         .filter("hub != id or next is not null")
         .select("key", "id", "hub")
     )
+    release_shuffles(base.sparkSession)
     sizes = nodes.select("id", "n", "sketch")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = durable(pairs)
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        sets = durable(base.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, shingles binary").distinct())
-        both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("left")), "u").join(
-            sets.select(F.col("id").alias("v"), F.col("shingles").alias("right")), "v"
-        )
-        return durable(both.select("u", "v", "left", "right").mapInArrow(_linked(least), "u long, v long").distinct())
+        with Scratch(base.sparkSession) as own:
+            pairs = own.keep(pairs)
+            wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+            sets = own.keep(base.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, shingles binary").distinct())
+            both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("left")), "u").join(
+                sets.select(F.col("id").alias("v"), F.col("shingles").alias("right")), "v"
+            )
+            found = scratch.keep(both.select("u", "v", "left", "right").mapInArrow(_linked(least), "u long, v long").distinct())
+        release_shuffles(base.sparkSession)
+        return found
 
     hubs = groups.filter("hub != id").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
     pairs = hubs.join(sizes.alias("a"), F.col("u") == F.col("a.id")).join(sizes.alias("b"), F.col("v") == F.col("b.id"))
@@ -190,7 +198,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
         "key", "id", F.coalesce("component", "id").alias("label")
     )
     split = open_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-    left = durable(
+    left = scratch.keep(
         open_.join(split.filter("low != high and size > 2").select("key"), "key", "left_semi").join(sizes, "id")
     )
     a, b = left.alias("a"), left.alias("b")

@@ -123,3 +123,27 @@ def test_story_beside_marked_teasers():
     text = main_text(f"<div><h1>Title</h1><p>{long}</p><p>{long}</p></div><div>{teasers}</div>")
     assert text.startswith(f"Title\n{long}\n{long}") and "Another story" not in text
     assert main_text(f"<article><p>{long}</p></article><div><p>{long}</p></div>") == long
+
+
+def test_nodes_of_equal_hashes_are_told_apart(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "HASH_BITS", 3)
+    rows = made_up(9) + [(None, "a b"), (None, "a b"), (1, None)]
+    found = corpus_pipeline.numbered(table(spark, rows)).collect()
+    pairs = {(r.id, r.row.text) for r in found}
+    assert len(found) == len(rows)
+    assert len(pairs) == len({r.node for r in found}) == len({(r.id, r.row.text, r.node) for r in found})
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, table(spark, rows), "")
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == one_of_near_copies(rows, corpus_pipeline.SHINGLE_WORDS, corpus_pipeline.LEAST_PERCENT)
+
+
+def test_near_duplicates_leaves_only_small_tables(spark, tmp_path, monkeypatch):
+    from sealbook.llm.jaccard import near_duplicates
+    from sealbook.operators import durable
+
+    made = iter(range(1000))
+    monkeypatch.setattr(durable, "shared_folder", lambda spark: str(tmp_path / f"t{next(made)}"))
+    assert near_duplicates(table(spark, made_up(9)), words=3, num=80).count()
+    left = [spark.read.parquet(str(p)).columns for p in tmp_path.iterdir()]
+    assert sorted(left) == [["doc_id", "n_shingles", "component_id"]] + 2 * [["node", "component"]]
