@@ -26,13 +26,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root}/sealbook-{uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a Parquet table that survives lost executors."""
-    path = shared_folder(df.sparkSession)
+def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of what was shuffled for tables that are written by now.
+
+    Spark deletes such files once the JVM notices that nothing refers to them, which on a driver with little to do
+    can be long after the disks are full. To be called between large steps.
+    """
+    spark._jvm.System.gc()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The same rows, read back from a Parquet table that survives lost executors."""
+    return _write(df, shared_folder(df.sparkSession))
+
+
 class Scratch:
     """Intermediates of one call, written like `durable` does and removed when the call ends."""
 
@@ -40,10 +52,8 @@ class Scratch:
         self.spark, self.paths = spark, []
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = shared_folder(self.spark)
-        self.paths.append(path)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append(shared_folder(self.spark))
+        return _write(df, self.paths[-1])
 
     def __enter__(self) -> Scratch:
         return self
