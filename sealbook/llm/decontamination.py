@@ -35,7 +35,7 @@ LEAST_CHARS, LEAST_WORDS = 20, 3
 #: Characters of benchmark text that one pass over the documents looks for.
 BLOCK_CHARS = 2_000_000
 #: Meetings of text positions and items that are held at once, and bytes of passages whose alignment is remembered.
-MEETINGS, ALIGNED_BYTES = 1 << 19, 32_000_000
+MEETINGS, ALIGNED_BYTES = 1 << 17, 8_000_000
 
 _WORDS = re.compile(r"\w+")
 _TOP = np.uint64(44)  # leaves 20 bits for the first look-up
