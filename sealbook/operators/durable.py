@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _write(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -358,13 +358,12 @@ class MeteringStore:
 
     def _admit(self, valid: DataFrame, span: _Span, snapshot: Snapshot, keep) -> _Written:
         """Write what the deliveries add to the log, its watermarks, dispositions and corrections."""
-        admission = ingest(valid, self._state_near(valid, span, snapshot), self.settings, keep)
+        # Judged deliveries are written down without what no table holds.
+        admission = ingest(valid, self._state_near(valid, span, snapshot), self.settings, lambda judged: keep(_stored(judged)))
         written = _Written({}).plus(event_log=self._write("event_log", admission.accepted, ids=4 * span.n // span.days))
-        found = admission.dispositions.persist()  # read twice; recomputed if lost
         if self.keep_dispositions:
-            written = written.plus(dispositions=self._write("dispositions", found.select(*_TABLES["dispositions"].names)))
+            written = written.plus(dispositions=self._write("dispositions", admission.dispositions.select(*_TABLES["dispositions"].names)))
         written = written.plus(corrections=self._write("corrections", admission.corrections))
-        found.unpersist()
         # From here on the batch is read back, not computed again.
         mine = self._read(Snapshot(), "event_log", written)
         return written.plus(watermarks=self._write("watermarks", stream_watermarks(mine, self.settings.grace_ms)))
@@ -573,12 +572,12 @@ class MeteringStore:
             # Files of even size within a day, sorted by id.
             rows = rows.withColumn("event_day", self._day(F.col("event_time_ms")))
             rows = rows.hint("rebalance", "event_day").sortWithinPartitions("event_day", "event_id")
-            rows.write.options(**_bloom(ids)).partitionBy("event_day").parquet(path)
+            rows.write.options(compression="zstd", **_bloom(ids)).partitionBy("event_day").parquet(path)
             return folder
         if merged:
             order = {"open_index": "window_close_ms", "opened": "window_open_ms", "seals": "window_open_ms"}.get(name)
             rows = rows.hint("rebalance") if order is None else rows.repartitionByRange(order).sortWithinPartitions(order)
-        rows.write.parquet(path)
+        rows.write.option("compression", "zstd").parquet(path)
         return folder
 
     def _commit(self, snapshot: Snapshot, entry: dict) -> Snapshot | None:
@@ -586,6 +585,13 @@ class MeteringStore:
         return self.commit_log.commit(snapshot, entry)
 
 
+def _stored(judged: DataFrame) -> DataFrame:
+    """Judged deliveries without the places they arrived at, which are only needed to judge them."""
+    if "filed" not in judged.columns:
+        return judged
+    return judged.drop("arrival").withColumn("filed", F.col("filed").dropFields("arrival"))
+
+
 def _still_open(index: DataFrame) -> DataFrame:
     """Windows that were opened and not sealed; ``batch_id`` is the commit that opened them."""
     left = index.groupBy(*WINDOW_COLUMNS).agg(F.sum(F.col("sign").cast("int")).alias("left"), F.min("batch_id").alias("batch_id"))
