@@ -508,7 +508,7 @@ class MeteringStore:
                     if not hit:
                         continue
                     left = rows.where(F.col("_file").isin(hit)).join(side, key, "left_anti")
-                    folder = self._write(name, left.select(*schema.names, "batch_id"), merged=True)
+                    folder = self._write(name, left.select(*schema.names, "batch_id"), merged=True, moved=False)
                     merged.append((name, folder, min(p.first for p in parts), max(p.last for p in parts), 1))
                     for p in parts:
                         if mine := [h for h in hit if f"/part={p.folder}/" in h]:
@@ -564,8 +564,11 @@ class MeteringStore:
     def counts(self, batch: int) -> DataFrame:
         return ingest_counts(self.table("dispositions").where(F.col("batch_id") == batch))
 
-    def _write(self, name: str, rows: DataFrame, merged: bool = False, ids: int = FEW_IDS) -> str:
-        """Write a part and return its folder; ``ids`` is about how many events a file of the log will hold."""
+    def _write(self, name: str, rows: DataFrame, merged: bool = False, ids: int = FEW_IDS, moved: bool = True) -> str:
+        """Write a part and return its folder; ``ids`` is about how many events a file of the log will hold.
+
+        Merged rows of other tables than the log are dealt anew to files, unless they are not to be ``moved`` as their files are well dealt.
+        """
         folder = f"p{uuid4().hex}"
         path = f"{self.root}/{name}/part={folder}"
         if name == "event_log":
@@ -576,7 +579,9 @@ class MeteringStore:
             return folder
         if merged:
             order = {"open_index": "window_close_ms", "opened": "window_open_ms", "seals": "window_open_ms"}.get(name)
-            rows = rows.hint("rebalance") if order is None else rows.repartitionByRange(order).sortWithinPartitions(order)
+            if moved:
+                rows = rows.hint("rebalance") if order is None else rows.repartitionByRange(order)
+            rows = rows if order is None else rows.sortWithinPartitions(order)
         rows.write.option("compression", "zstd").parquet(path)
         return folder
 

@@ -248,3 +248,25 @@ def test_a_purge_writes_only_files_that_hold_a_customer(spark, tmp_path):
     assert len(old & left) == len(old) - 3 and bill(s) == [b for b in total if b[0].startswith("keep")]
     s.ingest(batch(spark, [("0-0", "keep", 1, BASE), ("1-0", "gone", 1, BASE)]), NOW)
     assert {r.disposition: r.deliveries for r in s.counts(6).collect()} == {"deduped": 1, "accepted": 1}
+
+
+def test_purged_files_are_written_without_a_shuffle(spark, tmp_path):
+    """What a purge leaves of the other tables than the log is written where it was read: one stage each, in the order of the files."""
+    s, stages = MeteringStore(spark, str(tmp_path / "s"), S), {}
+    s.ingest(batch(spark, [(f"{k:03d}", "gone" if k % 3 == 0 else "keep", 1, BASE + 20_000 * k) for k in range(30)]), NOW, auto_seal=True)
+    write, tracker = s._write, spark.sparkContext.statusTracker()
+
+    def counted(name, rows, **how):
+        group = f"purge {name} {tmp_path}"
+        kept = durable(rows)
+        spark.sparkContext.setJobGroup(group, name)
+        folder = write(name, kept, **how)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        stages[name] = sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(group))
+        return folder
+
+    s._write = counted
+    s.purge(spark.createDataFrame([("gone",)], "customer_id string"))
+    assert {name for name, n in stages.items() if n != 1} <= {"event_log"} and len(stages) >= 6
+    assert s.windows().count() == 20 and {r.customer_id for r in s.log().collect()} == {"keep"}
+    assert s.still_open().count() == 1 and s.receipts().count() == 19
