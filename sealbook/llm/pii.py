@@ -6,17 +6,18 @@ Boosted trees score each by its format and its context; a threshold calibrated o
 selects those to redact, and where selected spans overlap the most likely stays.
 
 There are no labelled spans, so the trees are fitted on what formats prove: candidates that overlap a checked base
-span, or stand as a quoted or assigned secret beside a word that says so, are positive; the rest of the
-sample is negative. Features leave out the checks themselves. Only the fit uses a sample: candidates of
-at most ``MOST_DOCUMENTS`` documents, those with the smallest hash of their text.
+span, or stand as a quoted or assigned secret beside a word that says so, are positive; the rest
+is negative. Features leave out the checks themselves. The fit counts the candidates of all documents: equal ones are
+counted together, and each level of the trees is one pass that adds up histograms.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log2
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealbook.llm.common import documents, outer_id, slices
+from sealbook.operators.durable import Scratch
 
-MOST_DOCUMENTS = 4_000
 #: Least share of positives among held-out candidates at or above the threshold.
 PRECISION = 0.98
+ROUNDS, RATE, DEPTH, BINS = 40, 0.3, 3, 24
+#: Candidates fall into so many folds; a model for each is fitted without it.
+FOLDS = 4
+#: Steps of a probability by which the threshold is found.
+STEPS = 10_000
+#: Rows of the table that every pass reads, by task: passes are many and short, so tasks should not be.
+ROWS_PER_TASK = 50_000
+#: Histograms are added up as whole numbers of this fraction, so that no order of tasks changes a model.
+UNIT = 2.0**24
 
 # Fixed patterns of the base spans.
 BASE = {
@@ -127,59 +137,83 @@ def proven(text: str, start: int, end: int, kind: str, base: list[tuple[int, int
     return kind == "secret" and SECRET_CUES.search(text[max(0, start - 24) : start]) is not None
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Features to three significant digits, so that a feature has a bounded number of values."""
+    size = 10.0 ** (2 - np.floor(np.log10(np.maximum(np.abs(x), 1e-9))))
+    return (np.rint(x * size) / size).astype(np.float32)
+
+
 class Trees:
-    """Gradient-boosted trees of depth 3 for the logistic loss, on binned features."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.3, depth: int = 3, bins: int = 24):
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
-        b = self._binned(x)
-        self.start = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-        self.trees, score = [], np.full(len(y), self.start)
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-score))
-            tree = self._grow(b, p - y, p * (1 - p), np.arange(len(y)), depth)
-            self.trees.append(tree)
-            score = score + rate * self._value(tree, b)
-        self.rate = rate
-
-    def _binned(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(c, col, side="right") for c, col in zip(self.cuts, x.T)], 1)
-
-    def _grow(self, b, g, h, rows, depth):
-        gs, hs = g[rows].sum(), h[rows].sum()
-        best = (1e-3, None)
-        if depth and len(rows) >= 20:
-            for f, cuts in enumerate(self.cuts):
-                gl = np.bincount(b[rows, f], g[rows], len(cuts) + 1).cumsum()[:-1]
-                hl = np.bincount(b[rows, f], h[rows], len(cuts) + 1).cumsum()[:-1]
-                if len(gl):
-                    gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
-                    gain[(hl < 0.5) | (hs - hl < 0.5)] = 0
-                    k = int(np.argmax(gain))
-                    if gain[k] > best[0]:
-                        best = (gain[k], (f, k))
-        if best[1] is None:
-            return -gs / (hs + 1)
-        f, k = best[1]
-        left = b[rows, f] <= k
-        return f, k, self._grow(b, g, h, rows[left], depth - 1), self._grow(b, g, h, rows[~left], depth - 1)
-
-    def _value(self, tree, b: np.ndarray) -> np.ndarray:
-        if not isinstance(tree, tuple):
-            return np.full(len(b), tree)
-        f, k, left, right = tree
-        goes = b[:, f] <= k
-        out = np.empty(len(b))
-        out[goes], out[~goes] = self._value(left, b[goes]), self._value(right, b[~goes])
-        return out
+    """Gradient-boosted trees for the logistic loss, on binned features.
+
+    A tree has its nodes at 0, then 1 and 2, then 3 to 6 and so on: a feature (-1 in leaves), a cut and a value for each.
+    """
+
+    def __init__(self, cuts: list[np.ndarray], start: float):
+        self.cuts, self.start = cuts, start
+        self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self) -> None:
+        n = 2 ** (DEPTH + 1) - 1
+        self.trees.append((np.full(n, -1), np.zeros(n, int), np.zeros(n)))
+
+    @staticmethod
+    def nodes(tree, b: np.ndarray) -> np.ndarray:
+        """The node that each row has reached in a tree that may still grow."""
+        at = np.zeros(len(b), int)
+        for _ in range(DEPTH):
+            f = tree[0][at]
+            at = np.where(f < 0, at, 2 * at + 1 + (b[np.arange(len(b)), np.maximum(f, 0)] > tree[1][at]))
+        return at
+
+    def score(self, b: np.ndarray, most: int | None = None) -> np.ndarray:
+        return self.start + RATE * sum((t[2][self.nodes(t, b)] for t in self.trees[:most]), np.zeros(len(b)))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        b = self._binned(x)
-        return 1 / (1 + np.exp(-(self.start + self.rate * sum(self._value(t, b) for t in self.trees))))
+        return 1 / (1 + np.exp(-self.score(binned(rounded(x), self.cuts))))
 
+    def split(self, node: int, sums: np.ndarray) -> None:
+        """Settle a node of the last tree by its histogram: by feature and bin the gradients, their slopes and rows."""
+        g, h = sums[..., 0] / UNIT, sums[..., 1] / UNIT
+        gs, hs = g[0].sum(), h[0].sum()
+        feature, cut, value = self.trees[-1]
+        if node == 0:
+            value[node] = -gs / (hs + 1)
+        if sums[0, :, 2].sum() < 20:
+            return
+        best = 1e-3
+        for f, cuts in enumerate(self.cuts):
+            gl, hl = g[f].cumsum()[: len(cuts)], h[f].cumsum()[: len(cuts)]
+            if len(gl):
+                gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
+                gain[(hl < 0.5) | (hs - hl < 0.5)] = 0
+                k = int(np.argmax(gain))
+                if gain[k] > best:
+                    best, feature[node], cut[node] = gain[k], f, k
+                    value[2 * node + 1 : 2 * node + 3] = -gl[k] / (hl[k] + 1), -(gs - gl[k]) / (hs - hl[k] + 1)
 
-def train(docs: DataFrame):
-    """Trees and threshold; None if the sample has no candidates of both kinds."""
+
+def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(c, col, side="right") for c, col in zip(cuts, x.T)], 1).astype(np.uint8)
+
+
+def _rows(batch: pa.RecordBatch, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(name).to_pylist()), kind).reshape(-1, len(FEATURES))
+
+
+def _added(table: DataFrame, sums: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """Whole numbers added up over all batches of a table, of one bounded array per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((sums(batch) for batch in batches if batch.num_rows), 0)
+        if not isinstance(total, int):
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int64).tobytes()])], ["sums"])
+
+    return sum(np.frombuffer(r.sums, np.int64) for r in table.mapInArrow(run, "sums binary").toLocalIterator())
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """The candidates of all documents: features, whether the formats prove them, and how many are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -189,23 +223,109 @@ def train(docs: DataFrame):
                 base = base_spans(t) if found else []
                 rows += [features(t, *c) for c in found]
                 labels += [proven(t, *c, base) for c in found]
-            yield pa.RecordBatch.from_arrays([pa.array([list(r) for r in rows], pa.list_(pa.float64())), pa.array(labels, pa.bool_())], ["x", "y"])
-
-    sample = documents(docs).filter(F.col("text").rlike("[0-9@]")).select("id", F.xxhash64("text").alias("h")).orderBy("h", "id").limit(MOST_DOCUMENTS)
-    texts = documents(docs).withColumn("h", F.xxhash64("text")).join(sample, ["id", "h"], "left_semi").select("text")
-    rows = sorted((tuple(r.x), r.y) for r in texts.mapInArrow(run, "x array<double>, y boolean").collect())
-    x, y = np.array([r[0] for r in rows]).reshape(-1, len(FEATURES)), np.array([r[1] for r in rows], float)
-    if len(set(y.tolist())) < 2:
-        return None
-    fold = np.arange(len(y)) % 4
-    outside = np.zeros(len(y))
-    for f in range(4):
-        outside[fold == f] = Trees(x[fold != f], y[fold != f]).probability(x[fold == f])
-    order = np.argsort(-outside, kind="stable")
-    share = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    good = np.flatnonzero(share >= PRECISION)
-    threshold = max(0.5, float(outside[order[good[-1]]])) if len(good) else 2.0
-    return Trees(x, y), threshold
+            x = rounded(np.array(rows, float).reshape(-1, len(FEATURES)))
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), pa.array(labels, pa.bool_())], ["x", "y"])
+
+    texts = documents(docs).filter(F.col("text").rlike("[0-9@]")).select("text")
+    return texts.mapInArrow(run, "x binary, y boolean").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _cuts(counted: DataFrame) -> list[np.ndarray]:
+    """Per feature the values that part its candidates into bins of about equal size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, n = _rows(batch, "x", np.float32), batch.column("n").to_numpy()
+            for f in range(len(FEATURES) if batch.num_rows else 0):
+                v, at = np.unique(x[:, f], return_inverse=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(v), f)), pa.array(v), pa.array(np.bincount(at, n).astype(np.int64))], ["f", "v", "n"])
+
+    values = counted.mapInArrow(run, "f long, v float, n long").groupBy("f", "v").agg(F.sum("n").alias("n")).collect()
+    cuts = []
+    for f in range(len(FEATURES)):
+        mine = sorted((r.v, r.n) for r in values if r.f == f)
+        v, upto = np.array([a for a, _ in mine], np.float32), np.cumsum([n for _, n in mine])
+        cuts.append(np.unique(v[np.searchsorted(upto, upto[-1] * np.arange(1, BINS) / BINS)]))
+    return cuts
+
+
+def train(docs: DataFrame):
+    """Trees and threshold; None if the documents have no candidates of both kinds."""
+    with Scratch(docs.sparkSession) as scratch:
+        counted = scratch.keep(_counted(docs))
+        if counted.select("y").distinct().count() < 2:
+            return None
+        cuts = _cuts(counted)
+
+        def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                b = [r.tobytes() for r in binned(_rows(batch, "x", np.float32), cuts)]
+                folds = pa.array([crc32(r) % FOLDS for r in b], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.binary()), folds, batch.column("y").cast(pa.int64()), batch.column("n")], ["b", "fold", "y", "n"])
+
+        table = counted.mapInArrow(bins, "b binary, fold long, y long, n long").groupBy("b", "fold", "y").agg(F.sum("n").alias("n"))
+        return _fitted(scratch.keep(table.coalesce(1 + counted.count() // ROWS_PER_TASK)), cuts)
+
+
+def _fitted(table: DataFrame, cuts: list[np.ndarray]):
+    """Trees for all candidates and a threshold from models that leave out the fold they are asked about."""
+    kinds = np.zeros((FOLDS, 2), np.int64)
+    for r in table.groupBy("fold", "y").agg(F.sum("n").alias("n")).collect():
+        kinds[r.fold, r.y] = r.n
+    # The last model leaves out no fold.
+    models = []
+    for m in range(FOLDS + 1):
+        without, with_ = (kinds.sum(0) - (kinds[m] if m < FOLDS else 0)).tolist()
+        share = with_ / max(1, without + with_)
+        models.append(Trees(cuts, float(np.log((share + 1e-6) / (1 - share + 1e-6)))))
+    shape = (len(FEATURES), BINS, 3)
+
+    def columns(batch: pa.RecordBatch):
+        return _rows(batch, "b", np.uint8), *(batch.column(c).to_numpy() for c in ("fold", "y", "n"))
+
+    for _ in range(ROUNDS):
+        for model in models:
+            model.add()
+        for level in range(DEPTH):
+            first, width = 2**level - 1, 2**level
+
+            def sums(batch: pa.RecordBatch) -> np.ndarray:
+                b, fold, y, n = columns(batch)
+                out = np.zeros((len(models), width, *shape), np.int64)
+                for m, model in enumerate(models):
+                    at = model.nodes(model.trees[-1], b)
+                    mine = np.flatnonzero((at >= first) & (fold != m))
+                    p = 1 / (1 + np.exp(-model.score(b[mine], -1)))
+                    g, h = np.rint((p - y[mine]) * UNIT) * n[mine], np.rint(p * (1 - p) * UNIT) * n[mine]
+                    for f in range(len(FEATURES)):
+                        cell = (at[mine] - first) * BINS + b[mine, f]
+                        for k, weight in enumerate((g, h, n[mine])):
+                            out[m, :, f, :, k] = np.rint(np.bincount(cell, weight, width * BINS)).astype(np.int64).reshape(width, BINS)
+                return out.ravel()
+
+            found = _added(table, sums).reshape(len(models), width, *shape)
+            grown = False
+            for model, mine in zip(models, found):
+                for k in range(width):
+                    if mine[k, 0, :, 2].any():
+                        model.split(first + k, mine[k])
+                        grown |= bool(model.trees[-1][0][first + k] >= 0)
+            if not grown:
+                break
+
+    def steps(batch: pa.RecordBatch) -> np.ndarray:
+        b, fold, y, n = columns(batch)
+        p = np.zeros(len(b))
+        for m in range(FOLDS):
+            p[fold == m] = 1 / (1 + np.exp(-models[m].score(b[fold == m])))
+        return np.bincount((p * STEPS).astype(int) * 2 + y, n, 2 * (STEPS + 1)).astype(np.int64)
+
+    # From the most likely down: the share of proven ones among all that are at least as likely.
+    seen = _added(table, steps).reshape(-1, 2)[::-1].cumsum(0)
+    good = np.flatnonzero((seen[:, 1] >= PRECISION * seen.sum(1)) & (seen[:, 1] > 0))
+    threshold = max(0.5, (STEPS - int(good[-1])) / STEPS) if len(good) else 2.0
+    return models[-1], threshold
 
 
 def _spans(model):
@@ -241,7 +361,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     Offsets count code points, ends are exclusive. Null and empty texts have no spans. Null doc_ids come back as
     null, identical rows get identical spans, and an empty table gives no rows; other columns are not looked
-    at. If the sample cannot teach the trees anything, only base spans are found.
+    at. If the candidates cannot teach the trees anything, only base spans are found.
     """
     kind = "array<struct<kind: string, start: bigint, end: bigint>>"
     return documents(docs).mapInArrow(_spans(train(docs)), f"id long, base {kind}, spans {kind}").select(outer_id(F.col("id")).alias("doc_id"), "base", "spans")

@@ -147,3 +147,20 @@ def test_near_duplicates_leaves_only_small_tables(spark, tmp_path, monkeypatch):
     assert near_duplicates(table(spark, made_up(9)), words=3, num=80).count()
     left = [spark.read.parquet(str(p)).columns for p in tmp_path.iterdir()]
     assert sorted(left) == [["doc_id", "n_shingles", "component_id"]] + 2 * [["node", "component"]]
+
+
+def test_pii_learns_from_all_documents(spark):
+    """Secrets in the last of many documents by hash teach the trees as well as others, and all candidates are counted."""
+    from pyspark.sql import functions as F
+
+    from sealbook.llm.pii import _counted, train
+
+    plain = spark.range(12_000).select(F.concat(F.lit("room 20 30 "), F.col("id").cast("string"), F.lit(" seats")).alias("text"))
+    secret = spark.range(1_000).select(F.concat(F.lit('token = "'), F.substring(F.md5(F.col("id").cast("string")), 1, 24), F.lit('"')).alias("text"))
+    h = F.xxhash64("text")
+    docs = plain.where(h < 0).limit(4_300).unionByName(secret.where(h > 0).limit(300)).withColumn("doc_id", F.monotonically_increasing_id()).localCheckpoint()
+    assert docs.count() == 4_600
+    by_kind = {r.y: r.n for r in _counted(docs).groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    assert by_kind[True] >= 280 and by_kind[False] >= 4_300
+    model = train(docs)
+    assert model is not None and model[1] < 1
