@@ -125,23 +125,19 @@ def tie_sensitivity(events: DataFrame, seeds: list[str], settings: Settings) ->
     by_arrival = [
         F.max_by("quantity_micros", hash_order(seed, F.col("event_id"))).alias(f"v{i}") for i, seed in enumerate(seeds)
     ]
-    moments = (
-        with_window(events, settings.window_ms)
-        .groupBy("window_key", "event_time_ms")
-        .agg(F.count(F.lit(1)).alias("tied"), F.max_by("quantity_micros", "event_id").alias("billed"), *by_arrival)
+    # The hashes of the arrival orders are only taken of what shares the last time of its window.
+    rows = with_window(events, settings.window_ms).select("window_key", "event_time_ms", "event_id", "quantity_micros")
+    last = rows.groupBy("window_key").agg(F.max("event_time_ms").alias("event_time_ms"))
+    values = F.array_distinct(F.array(*[f"v{i}" for i in range(len(seeds))]))
+    ties = rows.join(last, ["window_key", "event_time_ms"]).groupBy("window_key").agg(
+        F.count(F.lit(1)).alias("tied"), F.max_by("quantity_micros", "event_id").alias("billed"), *by_arrival
     )
-    values = F.array(*[f"v{i}" for i in range(len(seeds))])
-    last = moments.groupBy("window_key").agg(
-        F.max_by(
-            F.struct("tied", "billed", F.size(F.array_distinct(values)).alias("distinct_values")), "event_time_ms"
-        ).alias("last")
-    )
-    return last.where(F.col("last.tied") > 1).select(
+    return ties.where(F.col("tied") > 1).withColumn("distinct_values", F.size(values)).select(
         "window_key",
-        F.col("last.tied").alias("tied"),
-        format_micros(F.col("last.billed")).alias("billed_total"),
-        F.col("last.distinct_values").alias("distinct_values"),
-        (F.col("last.distinct_values") == 1).alias("stable"),
+        "tied",
+        format_micros(F.col("billed")).alias("billed_total"),
+        "distinct_values",
+        (F.col("distinct_values") == 1).alias("stable"),
     )
 
 

@@ -14,7 +14,7 @@ from sealbook.functions.windows import STREAM, billing_mode, with_window
 from sealbook.operators import parity, receipts, reports, sealing, totals, verify, watermarks
 from sealbook.operators.durable import shared_folder
 from sealbook.operators.ingest import (
-    BILLED,
+    STATED,
     State,
     WINDOW_COLUMNS,
     applied,
@@ -183,8 +183,9 @@ def gauge_without_tiebreak(spark, folder):
 
 
 def _first_lines(spark, folder) -> DataFrame:
-    first = first_deliveries(with_window(lines(spark, folder), LINES.window_ms), BILLED)
-    return first.select("event_id", "first.*")
+    # Window keys follow from the other columns, so they are not shuffled.
+    first = first_deliveries(lines(spark, folder), STATED)
+    return with_window(first.select("event_id", "first.*"), LINES.window_ms)
 
 
 @query

@@ -145,3 +145,17 @@ def test_hand_made_window_with_an_early_watermark(spark, deliver):
     )
     row = window_totals(log, made, S, hand_made_windows=True).first()
     assert (row.billed_total, row.event_count) == ("3.000000", 2)
+
+
+def test_only_tied_events_are_hashed_for_tie_sensitivity(deliver):
+    """Two of three windows end in a tie; what does not share the last time of its window meets no arrival order."""
+    from sealbook.plans.proofs import tie_sensitivity
+
+    rows = [("a1", 1, BASE), ("a2", 2, BASE + 5), ("a3", 3, BASE + 5), ("b1", 4, BASE + 10_000), ("b2", 5, BASE + 10_001), ("c1", 7, BASE + 20_000), ("c2", 7, BASE + 20_000)]
+    found = tie_sensitivity(deliver(rows), ["one", "two", "three", "four", "five"], S)
+    assert sorted((r.window_key, r.tied, r.billed_total, r.stable) for r in found.collect() if r.billed_total != "3.000000") == [
+        (f"c1:api_calls:{BASE + 20_000}", 2, "7.000000", True)
+    ]
+    assert [(r.tied, r.distinct_values in (1, 2)) for r in found.collect() if r.window_key == W0] == [(2, True)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("md5") < plan.index("Join") and "md5" not in plan[plan.index("Join"):]
