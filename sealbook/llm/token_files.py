@@ -222,7 +222,9 @@ def _blocks(tokenizer: str, end_id: int):
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for r in batch.to_pylist():
+        # One block at a time, however many come together.
+        for i in range(batch.num_rows):
+            r = batch.slice(i, 1).to_pylist()[0]
             ids = unpack(np.frombuffer(r["words"], np.uint64)).astype("<u4")
             ends = np.cumsum(r["n_ids"])
             starts = ends - r["n_ids"]
@@ -256,7 +258,8 @@ def read_token_files(spark, path: str) -> DataFrame:
     shards = shards.select("shard", F.coalesce(F.sum("n_shard").over(order), F.lit(0)).alias("shard_before"))
     order = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     within = blocks.select("shard", "block", F.coalesce(F.sum("n_total").over(order), F.lit(0)).alias("block_before"))
-    placed = blocks.join(within, ["shard", "block"]).join(shards, "shard").select(
+    # A few numbers per block of BLOCK_IDS ids, so these are broadcast; shuffling the blocks would sort all ids in memory.
+    placed = blocks.join(F.broadcast(within), ["shard", "block"]).join(F.broadcast(shards), "shard").select(
         "doc_ids", "n_ids", "words", (F.col("block_before") + F.col("shard_before")).alias("before")
     )
     return placed.mapInArrow(_read, "id long, start long, n_tokens long, ids array<int>").select(
