@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 from math import floor
 
 import numpy as np
@@ -28,6 +29,8 @@ from sealbook.operators.durable import Scratch, durable, release_shuffles
 
 #: 64-bit words of the bit sketch that filters candidate pairs.
 SKETCH_WORDS = 64
+#: Join keys are dealt to so many columns, which are shuffled one after the other, so that one share at a time is on disk.
+KEY_SHARES = 3
 
 
 def bands(least: Fraction, most: int = 1 << 31) -> np.ndarray:
@@ -68,6 +71,9 @@ def bit_sketch(shingles: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+_SHARES = [f"keys_{k}" for k in range(KEY_SHARES)]
+
+
 def _sketched(words: int, least: Fraction):
     starts = bands(least)
 
@@ -76,22 +82,24 @@ def _sketched(words: int, least: Fraction):
             ids = batch.column("id").to_pylist()
             rows = []
             for id_, s in zip(ids, shingle_sets(batch.column("text"), words)):
-                n, keys, sketch, mark = len(s), [], None, None
+                n, keys, sketch, mark = len(s), np.empty(0, np.int64), None, None
+                parts = []
                 if n:
                     with np.errstate(over="ignore"):
                         mark = np.array([mixed(s).sum(), mixed(s ^ np.uint64(0xABCD)).sum()], np.uint64).tobytes()
                     band = int(np.searchsorted(starts, n, side="right")) - 1
                     for scheme in (band, band - 1):
                         if scheme >= 0 and (d := budget(int(starts[scheme + 1]), least)):
-                            keys.append(part_keys(s, scheme, d))
-                    keys = np.concatenate(keys) if keys else []
+                            parts.append(part_keys(s, scheme, d))
+                    keys = np.concatenate([keys, *parts])
                     sketch = bit_sketch(s) if len(keys) else None
-                rows.append((id_, n, mark, keys, sketch))
+                share = keys.view(np.uint64) % np.uint64(KEY_SHARES)
+                rows.append((id_, n, mark, sketch, *[keys[share == k] for k in range(KEY_SHARES)]))
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()),
-                 pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.list_(pa.int64()))],
-                ["id", "n", "mark", "keys", "sketch"],
+                 *[pa.array(c, pa.list_(pa.int64())) for c in columns[3:]]],
+                ["id", "n", "mark", "sketch", *_SHARES],
             )
 
     return run
@@ -156,7 +164,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
 
 def _near_duplicates(base: DataFrame, words: int, least: Fraction, scratch: Scratch) -> DataFrame:
     """What `near_duplicates` gives, of ``id`` and ``text``; tables that it reads lie in ``scratch``."""
-    kind = "id long, n long, mark binary, keys array<long>, sketch array<long>"
+    kind = "id long, n long, mark binary, sketch array<long>, " + ", ".join(f"{c} array<long>" for c in _SHARES)
     sketched = scratch.keep(base.mapInArrow(_sketched(words, least), kind))
 
     full = sketched.filter("n > 0")
@@ -164,17 +172,20 @@ def _near_duplicates(base: DataFrame, words: int, least: Fraction, scratch: Scra
     copies = scratch.keep(full.select("id", "mark").join(equal, "mark").select("id", "rep").distinct())
     texts = copies.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low != high")
     several = copies.join(texts.select("id", "low"), "id").select(F.col("rep").alias("u"), F.col("low").alias("v"))
-    nodes = full.join(equal.select("mark", F.col("rep").alias("id")), ["mark", "id"], "left_semi").filter("size(keys) > 0")
+    nodes = full.join(equal.select("mark", F.col("rep").alias("id")), ["mark", "id"], "left_semi").filter("sketch is not null")
 
     order = Window.partitionBy("key").orderBy("id")
-    met = nodes.select("id", F.explode("keys").alias("key"))
-    groups = scratch.keep(
-        met.withColumn("hub", F.first("id").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("next", F.lead("id").over(order))
-        .filter("hub != id or next is not null")
-        .select("key", "id", "hub")
-    )
-    release_shuffles(base.sparkSession)
+    shares = []
+    for share in _SHARES:
+        met = nodes.select("id", F.explode(share).alias("key"))
+        shares.append(scratch.keep(
+            met.withColumn("hub", F.first("id").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("next", F.lead("id").over(order))
+            .filter("hub != id or next is not null")
+            .select("key", "id", "hub")
+        ))
+        release_shuffles(base.sparkSession)
+    groups = reduce(DataFrame.unionByName, shares)
     sizes = nodes.select("id", "n", "sketch")
 
     def verified(pairs: DataFrame) -> DataFrame:

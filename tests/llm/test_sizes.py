@@ -5,6 +5,26 @@ import pytest
 from tests.llm.test_operators import made_up, table
 
 
+def test_keys_of_near_copies_are_shuffled_in_shares(spark, monkeypatch):
+    from sealbook.llm import jaccard
+    from sealbook.operators.durable import Scratch
+
+    shares, keep = [], Scratch.keep
+
+    def seen(self, df):
+        kept = keep(self, df)
+        if kept.columns == ["key", "id", "hub"]:
+            shares.append({r.key for r in kept.collect()})
+        return kept
+
+    monkeypatch.setattr(jaccard.Scratch, "keep", seen)
+    rows = made_up(9) + [(1000 + k, " ".join(f"w{i}" for i in range(60)) + f" x{k}") for k in range(30)]
+    found = jaccard.near_duplicates(table(spark, rows), words=3, num=80).collect()
+    assert {r.component_id for r in found if r.doc_id is not None and r.doc_id >= 1000} == {1000}
+    assert len(shares) > 1 and sum(map(bool, shares)) > 1
+    assert len(set().union(*shares)) == sum(map(len, shares))
+
+
 def test_token_blocks_are_not_shuffled_to_be_read(spark, tmp_path, capsys):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from pathlib import Path
