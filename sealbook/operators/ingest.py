@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sealbook.functions.ids import time_ordered_id
 from sealbook.functions.quantity import money
-from sealbook.functions.windows import STREAM, event_timestamp, window_key, window_open, with_window
+from sealbook.functions.windows import STREAM, event_timestamp, window_close, window_key, window_open, with_window
 from sealbook.operators.skew import ROWS_PER_SALT, join_hot
 from sealbook.operators.watermarks import advance_watermarks, stream_watermarks
 from sealbook.settings import Settings
@@ -79,7 +79,7 @@ def ingest(
         filed = filed.unionByName(_first_filed(told).select(*filed.columns))
     accepted = log_rows(accepted)
     windows = insert_if_absent(
-        with_window(accepted, settings.window_ms).select(*WINDOW_COLUMNS).distinct(), state.windows, ["window_key"]
+        distinct_windows(accepted, settings.window_ms), state.windows, ["window_key"]
     )
     return Admission(
         dispositions=dispositions,
@@ -300,6 +300,14 @@ def log_rows(rows: DataFrame) -> DataFrame:
     )
 
 
+def distinct_windows(events: DataFrame, window_ms: int | str) -> DataFrame:
+    """The windows of some events. Key and close follow from stream and open time, so those alone are shuffled."""
+    opened = F.col("window_open_ms")
+    starts = events.select(*STREAM, window_open(F.col("event_time_ms"), window_ms).alias("window_open_ms")).distinct()
+    keyed = starts.withColumn("window_key", window_key(F.col("customer_id"), F.col("metric"), opened))
+    return keyed.withColumn("window_close_ms", window_close(opened, window_ms)).select(*WINDOW_COLUMNS)
+
+
 def open_windows(specs: DataFrame) -> DataFrame:
     none = F.lit(None).cast("bigint")
     return specs.select(

@@ -29,6 +29,7 @@ from sealbook.operators.ingest import (
     WINDOW_COLUMNS,
     State,
     ingest,
+    distinct_windows,
     ingest_counts,
     insert_if_absent,
     open_windows,
@@ -66,6 +67,8 @@ _WHOLE = {"open_index", "watermarks"}
 
 #: A batch of up to so many ids asks the log for exactly those, which Bloom filters answer.
 FEW_IDS = 5_000
+#: A batch of up to so many deliveries has its windows looked up in the registry by a broadcast.
+FEW_WINDOWS = 100_000
 #: Days up to this number are broadcast to prune the log.
 FEW_DAYS = 20_000
 
@@ -149,7 +152,9 @@ class MeteringStore:
         return self.snapshot().version
 
     def _empty(self, name: str) -> DataFrame:
-        return self.spark.createDataFrame([], StructType([*_TABLES[name], StructField("batch_id", LongType())]))
+        # Known to be empty when a query is planned, so that joins with it fall away.
+        fields = [*_TABLES[name], StructField("batch_id", LongType())]
+        return self.spark.range(1).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
 
     def _parts(self, name: str, parts: list[Part]) -> DataFrame:
         """Rows of the given parts with their ``batch_id``: by the commit that named the part, or, where merged, as written."""
@@ -371,11 +376,11 @@ class MeteringStore:
     def _open(self, admitted: _Written, span: _Span, snapshot: Snapshot) -> _Written:
         """Write the windows that the admitted events are the first of."""
         mine = self._read(Snapshot(), "event_log", admitted)
-        specs = with_window(mine, self.settings.window_ms).select(*WINDOW_COLUMNS).distinct()
+        specs = distinct_windows(mine, self.settings.window_ms)
         held = self._read(snapshot, "opened")
         if span.n:
             held = held.where(F.col("window_open_ms").between(span.first_open, span.last_open))
-        opened = self._write("opened", insert_if_absent(specs, held, ["window_key"], few_rows=True))
+        opened = self._write("opened", insert_if_absent(specs, held, ["window_key"], few_rows=span.n <= FEW_WINDOWS))
         fresh = self._read(Snapshot(), "opened", _Written({"opened": [opened]})).drop("batch_id")
         return admitted.plus(opened=opened, open_index=self._write("open_index", fresh.withColumn("sign", F.lit(1).cast("byte"))))
 
