@@ -80,6 +80,23 @@ class Words:
         return len(self.hashes)
 
 
+def _parts(starts: np.ndarray, ends: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of runs of about so many bytes, so that what is computed per byte takes little memory."""
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + most, side="right")))
+        yield first, last
+        first = last
+
+
+def _hashes_in_parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    hashes = [np.empty(0, np.uint64)]
+    for a, b in _parts(starts, ends):
+        low, high = starts[a], ends[b - 1]
+        hashes.append(_run_hashes(data[low:high], starts[a:b] - low, ends[a:b] - low))
+    return np.concatenate(hashes)
+
+
 def _run_hashes(data: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run of bytes: a polynomial from running sums, with powers of an odd base and of its inverse."""
     n = len(data)
@@ -168,16 +185,11 @@ class Segments:
         self.starts = np.flatnonzero(begins)
         self.ends = np.append(self.starts, n)[1:]
         self.firsts = np.searchsorted(self.starts, bounds)
-        parts = [slice(a, b) for a, b in self._parts()]
-        hashes = [np.empty(0, np.uint64)]
-        for p in parts:
-            low, high = self.starts[p][0], self.ends[p][-1]
-            hashes.append(_run_hashes(self.data[low:high], self.starts[p] - low, self.ends[p] - low))
-        hashes = np.concatenate(hashes)
+        hashes = _hashes_in_parts(self.data, self.starts, self.ends)
         _, self.sample, self.kind = np.unique(hashes, return_index=True, return_inverse=True)
         lengths, like = self.ends - self.starts, self.sample[self.kind]
         differs = [np.empty(0, np.int64)]
-        for p in parts:
+        for p in (slice(a, b) for a, b in _parts(self.starts, self.ends)):
             low, high = self.starts[p][0], self.ends[p][-1]
             twin = np.repeat(self.starts[like[p]] - self.starts[p], lengths[p])
             twin += np.arange(low, high)
@@ -187,59 +199,126 @@ class Segments:
         odd = np.union1d(np.flatnonzero(lengths != lengths[like]), np.searchsorted(self.starts, differs, side="right") - 1)
         self.kind[odd] = len(self.sample) + np.arange(len(odd))
         self.sample = np.append(self.sample, odd)
-
-    def _parts(self, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
-        """Ranges of segments of about so many bytes, so that what is computed per byte takes little memory."""
-        first = 0
-        while first < len(self.starts):
-            last = max(first + 1, int(np.searchsorted(self.ends, self.starts[first] + most, side="right")))
-            yield first, last
-            first = last
+        self.hashes = hashes[self.sample]
 
     def coded(self, known: Known, encode) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all segments, one after the other, and the number of ids before each text (one more at the end).
 
         ``encode`` takes segments that are not known yet, as bytes, and gives the ids of each as bytes of 32-bit integers.
         """
-        raw = self.data.tobytes()
-        keys = [raw[a:b] for a, b in zip(self.starts[self.sample].tolist(), self.ends[self.sample].tolist())]
-        coded = known.look_up(keys, encode)
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        flat, places = np.frombuffer(b"".join(coded), np.uint32), np.cumsum(sizes) - sizes
+        flat, places, sizes = known.coded(self.data, self.starts[self.sample], self.ends[self.sample], self.hashes, encode)
         counts = sizes[self.kind]
         before = np.concatenate([[0], np.cumsum(counts)])
         out = flat[np.repeat(places[self.kind] - before[:-1], counts) + np.arange(before[-1])]
         return out, before[self.firsts]
 
 
+def _spans(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The spans of ``source``, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return source[np.repeat(starts - before, sizes) + np.arange(sizes.sum())]
+
+
+class _Pairs:
+    """Segments and their ids as arrays in the order they came, and their hashes sorted; no two have the same hash."""
+
+    def __init__(self):
+        self.hashes, self.rows = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.data, self.ids = np.empty(0, np.uint8), np.empty(0, np.uint32)
+        self.data_ends, self.ids_ends = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.hashes, hashes)
+        out = at < len(self)
+        out[out] = self.hashes[at[out]] == hashes[out]
+        return out
+
+    def find(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The row of each segment, -1 for those that are not here; compared byte for byte."""
+        rows = np.full(len(hashes), -1, np.int64)
+        if not len(self):
+            return rows
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
+        hit = np.flatnonzero(self.hashes[at] == hashes)
+        row = self.rows[at[hit]].astype(np.int64)
+        same = lengths[hit] == self.data_ends[row + 1] - self.data_ends[row]
+        hit, row = hit[same], row[same]
+        rows[hit] = row
+        n = lengths[hit]
+        differs = np.flatnonzero(_spans(data, starts[hit], n) != _spans(self.data, self.data_ends[row], n))
+        rows[hit[np.searchsorted(np.cumsum(n), differs, side="right")]] = -1
+        return rows
+
+    def add(self, data: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Takes up segments, given one after the other, whose hashes are all new and different."""
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.rows = np.insert(self.rows, at, len(self) + order)
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.data, self.ids = np.concatenate([self.data, data]), np.concatenate([self.ids, ids])
+        self.data_ends = np.concatenate([self.data_ends, self.data_ends[-1] + np.cumsum(lengths)])
+        self.ids_ends = np.concatenate([self.ids_ends, self.ids_ends[-1] + np.cumsum(sizes)])
+
+
 class Known:
     """Encoded segments that a worker keeps: those in use and those of the round before, of bounded bytes.
 
-    A round ends when it holds ``most`` bytes of segments and ids; segments over ``longest`` bytes are never kept.
+    A round ends when it holds ``most`` bytes of segments and ids, each pair counted with 200 more (the arrays take a
+    fifth of that); segments over ``longest`` bytes are never kept.
     """
 
-    def __init__(self, most: int = 32_000_000, longest: int = 200):
+    def __init__(self, most: int = 96_000_000, longest: int = 200):
         self.most, self.longest = most, longest
-        self.now: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
+        self.now, self.before = _Pairs(), _Pairs()
         self.held = 0
 
+    def coded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct segments of ``data``: all of them, where those of each segment begin, and how many they are.
+
+        ``encode`` takes segments that are not known yet, as bytes, and gives the ids of each as bytes of 32-bit integers.
+        """
+        lengths, order, found, counts = ends - starts, [], [], []
+
+        def take(which: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+            order.append(which)
+            found.append(ids)
+            counts.append(sizes)
+
+        missing = np.arange(len(hashes))
+        for pairs in (self.now, self.before):
+            rows = pairs.find(data, starts[missing], lengths[missing], hashes[missing])
+            hit = rows >= 0
+            rows = rows[hit]
+            sizes = pairs.ids_ends[rows + 1] - pairs.ids_ends[rows]
+            take(missing[hit], _spans(pairs.ids, pairs.ids_ends[rows], sizes), sizes)
+            missing = missing[~hit]
+        if len(missing):
+            raw = data.tobytes()
+            new = encode([raw[a:b] for a, b in zip(starts[missing].tolist(), ends[missing].tolist())])
+            take(missing, np.frombuffer(b"".join(new), np.uint32), np.fromiter(map(len, new), np.int64, len(new)) // 4)
+        places, sizes = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+        sizes[np.concatenate(order)] = np.concatenate(counts)
+        places[np.concatenate(order)] = np.cumsum(np.concatenate(counts)) - np.concatenate(counts)
+        flat = np.concatenate(found)
+        late = np.concatenate(order[1:])
+        late = late[lengths[late] <= self.longest]
+        self.held += int(lengths[late].sum() + 4 * sizes[late].sum()) + 200 * len(late)
+        late = late[np.unique(hashes[late], return_index=True)[1]]
+        late = late[~self.now.holds(hashes[late])]
+        self.now.add(_spans(data, starts[late], lengths[late]), lengths[late], hashes[late], _spans(flat, places[late], sizes[late]), sizes[late])
+        if self.held > self.most:
+            self.now, self.before, self.held = _Pairs(), self.now, 0
+        return flat, places, sizes
+
     def look_up(self, keys: list[bytes], encode) -> list[bytes]:
         """What each of the distinct ``keys`` is encoded as."""
-        found = list(map(self.now.get, keys))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        for i in missing:
-            found[i] = self.before.get(keys[i])
-        new = [i for i in missing if found[i] is None]
-        for i, ids in zip(new, encode([keys[i] for i in new]) if new else ()):
-            found[i] = ids
-        for i in missing:
-            if len(keys[i]) <= self.longest:
-                self.now[keys[i]] = found[i]
-                self.held += len(keys[i]) + len(found[i]) + 200  # what Python adds to a pair
-        if self.held > self.most:
-            self.now, self.before, self.held = {}, self.now, 0
-        return found
+        ends = np.cumsum([0, *map(len, keys)])
+        data = np.frombuffer(b"".join(keys), np.uint8)
+        flat, places, sizes = self.coded(data, ends[:-1], ends[1:], _hashes_in_parts(data, ends[:-1], ends[1:]), encode)
+        return [flat[a : a + n].tobytes() for a, n in zip(places.tolist(), sizes.tolist())]
 
 
 def kept_in_worker(name: str, make):

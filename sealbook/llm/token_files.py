@@ -39,6 +39,10 @@ BLOCK_IDS = 1 << 18
 SLICE = 1_000_000
 # Characters that are more than a byte, or seldom used, and that some count as white space.
 _OTHER_SPACES = "[\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: ASCII characters that are no white space.
+_SOLID = frozenset(i for i in range(128) if not chr(i).isspace())
+#: The first selector wide enough for each of the small ids.
+_NEEDS = np.searchsorted(1 << WIDTHS, np.arange(1 << 16), side="right").astype(np.uint8)
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -48,7 +52,7 @@ def pack(ids: np.ndarray) -> np.ndarray:
     if not n:
         return np.empty(0, np.uint64)
     # For each id the first selector wide enough; for each place and selector the largest of these in reach.
-    needs = np.searchsorted(np.uint64(1) << WIDTHS.astype(np.uint64), ids, side="right").astype(np.uint8)
+    needs = _NEEDS[ids] if ids.max() < len(_NEEDS) else np.searchsorted(np.uint64(1) << WIDTHS.astype(np.uint64), ids, side="right").astype(np.uint8)
     spans = [needs]
     while 2 ** len(spans) <= COUNTS[0]:
         last, step = spans[-1], 2 ** (len(spans) - 1)
@@ -60,7 +64,7 @@ def pack(ids: np.ndarray) -> np.ndarray:
             power = count.bit_length() - 1
             most = np.maximum(spans[power][: n - count + 1], spans[power][count - 2**power : n - 2**power + 1])
             selector[: n - count + 1][most <= s] = s
-    steps = np.append(COUNTS, np.ones(ESCAPE + 1 - rungs, np.int64))[selector].tolist()
+    steps = np.append(COUNTS, np.ones(ESCAPE + 1 - rungs, np.int64)).astype(np.uint8)[selector].tobytes()
     firsts, i = [], 0
     while i < n:
         firsts.append(i)
@@ -141,12 +145,11 @@ def _side_by_side(segments: list[bytes], coder, widths: np.ndarray) -> list[byte
     where each segment ends; where that comes out wrong, all segments of the text are left to be encoded one by one.
     """
     out: list[bytes | None] = [None] * len(segments)
-    texts = [s.decode() for s in segments]
-    fit = [i for i, t in enumerate(texts) if t[0] in " \t\n\v\f\r" and not t[-1].isspace() and len(t) <= 200]
+    fit = [i for i, s in enumerate(segments) if s[0] in b" \t\n\v\f\r" and len(s) <= 200 and (s[-1] in _SOLID or (s[-1] > 127 and not s.decode()[-1].isspace()))]
     groups = [fit[k : k + 256] for k in range(0, len(fit), 256)]
     for first in range(0, len(groups), 16):
         some = groups[first : first + 16]
-        for group, e in zip(some, coder.encode_batch_fast(["".join([texts[i] for i in g]) for g in some], add_special_tokens=False)):
+        for group, e in zip(some, coder.encode_batch_fast([b"".join([segments[i] for i in g]).decode() for g in some], add_special_tokens=False)):
             ids = np.array(e.ids, np.uint32)
             reach, ends = np.cumsum(widths[ids]), np.cumsum([len(segments[i]) for i in group])
             at = np.searchsorted(reach, ends)

@@ -111,3 +111,14 @@ def test_segments_side_by_side_are_encoded_as_if_alone(byte_bpe):
         if ids is not None:
             assert np.frombuffer(ids, np.uint32).tolist() == coder.encode(s.decode(), add_special_tokens=False).ids
     assert all(ids is None for ids in _side_by_side(segments, coder, _widths(coder) + 1))  # widths that do not fit are noticed
+
+
+def test_segments_in_use_are_encoded_once():
+    known, asked = Known(), []
+    encode = lambda segments: [asked.append(s) or s[-4:] for s in segments]
+    for _ in range(2):
+        for k in range(0, 400_000, 40_000):
+            keys = [b"%08d" % i for i in range(k, k + 40_000)]
+            assert known.look_up(keys, encode) == [key[-4:] for key in keys]
+    assert len(asked) == 400_000
+    assert sum(a.nbytes for pairs in (known.now, known.before) for a in vars(pairs).values()) < 64 * 400_000
