@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Stands for a null doc_id inside the operators, so that it sorts first and joins with itself.
 LOWEST = -(2**63)
@@ -30,6 +31,17 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(*ids(docs))
 
 
+def rows_with_text(docs: DataFrame) -> list[Column]:
+    """``row`` with all columns; ``text`` beside it only if `texts_of` does not find a string in the row, so that workers get it once."""
+    found = [f.dataType for f in docs.schema if f.name == "text"]
+    return [F.struct("*").alias("row"), *(ids(docs)[1:] if found != [StringType()] else ())]
+
+
+def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
+    """The texts of a batch of `documents` or `rows_with_text`."""
+    return batch.column(column) if column in batch.schema.names else pc.struct_field(batch.column("row"), column)
+
+
 def outer_id(id_: Column) -> Column:
     """The doc_id to give back for an inner id."""
     return F.when(id_ != LOWEST, id_)
@@ -40,7 +52,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts_of(batch, column)), 0).to_numpy(zero_copy_only=False))
         start, n = 0, batch.num_rows
         while start < n:
             end = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, side="right"))
@@ -74,7 +86,7 @@ class Words:
         self.joined = data[keep]
         self.offsets = np.concatenate([[0], np.cumsum(lengths + 1)])
         self.joined[self.offsets[1:] - 1] = 32
-        self.hashes = _run_hashes(self.joined, self.offsets[:-1], self.offsets[1:] - 1)
+        self.hashes = _hashes_in_parts(self.joined, self.offsets[:-1], self.offsets[1:] - 1)
 
     def __len__(self) -> int:
         return len(self.hashes)

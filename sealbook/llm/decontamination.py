@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealbook.llm.common import ids, outer_id, slices
+from sealbook.llm.common import ids, outer_id, rows_with_text, slices, texts_of
 from sealbook.operators.durable import durable
 
 Q = 10
@@ -248,7 +248,7 @@ def _looked_up(base: DataFrame, index: Index) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = find([normal(t) for t in batch.column("text").to_pylist()], index)
+            found = find([normal(t) for t in texts_of(batch).to_pylist()], index)
             column = batch.schema.get_field_index("matches")
             rows = [[{"item_id": i, "edits": d} for i, d in f] for f in found]
             yield batch.set_column(column, "matches", pa.array(rows, batch.schema.field(column).type))
@@ -257,7 +257,7 @@ def _looked_up(base: DataFrame, index: Index) -> DataFrame:
 
 
 def _matched(docs: DataFrame, benchmark: DataFrame, block_chars: int) -> DataFrame:
-    """``row``, ``id``, ``text`` and ``matches`` of every row of ``docs``.
+    """``row``, ``id`` and ``matches`` of every row of ``docs``.
 
     A benchmark of one block goes over the documents where they lie. A larger one is a pass per block, each a job of
     its own, so that one block at a time is in a plan and on the executors. A pass keeps the key and matches of the
@@ -270,7 +270,7 @@ def _matched(docs: DataFrame, benchmark: DataFrame, block_chars: int) -> DataFra
     if first is None:
         return base
     if second is None:
-        return _looked_up(base, first)
+        return _looked_up(docs.select(*rows_with_text(docs), ids(docs)[0], F.array().cast(_MATCHES).alias("matches")), first)
     key = [F.col("id").alias("key_id"), F.sha2("text", 256).alias("key_text")]
     found = None
     for index in chain((first, second), blocks):
@@ -279,7 +279,7 @@ def _matched(docs: DataFrame, benchmark: DataFrame, block_chars: int) -> DataFra
         found = part if found is None else found.unionByName(part)
     found = durable(found.groupBy("key_id", "key_text").agg(F.array_sort(F.collect_list("match")).alias("found")))
     return base.select("row", "id", "text", *key).join(found, ["key_id", "key_text"], "left").select(
-        "row", "id", "text", F.coalesce("found", F.array().cast(_MATCHES)).alias("matches")
+        "row", "id", F.coalesce("found", F.array().cast(_MATCHES)).alias("matches")
     )
 
 

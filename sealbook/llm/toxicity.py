@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from sealbook.llm.common import Words, documents, ids, outer_id, slices
+from sealbook.llm.common import Words, documents, outer_id, rows_with_text, slices, texts_of
 
 MOST_LABELLED = 6_000
 MOST_FEATURES = 400
@@ -170,7 +170,7 @@ def _scored(model):
         chosen, models, threshold = model
         of = _features(chosen)
         for batch in slices(batches):
-            rows = of(batch.column("text"))
+            rows = of(texts_of(batch))
             p = np.zeros((len(rows), len(models)))
             for i, active in enumerate(rows):
                 for k, w in enumerate(models):
@@ -209,7 +209,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels, CATEGORIES)
     if model is None:
         return docs
-    row = docs.select(F.struct("*").alias("row"), ids(docs)[1])
+    row = docs.select(*rows_with_text(docs))
     kind = StructType([row.schema["row"]]).add("p", ArrayType(DoubleType())).add("toxic", "boolean")
     scored = row.mapInArrow(_scored(model), kind)
     return scored.filter("not toxic").select("row.*")

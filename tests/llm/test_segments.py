@@ -122,3 +122,12 @@ def test_segments_in_use_are_encoded_once():
             assert known.look_up(keys, encode) == [key[-4:] for key in keys]
     assert len(asked) == 400_000
     assert sum(a.nbytes for pairs in (known.now, known.before) for a in vars(pairs).values()) < 64 * 400_000
+
+
+def test_words_are_hashed_a_part_at_a_time(monkeypatch):
+    sizes, run = [], common._run_hashes
+    monkeypatch.setattr(common, "_run_hashes", lambda data, at, to: sizes.append(len(data)) or run(data, at, to))
+    texts = ["".join(f"w{i} " for i in range(200_000)), None, "x" * 300_000, "w7 w8"]
+    words = common.Words(pa.array(texts))
+    assert max(sizes) <= 300_000 < len(texts[0])
+    assert words.hashes.tolist() == run(words.joined, words.offsets[:-1], words.offsets[1:] - 1).tolist()

@@ -42,3 +42,20 @@ def test_token_blocks_are_not_shuffled_to_be_read(spark, tmp_path, capsys):
         assert "SortMergeJoin" not in capsys.readouterr().out
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+def test_texts_go_to_workers_once(spark):
+    from sealbook.llm.decontamination import without_contaminated
+    from sealbook.llm.toxicity import without_toxic
+
+    rows = [(k, "you idiot moron stupid trash" if k % 2 else "a fine calm day", k) for k in range(40)] + [(None, None, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    benchmark = spark.createDataFrame([(1, "a sentence of the benchmark that stands in no document")], "item_id long, text string")
+    for kept, n in ((without_toxic(docs, labels), 21), (without_contaminated(docs, benchmark), 41)):
+        plan = kept._jdf.queryExecution().analyzed().toString()
+        sent = next(line for line in plan.split("\n")[::-1] if "AS row#" in line)
+        assert sent.count("text#") == 1, sent
+        assert kept.columns == docs.columns and kept.count() == n
+    as_number = docs.withColumn("text", docs["doc_id"])
+    assert sorted(map(str, without_contaminated(as_number, benchmark).collect())) == sorted(map(str, as_number.collect()))
